@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash
+from . import line_dedup, quality_rules, simhash, url_filter
 
 QUERIES = {
+    "op4_url_filter": url_filter.query,
     "op5_simhash_trie": simhash.query,
     "op8_line_dedup": line_dedup.query,
+    "op10_quality_rules": quality_rules.query,
 }
 
 #: DuckDB SQL.
 ORACLE_SQL = {
+    "op4_url_filter": url_filter.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op10_quality_rules": quality_rules.SQL,
 }
