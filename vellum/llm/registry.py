@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, simhash, url_filter
+from . import bpe, lattice_lm, line_dedup, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.query,
     "op5_simhash_trie": simhash.query,
+    "op7_bpe": bpe.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_lattice_lm": lattice_lm.query,
     "op10_quality_rules": quality_rules.query,
 }
 
