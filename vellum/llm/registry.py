@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, lattice_lm, line_dedup, quality_rules, simhash, url_filter
+from . import bpe, decontaminate, lattice_lm, line_dedup, pii, quality_classifier, quality_rules, simhash, url_filter
 
 QUERIES = {
+    "op1_neighbour_quality": quality_classifier.query,
+    "op2_pii_anchors": pii.query,
     "op4_url_filter": url_filter.query,
     "op5_simhash_trie": simhash.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_bpe": bpe.query,
     "op8_line_dedup": line_dedup.query,
     "op9_lattice_lm": lattice_lm.query,
