@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lattice_lm, line_dedup, pii, quality_classifier, quality_rules, simhash, url_filter
+from . import bpe, decontaminate, lattice_lm, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_neighbour_quality": quality_classifier.query,
     "op2_pii_anchors": pii.query,
+    "op3_suffix_dedup": substring_dedup.query,
     "op4_url_filter": url_filter.query,
     "op5_simhash_trie": simhash.query,
     "op6_decontaminate": decontaminate.query,
