@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import url as U
+from ..operators import capture as C
 from ..operators import evaluate as E
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import memory as M
+from ..operators import pdf as P
 from ..operators import query as Q
 from ..operators import search as S
 from ..sources.tables import table, view, with_views
+from ..streaming import events as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -702,3 +705,147 @@ def _(spark, d):
 @query("eval_report", "select l_returnflag as system, quantile_disc(l_extendedprice, 0.5) as p50, quantile_disc(l_extendedprice, 0.9) as p90, quantile_disc(l_extendedprice, 0.95) as p95, quantile_disc(l_extendedprice, 0.99) as p99 from lineitem group by 1")
 def _(spark, d):
     return E.latency_percentiles(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("system"), F.col("l_extendedprice").alias("ms")))
+
+
+# --- pages, layout, streams ---------------------------------------------------------------------
+
+
+def _sql_steps(text: str, steps) -> str:
+    for pattern, replacement in steps:
+        quoted = (pattern.replace("'", "''"), replacement.replace("$1", "\\1"))
+        text = f"regexp_replace({text}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return text
+
+
+def _sql_entities(text: str) -> str:
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+_PAGE_TEXT = f"trim({_sql_steps(_sql_entities(_sql_steps('html', C.TEXT_STEPS)), C.TIDY_STEPS)})"
+_PAGE_WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
+
+
+@query("html_text", f"select page_id, sha256({_PAGE_TEXT}) as text from pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(C.html_text(F.col("html")), 256).alias("text"))
+
+
+@query("sanitize_html", f"select page_id, sha256({_sql_steps('html', C.INERT_STEPS)}) as html from pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(C.sanitize_html(F.col("html")), 256).alias("html"))
+
+
+@query("page_title", f"select page_id, {_sql_entities('trim(regexp_extract(html, $$(?is)<title[^>]*>(.*?)</title>$$, 1))')} as title from pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", C.title(F.col("html")).alias("title"))
+
+
+_STATUS = "case when words = 0 then 'unsupported' when words < 30 then 'partial' else 'complete' end"
+
+
+def _extracted(spark, d) -> DataFrame:
+    p = table(spark, d, "pages").withColumn("text", C.html_text(F.col("html"))).withColumn("name", C.title(F.col("html")))
+    links = F.regexp_count("html", F.lit("(?i)<a[ >]")).cast("bigint")
+    return p.select("page_id", "text", C.extract_status(F.col("text"), F.col("name")).alias("status"), links.alias("links"))
+
+
+@query("extract_status", f"select page_id, {_STATUS} as status from (select page_id, {_PAGE_WORDS} as words from (select page_id, {_PAGE_TEXT} as text from pages))")
+def _(spark, d):
+    return _extracted(spark, d).select("page_id", "status")
+
+
+_SCORED = f"sc as (select page_id, status, (case status when 'complete' then 1000000 when 'partial' then 600000 else 0 end) + least(length(text), 50000) + 5 * least(words, 10000) + 5 * links as score from (select *, {_STATUS} as status from (select *, {_PAGE_WORDS} as words from (select page_id, {_PAGE_TEXT} as text, len(regexp_extract_all(html, '(?i)<a[ >]')) as links from pages))))"
+
+
+@query("score_extraction", f"with {_SCORED} select page_id, score from sc")
+def _(spark, d):
+    e = _extracted(spark, d)
+    return e.select("page_id", C.score_extraction(F.col("status"), F.col("text"), F.lit(0), F.lit(0), F.col("links")).cast("bigint").alias("score"))
+
+
+@query("choose_best_extraction", f"with {_SCORED}, c as (select page_id, 0 as \"at\", 'partial' as status, 600000 + page_id % 7 as score from pages union all select page_id, 1, status, score from sc union all select page_id, 2, status, score from sc) select page_id, \"at\", status, score from c qualify row_number() over (partition by page_id order by case status when 'complete' then 0 when 'partial' then 1 else 4 end, score desc, \"at\") = 1")
+def _(spark, d):
+    e = _extracted(spark, d)
+    scored = e.select("page_id", "status", C.score_extraction(F.col("status"), F.col("text"), F.lit(0), F.lit(0), F.col("links")).cast("bigint").alias("score"))
+    plain = e.select("page_id", F.lit("partial").alias("status"), (F.lit(600_000) + F.col("page_id") % 7).alias("score"))
+    at = lambda df, n: df.withColumn("at", F.lit(n))
+    return C.choose_best(at(plain, 0).unionByName(at(scored, 1)).unionByName(at(scored, 2)))
+
+
+_IDENTITY = f"lower(regexp_extract(url, '^((?i:https?))://', 1)) || '://' || {_HOST} || (case when starts_with(rest, '/') then rest else '/' || rest end)"
+_IDENTITIES = f"i as (select page_id, url, {_IDENTITY} as identity from (select page_id, url, regexp_extract(regexp_replace(url, '#.*$', ''), '^(?i:https?)://[^/?#]*(.*)$', 1) as rest from pages) where regexp_matches(url, '^(?i:https?)://[^/?#]'))"
+
+
+@query("rank_metadata_results", f"with {_IDENTITIES}, o as (select page_id % 20 as query_id, identity, min_by(page_id, (-(page_id % 13), page_id)) as n from i group by all) select query_id, identity, row_number() over (partition by query_id order by -(n % 13), n) as rank from o")
+def _(spark, d):
+    p = table(spark, d, "pages").select((F.col("page_id") % 20).alias("query_id"), "url", (F.col("page_id") % 13).alias("score"), F.col("page_id").alias("at"))
+    return C.rank_results(p, "https://none.example.org/").select("query_id", "identity", "rank")
+
+
+@query("url_backfill", f"with {_IDENTITIES}, k as (select distinct identity from i where page_id % 3 = 0) select 'p' || lpad(page_id::varchar, 12, '0') as id, identity, case when identity in (select identity from k) then 'skip' when row_number() over (partition by identity order by page_id) > 1 then 'alias' else 'write' end as action from i")
+def _(spark, d):
+    p = table(spark, d, "pages").withColumn("identity", U.identity(F.col("url"))).filter("identity IS NOT NULL")
+    saved = p.select(F.concat(F.lit("p"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("id"), "identity")
+    return C.backfill(saved, p.filter("page_id % 3 = 0").select("identity"))
+
+
+@query("backfill_status_counts", f"with {_IDENTITIES}, k as (select distinct identity from i where page_id % 3 = 0), a as (select case when identity in (select identity from k) then 'skip' when row_number() over (partition by identity order by page_id) > 1 then 'alias' else 'write' end as action from i) select action, count(*) as n from a group by action")
+def _(spark, d):
+    return QUERIES["url_backfill"](spark, d).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("discover_saved_urls", f"with {_IDENTITIES} select 'n' || page_id as id, url, identity from i")
+def _(spark, d):
+    p = table(spark, d, "pages").select(F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("id"), F.parse_json(F.to_json(F.struct(F.col("url").alias("source_url")))).alias("metadata"))
+    return C.discover_saved_urls(p)
+
+
+def _lines(spark, d) -> DataFrame:
+    """Lines of orders as lines of pages."""
+    t = table(spark, d, "lineitem")
+    return t.select((F.col("l_suppkey") % 10).alias("document"), F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("top"), F.col("l_extendedprice").alias("left"), F.lit(1.0).alias("height"), (F.col("l_discount") * 100).alias("font_size"), F.lit(51.0).alias("page_height"), F.concat("l_returnflag", F.lit(" "), "l_linestatus").alias("text"))
+
+
+_LINES = "li as (select l_suppkey % 10 as document, l_orderkey as page, l_quantity as top, l_extendedprice as lft, 1.0 as height, l_discount * 100 as font_size, 51.0 as page_height, l_returnflag || ' ' || l_linestatus as text from lineitem)"
+
+
+@query("font_mode", f"with {_LINES}, s as (select document, round(font_size) as size, sum(length(text)) as weight from li group by all) select document, size as body from s qualify row_number() over (partition by document order by weight desc, size) = 1")
+def _(spark, d):
+    return P.font_mode(_lines(spark, d))
+
+
+@query("margin_repeat", f"with {_LINES}, e as (select document, lower(text) as margin, count(distinct page) as n from li where top < 0.06 * page_height or top + height > 0.94 * page_height group by all), p as (select document, count(distinct page) as pages from li group by document) select document, margin from e join p using (document) where n >= greatest(3, ceil(0.02 * pages))")
+def _(spark, d):
+    return P.margin_repeat(_lines(spark, d), share=0.02)
+
+
+@query("gap_before", f"with {_LINES} select document, page, top, lft, top - lag(top) over (partition by document, page order by top, lft) as gap from li")
+def _(spark, d):
+    w = W.partitionBy("document", "page").orderBy("top", "left")
+    return _lines(spark, d).select("document", "page", "top", F.col("left").alias("lft"), (F.col("top") - F.lag("top").over(w)).alias("gap"))
+
+
+@query("visual_line_groups", f"with {_LINES}, g as (select *, coalesce((top - lag(top) over w > 5 * height)::int, 1) as new from li window w as (partition by document, page order by top, lft)), r as (select *, sum(new) over (partition by document, page order by top, lft rows unbounded preceding) as row_ from g) select document, page, row_ as line, min(top) as top, count(*) as n from r group by all")
+def _(spark, d):
+    lines = P.visual_lines(_lines(spark, d).withColumn("width", F.lit(1e9)), tolerance=5.0)
+    n = F.size(F.regexp_extract_all("text", F.lit("[A-Z] [A-Z]"), 0)).cast("bigint")
+    return lines.select("document", "page", F.col("row").alias("line"), "top", n.alias("n"))
+
+
+@query("ocr_confidence", "select l_orderkey as file, round(sum(l_quantity * length(l_returnflag || l_suppkey)) / sum(length(l_returnflag || l_suppkey)), 6) as confidence from lineitem group by 1")
+def _(spark, d):
+    cell = F.concat_ws("\t", F.lit("5\t1\t1\t1\t1\t1\t0\t0\t0\t0"), F.col("l_quantity").cast("string"), F.concat("l_returnflag", F.col("l_suppkey").cast("string")))
+    files = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.array_join(F.collect_list(cell), "\n").alias("content"))
+    return P.ocr_words(files).select("file", F.round("confidence", 6).alias("confidence"))
+
+
+@query("stream_window_counts", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def _(spark, d):
+    return V.window_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("stream_sessions", "with g as (select *, coalesce((ts >= lag(ts) over (partition by user_id order by ts) + interval '30 minutes')::int, 1) as new from events), s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g) select min(ts) as start, user_id, count(*) as n, round(sum(value), 4) as total from s group by user_id, k")
+def _(spark, d):
+    return V.session_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
