@@ -40,7 +40,7 @@ def resolve_links(notes: DataFrame, raw: DataFrame) -> DataFrame:
         .when((extension != "") & ~F.col("name").startswith(".."), "attachment")
         .otherwise("broken")
     )
-    target = F.when(kind == "self", F.col("source")).when(kind == "resolved", F.coalesce("found_path", F.element_at("paths", 1)))
+    target = F.when(kind == "self", F.col("source")).when(kind == "resolved", F.coalesce("found_path", F.try_element_at("paths", F.lit(1))))
     return links.select("source", F.col("target").alias("target_raw"), "line", "pos", kind.alias("kind"), target.alias("target"), F.when(kind == "ambiguous", F.col("paths")).alias("candidates"))
 
 

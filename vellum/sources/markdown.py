@@ -28,7 +28,7 @@ def scan_markdown_files(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/").split(":")[-1].lstrip("/")
     path = F.regexp_replace(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), f"^[a-z]*:?/*\\Q{base}\\E/", "")
     parts = F.split("note", "/")
-    hidden = F.exists(parts, lambda p: p.startswith(".") | p.isin(*IGNORED)) | (F.element_at(parts, -1) == "AGENTS.md")
+    hidden = F.exists(parts, lambda p: p.startswith(".") | p.isin(*IGNORED)) | (F.try_element_at(parts, F.lit(-1)) == "AGENTS.md")
     return files.select(path.alias("note"), "content").filter(~hidden).select(F.col("note").alias("path"), "content")
 
 
@@ -137,11 +137,11 @@ def parse_notes(notes: DataFrame) -> DataFrame:
 
     out = notes.select("path", "text").mapInArrow(run, schema)
     out = out.withColumn("id", F.regexp_replace("path", r"\.md$", "")).withColumn("metadata", F.try_parse_json(F.coalesce("metadata_json", F.lit("{}"))))
-    heading = F.regexp_extract(F.element_at(F.filter("lines", lambda x: x.rlike(r"^ {0,3}#\s+\S")), 1), r"^ {0,3}#\s+(.*?)\s*#*\s*$", 1)
+    heading = F.regexp_extract(F.try_element_at(F.filter("lines", lambda x: x.rlike(r"^ {0,3}#\s+\S")), F.lit(1)), r"^ {0,3}#\s+(.*?)\s*#*\s*$", 1)
     first = F.when(F.exists("lines", lambda x: x.rlike(r"^ {0,3}#\s+\S")), heading)
     named = F.replace(F.substring_index("id", "/", -1), F.lit("-"), F.lit(" "))
     declared = F.nullif(F.trim(F.try_variant_get("metadata", "$.title", "string")), F.lit(""))
-    prose = F.element_at(F.filter(F.split(F.array_join("lines", "\n"), r"\n\s*\n"), lambda p: p.rlike(r"(?s)^\s*[^\s#>|`~<*+-]")), 1)
+    prose = F.try_element_at(F.filter(F.split(F.array_join("lines", "\n"), r"\n\s*\n"), lambda p: p.rlike(r"(?s)^\s*[^\s#>|`~<*+-]")), F.lit(1))
     summary = F.coalesce(F.try_variant_get("metadata", "$.description", "string"), prose)
     return out.withColumns({
         "title": F.coalesce(declared, first, named),
@@ -208,7 +208,7 @@ def attachment_join(references: DataFrame, files: DataFrame) -> DataFrame:
     out = refs.join(by_path, "exact", "left").join(by_name, "base", "left")
     bare = (F.col("syntax") == "obsidian") & ~F.contains("target", F.lit("/"))
     kind = F.when(F.col("found").isNotNull(), "resolved").when(bare & (F.size("files") == 1), "resolved").when(bare & (F.size("files") > 1), "ambiguous").when(F.exists("files", lambda f: F.lower(f) == F.lower("exact")), "case mismatch").otherwise("missing")
-    return out.select("source", "target", kind.alias("kind"), F.coalesce("found", F.when(bare & (F.size("files") == 1), F.element_at("files", 1))).alias("file"))
+    return out.select("source", "target", kind.alias("kind"), F.coalesce("found", F.when(bare & (F.size("files") == 1), F.try_element_at("files", F.lit(1)))).alias("file"))
 
 
 def parse_git_log(log: DataFrame, separator: str = "\x1e") -> tuple[DataFrame, DataFrame]:
@@ -218,5 +218,5 @@ def parse_git_log(log: DataFrame, separator: str = "\x1e") -> tuple[DataFrame, D
     """
     fields = log.select(F.explode(F.split("value", separator)).alias("record")).filter("record <> ''").select(F.split("record", "\\x{0000}").alias("f"))
     commits = fields.filter(F.col("f")[0].rlike("^[0-9a-f]{40}$")).select(F.col("f")[0].alias("hash"), F.timestamp_seconds(F.col("f")[1].try_cast("bigint")).alias("committed_at"), F.col("f")[2].alias("subject"), F.slice("f", 4, 100_000).alias("paths"))
-    paths = commits.select("hash", F.posexplode(F.filter("paths", lambda p: F.trim(p) != "")).alias("pos", "path")).withColumn("path", F.trim("path"))
+    paths = commits.select("hash", F.posexplode(F.filter("paths", lambda p: F.trim(F.regexp_replace(p, "\\s+", " ")) != "")).alias("pos", "path")).withColumn("path", F.regexp_replace("path", "^\n", ""))
     return commits.drop("paths"), paths
