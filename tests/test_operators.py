@@ -175,3 +175,81 @@ def test_workflows(spark):
     assert [r.id for r in e["commits"].collect()] == ["a"] and {r.node for r in e["near"].collect()} == {"a.md", "b.md"}
     assert [(r.id, r.inbound) for r in workflows.plan_radar(k, n.select("id", "path"))["plans"].collect()] == [("a", 1), ("b", 0)]
     assert unicodedata.normalize("NFC", "x") == "x"
+
+
+def test_authoring(spark):
+    from vellum.operators import authoring as A
+
+    a = spark.createDataFrame([(1, "add", "a", "Relates To", "b"), (2, "add", "a", "relates_to", "b"), (3, "add", "a", "x", "c"), (4, "remove", "a", "x", "c"), (5, "add", "d", "x", "a")], "seq int, op string, source string, predicate string, target string")
+    assert sorted((r.source, r.predicate, r.target) for r in A.current_relations(a).collect()) == [("a", "relates-to", "b"), ("d", "x", "a")]
+    assert [(r.direction, r.other) for r in A.list_relations(a, "a").collect()] == [("in", "d"), ("out", "b")]
+    have = spark.createDataFrame([("a.md", "x"), ("b.md", "y")], "path string, text string")
+    want = spark.createDataFrame([("a.md", "x"), ("b.md", "z"), ("c.md", "n")], "path string, text string")
+    assert {r.path: r.outcome for r in A.create_notes(want, have).collect()} == {"a.md": "unchanged", "b.md": "conflict", "c.md": "created"}
+    edits = have.select("path", A.revision(F.when(F.col("path") == "a.md", F.col("text")).otherwise("old")).alias("expected"), F.lit("new").alias("text"))
+    assert {r.path: (r.outcome, r.text) for r in A.edit_notes(edits, have).collect()} == {"a.md": ("written", "new"), "b.md": ("stale", "y")}
+    text = spark.range(1).select(A.clip_markdown(F.lit('A "b"\nc'), F.lit("http://e.org/"), F.lit("2024-01-02"), F.lit("body")).alias("t")).first().t
+    assert text == '---\ntitle: "A \\"b\\" c"\nsource: "http://e.org/"\nclipped: 2024-01-02\n---\n\n# A "b" c\n\nbody\n'
+
+
+def test_threads(spark):
+    from vellum.operators import threads as H
+
+    tree = '{"id":"1","author":"ada","body":"top","replies":[{"id":"2","author":"bob","body":"[deleted]","replies":[{"id":"4","body":"deep"}]},{"id":"3","kind":"more"}]}'
+    flat = H.flatten(spark.createDataFrame([("d", tree), ("e", "not json")], "document string, json string")).cache()
+    assert [(r.id, r.depth, r.kind) for r in flat.orderBy("sort").collect()] == [("1", 0, "content"), ("2", 1, "unavailable"), ("4", 2, "content"), ("3", 1, "more")]
+    assert H.outline(flat).first().text == "- **ada**: top\n  - _unavailable_\n    - **?**: deep\n  - _more_"
+    assert [r.status for r in H.structured_status(H.counts(flat)).collect()] == ["partial"]
+    with pytest.raises(ValueError):
+        H.flatten(spark.createDataFrame([("d", tree)], "document string, json string"), most_depth=1)
+    flat = H.from_edges(spark.createDataFrame([("d", 1, None), ("d", 2, 1), ("d", 3, 2)], "document string, id int, parent int"))
+    assert sorted((r.id, r.root, r.depth) for r in flat.collect()) == [(1, 1, 0), (2, 1, 1), (3, 1, 2)]
+
+
+def test_more_capture(spark):
+    s = spark.createDataFrame([("p", 1, "a\nb\nc"), ("p", 2, "b\nc\nd"), ("p", 3, "d"), ("p", 4, "x")], "page string, at int, text string")
+    assert capture.merge_snapshots(s).first().text == "a\nb\nc\nd\nx"
+    md = "![a](/x.png) [b](javascript:alert) ![c](http://q/y.png)"
+    assert one(spark, md, capture.image_sources) == ["/x.png", "http://q/y.png"]
+    assert one(spark, md, lambda c: capture.absolute_links(c, F.lit("https://e.org/p?q"))) == "![a](https://e.org/x.png) [b]() ![c](http://q/y.png)"
+    r = spark.createDataFrame([(1, '{"results":[{"url":"u","title":"t","score":1.5}]}'), (2, "[]")], "query_id int, json string")
+    assert sorted((x.query_id, x.url) for x in capture.parse_search_response(r).collect()) == [(1, "u"), (2, None)]
+    a = spark.createDataFrame([("1", "h", "t"), ("2", "h", "t"), ("3", "h", "t")], "id string, sha256 string, text string")
+    assert sorted((x.id, x.kind) for x in capture.annotation_join(a, spark.createDataFrame([("1", "h"), ("2", "g")], "id string, sha256 string")).collect()) == [("1", "matched"), ("2", "changed"), ("3", "missing")]
+    assert one(spark, "Hello, World", lambda c: capture.capture_slug(F.lit("x"), c, F.lit("42"))) == "x-hello-world-42"
+    assert one(spark, "reddit", capture.effective_scope) == "thread"
+
+
+def test_more_urls_and_text(spark):
+    assert one(spark, "https://u:p@e.org/a?X-Amz-Signature=1&token=2&access_token=3&id=4#access_token=5", U.sanitize) == "https://e.org/a?token=2&id=4"
+    assert one(spark, "https://e.org/a#top", U.sanitize) == "https://e.org/a#top"
+    assert one(spark, "https://E.org/a?id=1", U.exact_query) == '"https://e.org/a?id=1"' and one(spark, "https://e.org/a?api_key=1", U.exact_query) is None
+    lit = spark.createDataFrame([("true",), ("1.5",), ("null",), ('"q"',), ("plain text",), ("007",)], "x string").select(F.to_json(X.scalar_literal(F.col("x"))).alias("y"))
+    assert [r.y for r in lit.collect()] == ["true", "1.5", "null", '"q"', '"plain text"', '"007"']
+    assert one(spark, '{"b":1,"a":{"d":2,"c":[3]}}', lambda c: X.canonical_metadata(F.parse_json(c))) == '{"a":{"c":[3],"d":2},"b":1}'
+    assert one(spark, "<!-- agent-context: scopes/a -->\n# T\n<!-- agent-context: b -->", X.marker) == "scopes/a"
+    assert one(spark, "```\n<!-- agent-context: a -->\n```\n# T", X.marker) is None
+
+
+def test_contexts(spark):
+    t = spark.createDataFrame([("a/b/c",)], "target string")
+    s = spark.createDataFrame([(".",), ("a",), ("a/b",), ("x",)], "scope string")
+    got = memory.inspect_context(t, s, s).collect()
+    assert [r.scope for r in sorted((r for r in got if r.role == "guide"), key=lambda r: r.rank)] == [".", "a", "a/b"]
+    assert [r.scope for r in sorted((r for r in got if r.role == "hub"), key=lambda r: r.rank)] == ["a/b", "a", "."]
+    m = spark.createDataFrame([("a", "h1"), ("A", "h2"), ("/x", "h3")], "scope string, hub string")
+    h = spark.createDataFrame([("h1", "a"), ("h2", "B"), ("h4", "q")], "hub string, scope string")
+    assert sorted((r.scope, r.issue) for r in memory.analyze_contexts(m, h).collect()) == sorted([("A", "scope differs"), ("/x", "hub missing"), ("q", "marker missing"), ("a", "collision"), ("A", "collision"), ("/x", "absolute")])
+
+
+def test_evidence_and_acceptance(spark):
+    n = spark.createDataFrame([("a", "a.md", "Write path", "the write path of it")], "id string, path string, title string, content string").withColumns({"aliases": F.array(F.lit("Write Path")), "tags": F.array().cast("array<string>"), "metadata_text": F.lit("{}")})
+    m = search.exact_evidence(n, "write path", ["write", "path"]).first().matches
+    assert [(x.kind, x.field) for x in m[:5]] == [("identity", "title"), ("identity", "alias"), ("phrase", "title"), ("phrase", "alias"), ("phrase", "content")] and len(m) <= 12
+    c = spark.createDataFrame([(1, "x", 1, 0.9), (1, "y", 2, 0.8), (1, "z", 3, 0.1), (1, "w", 4, 0.7)], "query_id int, doc_id string, rank int, score double")
+    kept, counts = search.accepted(c, spark.createDataFrame([("y",), ("z",), ("w",)], "doc_id string"), 0.5, 10)
+    assert [(r.doc_id, r.rank) for r in kept.orderBy("rank").collect()] == [("y", 1), ("w", 2)]
+    assert tuple(counts.first()) == (1, 4, 1, 1)
+    assert search.candidate_window(5, False) == 40 and search.candidate_window(20, False) == 80 and search.candidate_window(5, True) == 500
+    g = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 0, 0), ("b", 0, 1, 1)], "doc_id string, seed int, distance int, index int")
+    assert [(r.doc_id, r.score) for r in search.graph_retriever(g, 10).orderBy("rank").collect()] == [("a", 1.0), ("b", 0.5)]

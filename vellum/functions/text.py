@@ -174,3 +174,22 @@ def sniff_image(content: Column) -> Column:
         .when(head.rlike("^52494646.{8}57454250"), "image/webp")
         .when(head.rlike("^.{8}66747970(61766966|61766973)"), "image/avif")
     )
+
+
+def canonical_metadata(metadata: Column) -> Column:
+    """JSON of a VARIANT with keys in order."""
+    return F.to_json(metadata)
+
+
+def scalar_literal(text: Column) -> Column:
+    """A VARIANT of a literal: true, false, null and numbers as such, quoted or other text as text."""
+    plain = text.rlike(r"^(?:true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|\"(?:[^\"\\]|\\.)*\")$")
+    return F.when(plain, F.try_parse_json(text)).otherwise(F.try_variant_get(F.parse_json(F.to_json(F.struct(text.alias("v")))), "$.v", "variant"))
+
+
+def marker(text: Column, name: str = "agent-context") -> Column:
+    """The value of the one ``<!-- name: value -->`` comment before the first heading; null if there is none or more."""
+    head = F.regexp_extract(F.concat(F.lit("\n"), text), r"(?s)^(.*?)(?:\n#{1,6}\s|$)", 1)
+    unfenced = F.regexp_replace(head, r"(?s)\n(`{3,}|~{3,}).*?\n\1", "\n")
+    found = F.regexp_extract_all(unfenced, F.lit(f"(?m)^<!--\\s*{name}:\\s*(\\S+)\\s*-->\\s*$"), 1)
+    return F.when(F.size(found) == 1, F.get(found, 0))

@@ -79,3 +79,21 @@ def identity(url: Column) -> Column:
     whole = F.concat(scheme, F.lit("://"), host(url), F.when(default, "").otherwise(port), path)
     public = (scheme != "") & (host(url) != "") & ~url.rlike(r"^(?i:https?)://[^/?#]*@") & ~is_private_host(host(url)) & (F.trim(url) == url) & ~url.rlike(r"[\x{0000}-\x{0020}\x{007F}]") & (F.octet_length(url) <= 8192)
     return F.when(public, whole)
+
+
+def sanitize(url: Column) -> Column:
+    """Without user info, credential and signature keys, and fragments that hold a credential."""
+    bare = F.regexp_replace(url, r"^((?i:https?)://)[^/?#@]*@", "$1")
+    fragment = F.regexp_extract(bare, "#(.*)$", 1)
+    kept = F.when((fragment == "") | fragment.rlike(CREDENTIAL) | F.contains(fragment, F.lit("=")), "").otherwise(F.concat(F.lit("#"), fragment))
+    front, query = F.regexp_extract(bare, r"^([^?#]*)", 1), F.regexp_extract(bare, r"^[^?#]*\?([^#]*)", 1)
+    name = lambda p: F.lower(F.substring_index(p, "=", 1))
+    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).rlike(CREDENTIAL) & ~name(p).rlike(r"^x-(?:amz|goog)-|^(?:se|sp|sr|sv|spr|skoid|sktid)$"))
+    return F.concat(front, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""), kept)
+
+
+def exact_query(url: Column) -> Column:
+    """The URL in quotes as a search phrase; null if it isn't public or a key of it looks like a credential."""
+    known = identity(url)
+    keys = F.transform(F.split(F.regexp_extract(known, r"\?(.*)$", 1), "&"), lambda p: F.substring_index(p, "=", 1))
+    return F.when(known.isNotNull() & ~F.exists(keys, lambda k: k.rlike(CREDENTIAL)) & ~F.contains(known, F.lit('"')), F.concat(F.lit('"'), known, F.lit('"')))

@@ -138,3 +138,55 @@ def parse_timemap(files: DataFrame) -> DataFrame:
     links = links.select("file", F.regexp_extract("link", "^<([^>]+)>", 1).alias("url"), F.split(attribute("rel"), r"\s+").alias("rel"), attribute("datetime").alias("at"))
     original = links.filter(F.array_contains("rel", "original")).groupBy("file").agg(F.count_distinct("url").alias("n"), F.min("url").alias("original")).filter("n = 1")
     return links.filter(F.array_contains("rel", "memento")).join(original, "file").select("original", F.col("url").alias("memento"), F.try_to_timestamp(F.regexp_replace("at", r"^[A-Za-z]+, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")).alias("taken_at"))
+
+
+def merge_snapshots(snapshots: DataFrame) -> DataFrame:
+    """page, text of a page's snapshots (page, at, text) in order: each adds its lines after the longest overlap with the end of the one before.
+
+    A page's snapshots are one row each; the overlap is found between two arrays of lines.
+    """
+    w = W.partitionBy("page").orderBy("at")
+    rows = snapshots.withColumn("lines", F.split("text", "\n")).withColumn("last", F.lag("lines").over(w))
+    most = F.least(F.size("lines"), F.coalesce(F.size("last"), F.lit(0)))
+    overlap = F.array_max(F.filter(F.sequence(F.lit(0), most), lambda n: (n == 0) | (F.slice("lines", F.lit(1), n) == F.slice("last", F.greatest(F.size("last") - n + 1, F.lit(1)), n))))
+    rows = rows.withColumn("n", F.when(F.col("last").isNull(), 0).otherwise(overlap))
+    fresh = F.array_join(F.slice("lines", F.col("n") + 1, F.greatest(F.size("lines"), F.lit(1))), "\n")
+    kept = rows.select("page", "at", fresh.alias("fresh")).filter("fresh <> ''")
+    return kept.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "fresh"))), lambda r: r["fresh"]), "\n").alias("text"))
+
+
+def image_sources(markdown: Column) -> Column:
+    """Targets of a Markdown text's images, in order."""
+    return F.regexp_extract_all(markdown, F.lit(r"!\[[^\]\n]*\]\(<?([^)<>\s]+)"), 1)
+
+
+def absolute_links(markdown: Column, base: Column) -> Column:
+    """Root-relative Markdown targets made absolute on the page's host; script URLs emptied."""
+    site = F.regexp_replace(F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), r"\$", r"\\\$")
+    out = F.regexp_replace(markdown, F.lit(r"(!?\[[^\]\n]*\]\(<?)(?=/(?!/))"), F.concat(F.lit("$1"), site))
+    return F.regexp_replace(out, r"(?i)(\]\(<?)\s*(?:javascript|vbscript|data):[^)>]*", "$1")
+
+
+def parse_search_response(responses: DataFrame) -> DataFrame:
+    """query_id, at, url, title, score of JSON responses (query_id, json); responses of another shape give one row without URL."""
+    parsed = F.from_json("json", "struct<results:array<struct<url:string,title:string,score:double>>>")
+    rows = responses.select("query_id", F.posexplode_outer(parsed["results"]).alias("at", "r"))
+    return rows.select("query_id", "at", "r.*")
+
+
+def annotation_join(annotations: DataFrame, images: DataFrame) -> DataFrame:
+    """id, kind of annotations (id, sha256, text) and images (id, sha256): matched, changed (other bytes) or missing."""
+    have = images.select("id", F.col("sha256").alias("have"))
+    return annotations.join(have, "id", "left").select("id", "text", F.when(F.col("have").isNull(), "missing").when(F.col("have") == F.col("sha256"), "matched").otherwise("changed").alias("kind"))
+
+
+def capture_slug(platform: Column, name: Column, content_id: Column) -> Column:
+    """A file name from the platform and title, with the stable content id kept at its end."""
+    slug = F.lower(F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", ""))
+    tail = F.when(content_id.isNotNull() & (content_id != ""), F.concat(F.lit("-"), content_id)).otherwise("")
+    return F.concat(platform, F.lit("-"), F.regexp_replace(F.substr(slug, F.lit(1), F.greatest(80 - F.length(tail) - F.length(platform), F.lit(1))), "-+$", ""), tail)
+
+
+def effective_scope(platform: Column) -> Column:
+    """Discussions are captured as threads, other pages as pages."""
+    return F.when(platform.isin("x", "hacker-news", "reddit", "bluesky"), "thread").otherwise("page")

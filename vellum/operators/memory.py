@@ -126,3 +126,21 @@ def marker_reciprocity(markers: DataFrame, hubs: DataFrame) -> DataFrame:
     both = markers.select(F.col("scope").alias("marked"), "hub").join(hubs.select("hub", F.col("scope").alias("declared")), "hub", "full_outer")
     issue = F.when(F.col("declared").isNull(), "hub missing").when(F.col("marked").isNull(), "marker missing").when(F.col("marked") != F.col("declared"), "scope differs")
     return both.select(F.coalesce("marked", "declared").alias("scope"), issue.alias("issue")).filter("issue IS NOT NULL")
+
+
+def inspect_context(targets: DataFrame, guides: DataFrame, hubs: DataFrame) -> DataFrame:
+    """target, role, scope, rank: guides that hold for a target from the root down, hubs from the deepest up."""
+    up = targets.select("target", F.explode(F.array_distinct(ancestors(F.col("target")))).alias("scope"))
+    far = depth(F.col("scope"))
+    w = W.partitionBy("target")
+    g = up.join(guides.select("scope").distinct(), "scope").select("target", F.lit("guide").alias("role"), "scope", F.row_number().over(w.orderBy(far, "scope")).cast("bigint").alias("rank"))
+    h = up.join(hubs.select("scope").distinct(), "scope").select("target", F.lit("hub").alias("role"), "scope", F.row_number().over(w.orderBy(far.desc(), "scope")).cast("bigint").alias("rank"))
+    return g.unionByName(h)
+
+
+def analyze_contexts(markers: DataFrame, hubs: DataFrame) -> DataFrame:
+    """scope, issue: what breaks the pairing of guides and hubs, and scopes that differ only by case or aren't canonical."""
+    scopes = markers.select("scope").union(hubs.select("scope")).distinct()
+    folded = scope_collisions(scopes.select(F.col("scope").alias("id"), "scope")).select("scope", F.lit("collision").alias("issue"))
+    wrong = scopes.select("scope", canonical_path_error(F.col("scope")).alias("issue")).filter("issue IS NOT NULL")
+    return marker_reciprocity(markers, hubs).unionByName(folded).unionByName(wrong)

@@ -146,3 +146,35 @@ def semantic_reconcile(index_rows: DataFrame, notes: DataFrame) -> tuple[DataFra
     kept = index_rows.join(live.filter("n = 1").drop("n"), ["path", "hash"])
     gone = index_rows.join(live.filter("n = 1"), ["path", "hash"], "left_anti").agg(F.count(F.lit(1)).alias("discarded"))
     return kept, gone
+
+
+def exact_evidence(notes: DataFrame, phrase: str, terms: list[str], most: int = 12) -> DataFrame:
+    """id, matches: up to twelve distinct (kind, field, value) in the order of scoring."""
+    rows = folded_fields(notes)
+    entry = lambda kind, field, value: F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), F.lit(value).alias("value"))
+    has = lambda field, what: F.contains(f"f_{field}", F.lit(what))
+    found = [F.when(F.col("f_title") == phrase, entry("identity", "title", phrase)), F.when(F.array_contains("f_aliases", phrase), entry("identity", "alias", phrase)), F.when(F.array_contains(F.split("f_path", "\n"), phrase), entry("identity", "path", phrase))]
+    found += [F.when(has(k, phrase), entry("phrase", k, phrase)) for k in PHRASE]
+    found += [F.when(has(k, t), entry("term", k, t)) for t in terms for k in TERM]
+    return rows.select("id", F.slice(F.array_distinct(F.array_compact(F.array(*found))), 1, most).alias("matches")).filter("size(matches) > 0")
+
+
+def candidate_window(limit: int, filtered: bool) -> int:
+    """How many candidates an index is asked for."""
+    return 500 if filtered else max(40, 4 * limit)
+
+
+def accepted(candidates: DataFrame, allowed: DataFrame, least: float, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``limit`` candidates (query_id, doc_id, rank, score) that are allowed and score enough, ranked anew; and counts of what went."""
+    judged = candidates.join(allowed.select("doc_id", F.lit(True).alias("ok")), "doc_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    w = W.partitionBy("query_id").orderBy("rank")
+    kept = judged.filter(F.col("ok") & (F.col("score") >= least)).withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= limit)
+    counted = judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"), F.count_if(~F.col("ok")).alias("discarded"), F.count_if(F.col("ok") & (F.col("score") < least)).alias("rejected"))
+    return kept.select("query_id", "doc_id", "rank", "score"), counted
+
+
+def graph_retriever(reached: DataFrame, limit: int) -> DataFrame:
+    """doc_id, rank, score of notes (doc_id, seed, distance, index) that a search over links reached: the nearest, then by seed and order."""
+    best = reached.groupBy("doc_id").agg(F.min(F.struct("distance", "seed", "index")).alias("b"))
+    ranked = best.orderBy("b", "doc_id").limit(limit).withColumn("rank", F.row_number().over(W.orderBy("b", "doc_id")).cast("bigint"))
+    return ranked.select("doc_id", "rank", (1 / (F.col("b.distance") + 1)).alias("score"))
