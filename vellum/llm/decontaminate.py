@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ from .common import flat_map, pick, table, utf8
 
 SIZE, SHARE, PART = 5, 0.8, 0.5
 K1, B = 1.2, 0.75
-POSTING_BLOCK = 64
-BLOCK_WORDS = 2_000_000
+#: Items of neighbouring lengths that share a block of the index.
+POSTING_BLOCK = 4
+BLOCK_WORDS = 200_000
 
 
 def shingles(words: list, size: int = SIZE) -> set[tuple]:
@@ -40,9 +42,12 @@ class Index:
     """Impact-ordered knowledge of the items: postings by word, and each item's shingles."""
 
     def __init__(self, items: list[tuple[object, bytes]], frequency: Counter, n_items: int, mean: float, share: float = SHARE):
+        items = sorted(items, key=lambda x: len(x[1].split()))
         self.ids = [i for i, _ in items]
         self.number: dict[bytes, int] = {}
         self.whole, self.question, self.answer = [], [], []
+        #: Each item's longest words, one more than a passage with enough of its shingles can lack: such a passage holds one of them.
+        self.essential: set[int] = set()
         postings: dict[int, list[tuple[int, float]]] = {}
         self.longest = 1
         for at, (_, text) in enumerate(items):
@@ -56,73 +61,76 @@ class Index:
             self.answer.append(shingles(words[cut:]) & whole if len(words) - cut >= SIZE else whole)
             norm = K1 * (1 - B + B * len(words) / mean)
             impact = {t: math.log1p((n_items - frequency[r] + 0.5) / (frequency[r] + 0.5)) * c * (K1 + 1) / (c + norm) for (t, c), r in zip(Counter(words).items(), dict.fromkeys(raw), strict=True)}
-            lost = math.floor((1 - share) * len(whole) + 1e-9)
+            # A lacking word takes a shingle with it, or its part of one that repeats within the item.
+            repeats = max(Counter(tuple(words[i : i + SIZE]) for i in range(max(1, len(words) - SIZE + 1))).values(), default=1)
+            lost = math.floor((1 - share) * len(whole) * repeats + 1e-9)
             least = sum(sorted(impact.values())[: max(1, len(impact) - lost)]) * (1 - 1e-9) if impact else math.inf
+            lengths = dict(zip(words, map(len, raw), strict=True))
+            self.essential |= set(sorted(impact, key=lambda t: -lengths[t])[: lost + 1])
             for t, x in impact.items():
                 postings.setdefault(t, []).append((at, x / least))
-        self.postings = {t: ([d for d, _ in p], [x for _, x in p]) for t, p in postings.items()}
-        self.most = {t: max(x) for t, (_, x) in self.postings.items()}
-        self.block_most = {t: [max(x[i : i + POSTING_BLOCK]) for i in range(0, len(x), POSTING_BLOCK)] for t, (_, x) in self.postings.items()}
+        self.blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
+        for t, found in postings.items():
+            in_block: dict[int, list[tuple[int, float]]] = {}
+            for item, x in found:
+                in_block.setdefault(item // POSTING_BLOCK, []).append((item, x))
+            self.blocks[t] = np.array(list(in_block), np.int64), np.array([max(x for _, x in p) for p in in_block.values()])
+            self.postings |= {(t, b): ([i for i, _ in p], [x for _, x in p]) for b, p in in_block.items()}
+        self.most = {t: float(most.max()) for t, (_, most) in self.blocks.items()}
+        self.n_blocks = -(-len(items) // POSTING_BLOCK)
 
     def search(self, words: set[int], threshold: float = 1.0) -> list[tuple[int, float]]:
-        """Items whose summed impacts reach the threshold, by block-max WAND."""
-        at = {t: 0 for t in words}
-        order = sorted(words, key=lambda t: self.postings[t][0][0])
-        out = []
-        while order:
-            bound, pivot = 0.0, -1
-            for i, t in enumerate(order):
-                bound += self.most[t]
-                if bound >= threshold:
-                    pivot = i
+        """Items whose summed impacts reach the threshold, by block-max WAND.
+
+        Blocks are ranges of items. The largest impacts of the query's words bound every block at once;
+        inside the blocks whose bound reaches the threshold, items are reached by pivots.
+        """
+        if not words:
+            return []
+        blocks, most = zip(*[self.blocks[t] for t in words], strict=True)
+        bounds = np.bincount(np.concatenate(blocks), np.concatenate(most), self.n_blocks)
+        return [hit for b in np.flatnonzero(bounds >= threshold - 1e-9).tolist() for hit in self._wand([self.postings[t, b] for t in words if (t, b) in self.postings], threshold)]
+
+    @staticmethod
+    def _wand(lists: list[tuple[list[int], list[float]]], threshold: float) -> list[tuple[int, float]]:
+        """(item, score) by pivoting over posting lists, each bounded by its largest impact."""
+        out, cursors = [], [[items, impacts, max(impacts), 0] for items, impacts in lists]
+        while True:
+            cursors = sorted((c for c in cursors if c[3] < len(c[0])), key=lambda c: c[0][c[3]])
+            bound, pivot = 0.0, None
+            for c in cursors:
+                bound += c[2]
+                if bound >= threshold - 1e-9:
+                    pivot = c[0][c[3]]
                     break
-            if pivot < 0:
+            if pivot is None:
                 return out
-            item = self.postings[order[pivot]][0][at[order[pivot]]]
-            while pivot + 1 < len(order) and self.postings[order[pivot + 1]][0][at[order[pivot + 1]]] == item:
-                pivot += 1
-            bound, until = 0.0, None
-            for t in order[: pivot + 1]:
-                docs, block = self.postings[t][0], at[t] // POSTING_BLOCK
-                while block < len(self.block_most[t]) and docs[min(len(docs), (block + 1) * POSTING_BLOCK) - 1] < item:
-                    block += 1
-                if block < len(self.block_most[t]):
-                    bound += self.block_most[t][block]
-                    last = docs[min(len(docs), (block + 1) * POSTING_BLOCK) - 1]
-                    until = last if until is None else min(until, last)
-            if bound >= threshold:
+            if cursors[0][0][cursors[0][3]] == pivot:
                 score = 0.0
-                for t in order[: pivot + 1]:
-                    docs = self.postings[t][0]
-                    while at[t] < len(docs) and docs[at[t]] < item:
-                        at[t] += 1
-                    if at[t] < len(docs) and docs[at[t]] == item:
-                        score += self.postings[t][1][at[t]]
+                for c in cursors:
+                    if c[0][c[3]] == pivot:
+                        score += c[1][c[3]]
+                        c[3] += 1
                 if score >= threshold:
-                    out.append((item, score))
-                to = item + 1
+                    out.append((pivot, score))
             else:
-                to = until + 1
-                if pivot + 1 < len(order):
-                    to = min(to, self.postings[order[pivot + 1]][0][at[order[pivot + 1]]])
-                to = max(to, item + 1)
-            for t in order[: pivot + 1]:
-                docs = self.postings[t][0]
-                while at[t] < len(docs) and docs[at[t]] < to:
-                    at[t] += 1
-            order = sorted((t for t in order if at[t] < len(self.postings[t][0])), key=lambda t: self.postings[t][0][at[t]])
-        return out
+                for c in cursors:
+                    while c[3] < len(c[0]) and c[0][c[3]] < pivot:
+                        c[3] += 1
 
     def hits(self, text: bytes, share: float = SHARE) -> dict[int, tuple[float, float, float, float]]:
         """score, overlap, question's and answer's overlap of each verified item of a text, of its best passage."""
         get, most, step = self.number.get, self.most, self.longest
         words = [get(w, -1) for w in text.lower().split()]
         found: dict[int, tuple] = {}
+        if self.essential.isdisjoint(words):
+            return {}
         for start in range(0, max(1, len(words) - step), step):
             part = words[start : start + 2 * step]
             query = set(part)
             query.discard(-1)
-            if sum([most[t] for t in query]) < 1:
+            if self.essential.isdisjoint(query) or sum([most[t] for t in query]) < 1:
                 continue
             own = None
             for item, score in self.search(query):
