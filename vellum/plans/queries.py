@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import url as U
+from ..operators import authoring as A
 from ..operators import capture as C
 from ..operators import evaluate as E
 from ..operators import graph as G
@@ -18,6 +19,7 @@ from ..operators import memory as M
 from ..operators import pdf as P
 from ..operators import query as Q
 from ..operators import search as S
+from ..operators import threads as TH
 from ..sources.tables import table, view, with_views
 from ..streaming import events as V
 
@@ -849,3 +851,119 @@ def _(spark, d):
 @query("stream_sessions", "with g as (select *, coalesce((ts >= lag(ts) over (partition by user_id order by ts) + interval '30 minutes')::int, 1) as new from events), s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g) select min(ts) as start, user_id, count(*) as n, round(sum(value), 4) as total from s group by user_id, k")
 def _(spark, d):
     return V.session_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# --- further operators --------------------------------------------------------------------------
+
+
+@query("sanitize_url", "select page_id, regexp_extract(url, '^([^?#]*)', 1) || case when q <> '' then '?' || q else '' end || case when f <> '' and not contains(f, '=') then '#' || f else '' end as url from (select page_id, url, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) as q, regexp_extract(url, '#(.*)$', 1) as f from pages)")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", U.sanitize(F.col("url")).alias("url"))
+
+
+@query("exact_url_query", f"with {_IDENTITIES} select page_id, '\"' || identity || '\"' as query from i")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", U.exact_query(F.col("url")).alias("query")).filter("query IS NOT NULL")
+
+
+@query("canonical_metadata", "select p_partkey, '{\"brand\":\"' || p_brand || '\",\"size\":' || p_size || ',\"type\":\"' || p_type || '\"}' as json from part")
+def _(spark, d):
+    v = F.parse_json(F.to_json(F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))))
+    return table(spark, d, "part").select("p_partkey", X.canonical_metadata(v).alias("json"))
+
+
+@query("metadata_scalar_literal", "select p_partkey, case p_partkey % 4 when 0 then p_size::varchar when 1 then 'true' when 2 then '\"' || p_brand || '\"' else '\"0' || p_size || '\"' end as json from part")
+def _(spark, d):
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, "true").when(k == 2, F.col("p_brand")).otherwise(F.concat(F.lit("0"), F.col("p_size").cast("string")))
+    return table(spark, d, "part").select("p_partkey", F.to_json(X.scalar_literal(text)).alias("json"))
+
+
+@query("exact_matches", with_views(""", f as (select id, [case when lower(title) = 'document 7' then 'identity:title' end, case when contains(lower(title), 'document 7') then 'phrase:title' end, case when contains(lower(coalesce(content, '')), 'document 7') then 'phrase:content' end] as m from notes)
+select id, array_to_string(list_filter(m, lambda x: x is not null), ',') as matches from f where len(list_filter(m, lambda x: x is not null)) > 0""", "notes"))
+def _(spark, d):
+    found = S.exact_evidence(notes(spark, d), "document 7", [])
+    return found.select("id", F.array_join(F.transform("matches", lambda m: F.concat(m["kind"], F.lit(":"), m["field"])), ",").alias("matches"))
+
+
+@query("min_score", f"with {_COSINE}, a as (select *, doc_id % 2 = 0 as ok from vl) select query_id, count(*) as returned, count(*) filter (not ok) as discarded, count(*) filter (ok and score < 0.3) as rejected from a group by query_id")
+def _(spark, d):
+    allowed = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")).filter("doc_id % 2 = 0")
+    return S.accepted(_vectors(spark, d), allowed, 0.3, 5)[1]
+
+
+@query("accepted_rank", f"with {_COSINE} select query_id, doc_id, row_number() over (partition by query_id order by rank) as rank, score from vl where doc_id % 2 = 0 and score >= 0.1 qualify rank <= 5")
+def _(spark, d):
+    allowed = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")).filter("doc_id % 2 = 0")
+    return S.accepted(_vectors(spark, d), allowed, 0.1, 5)[0]
+
+
+SQL["accepted_rank"] = f"with {_COSINE}, a as (select query_id, doc_id, row_number() over (partition by query_id order by rank) as rank, score from vl where doc_id % 2 = 0 and score >= 0.1) select * from a where rank <= 5"
+QUERIES["rank_in_lane"], SQL["rank_in_lane"] = QUERIES["semantic_search"], SQL["semantic_search"]
+QUERIES["hybrid_inner"], SQL["hybrid_inner"] = QUERIES["hybrid_search"], SQL["hybrid_search"]
+QUERIES["first_occurrence"], SQL["first_occurrence"] = QUERIES["contextual_links"], SQL["contextual_links"]
+
+
+@query("recency", with_views(" select n.id, c.hash, round(1 / (100 + row_number() over (partition by n.id order by committed_at desc, c.hash) - 1), 8) as recency from commits c join commit_paths p on p.hash = c.hash join part_notes n on n.path = p.path", "commits", "commit_paths", "part_notes"))
+def _(spark, d):
+    j = H.commit_note_join(view(spark, d, "commits"), view(spark, d, "commit_paths"), view(spark, d, "part_notes"))
+    w = W.partitionBy("id").orderBy(F.col("committed_at").desc(), "hash")
+    return j.select("id", "hash", F.round(1 / (99 + F.row_number().over(w)), 8).alias("recency"))
+
+
+@query("graph_retriever_score", with_views(""", r as (select target as doc_id, min((1, 0, line)) as b from sparse_links group by target) select doc_id, row_number() over (order by b, doc_id) as rank, 0.5 as score from r order by rank limit 50""", "sparse_links"))
+def _(spark, d):
+    links = view(spark, d, "sparse_links")
+    return S.graph_retriever(links.select(F.col("target").alias("doc_id"), F.lit(0).alias("seed"), F.lit(1).alias("distance"), F.col("line").alias("index")), 50)
+
+
+@query("inspect_context", with_views(", s as (select distinct scope from scopes), m as (select target, scope, length(scope) - length(replace(scope, '/', '')) as depth from targets, s where scope = target or starts_with(target, scope || '/')) select target, 'guide' as role, scope, row_number() over (partition by target order by depth, scope) as rank from m union all select target, 'hub', scope, row_number() over (partition by target order by depth desc, scope) from m", "targets", "scopes"))
+def _(spark, d):
+    s = view(spark, d, "scopes")
+    return M.inspect_context(view(spark, d, "targets").distinct(), s, s)
+
+
+SQL["inspect_context"] = SQL["inspect_context"].replace("from targets, s where", "from (select distinct target from targets) targets, s where")
+
+
+@query("create_note", "select doc_id, case when doc_id % 3 = 0 then 'created' when doc_id % 3 = 1 then 'unchanged' else 'conflict' end as outcome from documents where text is not null")
+def _(spark, d):
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text")
+    have = t.filter("doc_id % 3 > 0").select("path", F.when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise("other").alias("text"))
+    return A.create_notes(t.select("path", "text"), have).select(F.col("path").cast("bigint").alias("doc_id"), "outcome")
+
+
+@query("add_relation", with_views(" select distinct source, predicate, target from relations where predicate <> 'supplies'", "relations"))
+def _(spark, d):
+    r = view(spark, d, "relations")
+    added = r.select(F.lit(1).alias("seq"), F.lit("add").alias("op"), "source", "predicate", "target")
+    removed = r.filter("predicate = 'supplies'").select(F.lit(2).alias("seq"), F.lit("remove").alias("op"), "source", "predicate", "target")
+    return A.current_relations(added.unionByName(removed))
+
+
+QUERIES["remove_relation"], SQL["remove_relation"] = QUERIES["add_relation"], SQL["add_relation"]
+
+
+@query("rolling_caption_delta", "with l as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as last from conversations) select conv_id, sum(case when text = last then 0 else 1 end)::bigint as shown from l group by conv_id")
+def _(spark, d):
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumn("last", F.lag("text").over(w))
+    return c.groupBy("conv_id").agg(F.count_if(~F.coalesce(F.col("text") == F.col("last"), F.lit(False))).alias("shown"))
+
+
+@query("scan_image_sources", "select page_id, array_to_string(list_transform(regexp_extract_all(html, '<img[^>]*src=\"([^\"]*)\"', 1), lambda x: x), ' ') as images from pages")
+def _(spark, d):
+    md = F.regexp_replace("html", r"<img[^>]*src=\"([^\"]*)\"", "![x]($1)")
+    return table(spark, d, "pages").select("page_id", F.array_join(C.image_sources(md), " ").alias("images"))
+
+
+@query("render_thread", "select conv_id, string_agg(repeat('  ', turn::int) || '- **' || role || '**: ' || regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), chr(10) order by turn) as text from conversations group by conv_id")
+def _(spark, d):
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("document"), F.array("turn").alias("sort"), F.col("turn").cast("int").alias("depth"), F.col("role").alias("author"), F.col("text").alias("body"), F.lit("content").alias("kind"))
+    return TH.outline(t).select(F.col("document").alias("conv_id"), "text")
+
+
+@query("structured_status", "select conv_id, case when count(*) filter (role = 'user') = 0 then 'unsupported' else 'complete' end as status from conversations group by conv_id")
+def _(spark, d):
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("depth"), F.when(F.col("role") == "user", "content").otherwise("other").alias("kind"))
+    return TH.structured_status(TH.counts(t)).select(F.col("document").alias("conv_id"), "status")
