@@ -137,8 +137,8 @@ class Index:
                 own = shingles(part) if own is None else own
                 overlaps = tuple(len(own & x) / max(1, len(x)) for x in (self.whole[item], self.question[item], self.answer[item]))
                 if overlaps[0] >= share - 1e-9 and min(overlaps[1:]) >= PART:
-                    found[item] = max(found.get(item, ()), (overlaps[0], score, *overlaps[1:]))
-        return {i: (s, o, q, a) for i, (o, s, q, a) in found.items()}
+                    found[item] = max(found.get(item, ()), (*overlaps, score))
+        return {i: (s, o, q, a) for i, (o, q, a, s) in found.items()}
 
 
 def indexes(items: DataFrame, share: float = SHARE, block_words: int = BLOCK_WORDS):
@@ -210,3 +210,31 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_GRAM = "array_to_string(w[p + 1:p + 5], ' ')"
+SQL = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+l AS (SELECT max(len(w)) AS step FROM b),
+i AS (SELECT item_id, w, p, greatest(1, 2 * len(w) // 3) AS cut FROM (SELECT item_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS p FROM b WHERE len(w) > 0)),
+s AS (
+  SELECT DISTINCT item_id, part, {_GRAM} AS g FROM (
+    SELECT *, unnest(CASE WHEN len(w) - cut < 5 THEN [0, 1, 2] WHEN p + 5 <= cut THEN [0, 1] WHEN p >= cut THEN [0, 2] ELSE [0] END) AS part FROM i)
+), z AS (SELECT item_id, part, count(*) AS size FROM s GROUP BY ALL),
+d AS (SELECT doc_id, w, len(w) AS n, unnest(range(0, greatest(1, len(w) - 4))) AS p FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+m AS (SELECT d.doc_id, d.n, d.p, s.item_id, s.part, s.g FROM (SELECT *, {_GRAM} AS g FROM d) d JOIN s ON s.g = d.g WHERE d.g <> ''),
+x AS (SELECT m.*, unnest([p // step, p // step - 1]) AS j, step FROM m, l),
+c AS (
+  SELECT doc_id, item_id, j, part, count(DISTINCT g) AS k FROM x
+  WHERE j >= 0 AND (j * step < greatest(1, n - step)) AND p + least(5, n) <= j * step + 2 * step GROUP BY ALL
+), o AS (
+  SELECT doc_id, item_id, j, max(CASE WHEN part = 0 THEN k / size ELSE 0 END) AS overlap,
+         max(CASE WHEN part = 1 THEN k / size ELSE 0 END) AS question_overlap, max(CASE WHEN part = 2 THEN k / size ELSE 0 END) AS answer_overlap
+  FROM c JOIN z USING (item_id, part) GROUP BY doc_id, item_id, j
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, question_overlap DESC, answer_overlap DESC) AS place
+  FROM o WHERE overlap >= {SHARE} - 1e-9 AND question_overlap >= {PART} AND answer_overlap >= {PART}
+)
+SELECT doc_id, item_id, round(overlap, 6) AS overlap, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap FROM r WHERE place = 1
+"""

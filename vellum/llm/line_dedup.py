@@ -117,6 +117,7 @@ def lines_to_drop(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_
     """(vellum_drop_id, vellum_drop_keys): the keys that each document loses."""
     some = materialize(suspected(docs, min_chars, bits_log2, seg_log2), "suspects")
     kept = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).filter(F.col("n") >= min_docs).drop("n")
+    kept = materialize(kept, "kept")  # written, so that Spark may split a hot line's rows in the join
     return some.join(kept, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keep"))).groupBy(F.col("doc_id").alias("vellum_drop_id")).agg(F.collect_set("key").alias("vellum_drop_keys"))
 
 

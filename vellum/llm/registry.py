@@ -20,6 +20,7 @@ QUERIES = {
 #: DuckDB SQL.
 ORACLE_SQL = {
     "op4_url_filter": url_filter.SQL,
+    "op6_decontaminate": decontaminate.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }

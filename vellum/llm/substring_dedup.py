@@ -33,8 +33,8 @@ from .common import append, flat_map, materialize, pick, table, utf8
 
 WINDOW, GRAM = 200, 32
 HOT, FILTER_LOG2 = 20_000, 26
-#: Bytes of text hashed at once in a task: the arrays take some 100 MB.
-CHUNK = 1_000_000
+#: Bytes of text hashed at once in a task: the arrays take some 40 MB.
+CHUNK = 256_000
 #: Odd bases of the two polynomials, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POSITION = np.uint64((1 << 32) - 1)
