@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import append, flat_map, materialize, pick, table, utf8
 
 WINDOW, GRAM = 200, 32
-HOT, FILTER_LOG2 = 20_000, 26
+HOT, FILTER_LOG2 = 4_000, 26
 #: Bytes of text hashed at once in a task: the arrays take some 40 MB.
 CHUNK = 256_000
 #: Odd bases of the two polynomials, modulo 2**64.
@@ -339,7 +339,7 @@ def with_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _classed(contexts: DataFrame, hot: int) -> DataFrame:
     """gram, context, starts, ends: ranges of repeated window offsets in each distinct context."""
-    large = contexts.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("large"))
+    large = materialize(contexts.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("large")), "large")
     contexts = contexts.join(large, "gram", "left")
 
     def gather():
@@ -351,16 +351,29 @@ def _classed(contexts: DataFrame, hot: int) -> DataFrame:
                 return [[], [], [], []]
             if not held or not sum(b.num_rows for b in held):
                 return [[], [], [], []]
-            t = pa.Table.from_batches(held)
-            found = repeated_windows(t["body"].to_pylist(), t["at"].to_numpy().astype(np.int64), t["many"].to_numpy())
-            ranges = [_ranges(f) for f in found]
-            return [t["gram"].combine_chunks(), t["context"].combine_chunks(), [r[0] for r in ranges], [r[1] for r in ranges]]
+            t = pa.Table.from_batches(held).sort_by("gram")
+            gram = t["gram"].to_numpy()
+            first = np.concatenate(([0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]))
+            starts, ends, at = [], [], 0
+            while at < len(gram):
+                # Whole grams of about ``hot`` contexts together: what is sorted at once stays small.
+                to = int(first[max(np.searchsorted(first, at + hot, side="right") - 1, np.searchsorted(first, at, side="right"))])
+                part = t.slice(at, to - at)
+                for f in repeated_windows(part["body"].to_pylist(), part["at"].to_numpy().astype(np.int64), part["many"].to_numpy()):
+                    s, e = _ranges(f)
+                    starts.append(s)
+                    ends.append(e)
+                at = to
+            return [t["gram"].combine_chunks(), t["context"].combine_chunks(), starts, ends]
 
         return of
 
     fields = {"gram": "bigint", "context": "bigint", "starts": "array<int>", "ends": "array<int>"}
     plain = flat_map(contexts.filter("large IS NULL").select("gram", "context", "many", "body", "at").repartition("gram"), gather, fields, last=True)
 
+    if large.isEmpty():
+        return plain.filter("size(starts) > 0")
+
     def windows():
         def of(batch):
             out = []
@@ -378,6 +391,7 @@ def _classed(contexts: DataFrame, hot: int) -> DataFrame:
 
     each = flat_map(contexts.filter("large").select("gram", "context", "many", "body", "at"), windows, {"gram": "bigint", "context": "bigint", "many": "boolean", "start": "int", "x": "bigint", "y": "bigint"})
     again = each.groupBy("x", "y").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).filter("n >= 2").drop("n")
+    again = materialize(again, "again")  # written, so that Spark may split a hot window's rows in the join
     spread = each.join(again, ["x", "y"]).groupBy("gram", "context").agg(F.collect_list("start").alias("starts")).select("gram", "context", "starts", F.col("starts").alias("ends"))
     return plain.filter("size(starts) > 0").unionByName(spread)
 
