@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, flat_map, materialize, pick, table, utf8
+from .common import append, arrow_batches, flat_map, materialize, pick, table, utf8
 
 WINDOW, GRAM = 200, 32
 HOT, FILTER_LOG2 = 4_000, 26
 #: Bytes of text hashed at once in a task: the arrays take some 40 MB.
 CHUNK = 256_000
+#: Rows that go to Python at once while texts are cut at anchors.
+BATCH = 1_000
 #: Odd bases of the two polynomials, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POSITION = np.uint64((1 << 32) - 1)
@@ -428,7 +430,8 @@ def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     bytes or more go whole. Null and empty texts have no bytes. Shorter texts stay.
     """
     texts = docs.select("text")
-    ranges = materialize(repeated_ranges(texts, hot), "ranges")
+    with arrow_batches(docs.sparkSession, BATCH):
+        ranges = materialize(repeated_ranges(texts, hot), "ranges")
     keyed = with_keys(docs, ranges)
     renamed = ranges.withColumnRenamed("key", "vellum_of")
     touched = keyed.filter("vellum_some")
