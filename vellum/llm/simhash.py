@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append, flat_map, materialize, pick, table
+from .near_copies import keyed, near_copies
 
 SHINGLE, SEED, BUDGET, HOT = 3, 42, 2, 200_000
 
@@ -218,7 +219,14 @@ def query(spark, sf_dir) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest ``doc_id``.
 
+    A class is what pairs of a five-word Jaccard similarity of 0.8 or more connect. Such texts differ in
+    about ten bits of a fingerprint, where the trie would compare almost all pairs, so
+    ``near_copies`` finds them by their shingles.
     Rows without ``doc_id`` stay; of rows that repeat a ``doc_id`` all stay or none does.
     """
-    dup = near_duplicates(docs).filter(F.col("doc_id") != F.col("vellum_class")).select("doc_id").distinct()
+    ids = keyed(docs).select("doc_id", "key")
+    roots = near_copies(docs, components)
+    classed = materialize(ids.join(roots, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root")), "classes")
+    low = classed.groupBy("root").agg(F.min("doc_id").alias("low"))
+    dup = classed.join(low, "root").filter("doc_id <> low").select("doc_id").distinct()
     return docs.join(dup, "doc_id", "left_anti").select(*docs.columns)
