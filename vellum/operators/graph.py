@@ -234,19 +234,22 @@ def graph_context(edges: DataFrame, seeds: list[str], per_seed: int = 3) -> Data
     return kept.groupBy("id").agg(F.count(F.lit(1)).alias("seeds"), F.min("seed_rank").alias("seed_rank")).orderBy(F.col("seeds").desc(), "seed_rank", "id")
 
 
-def thread_depths(turns: DataFrame, most: int = 1000) -> DataFrame:
+def thread_depths(turns: DataFrame, most: int | None = None) -> DataFrame:
     """conv_id, turn, depth, root of each turn: parents are followed by doubling the distance a join.
 
-    Turns whose parent is missing are roots; turns on a cycle get no root.
+    Turns whose parent is missing are roots; turns on a cycle, or below one, get no root. It goes on until no parent is left
+    to follow, or, for cycles, until the distance is that of the largest conversation, which is counted unless a caller knows it (``most``).
     """
     up = turns.select("conv_id", "turn", F.col("parent_turn").alias("up"))
     known = turns.select("conv_id", F.col("turn").alias("up"), F.lit(True).alias("known"))
     state = up.join(known, ["conv_id", "up"], "left").select("conv_id", "turn", F.when(F.col("known"), F.col("up")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"), F.when(F.col("known"), None).otherwise(F.col("turn")).alias("root"))
+    if most is None:
+        most = turns.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     step = 1
     while step < most:
         above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
         state = state.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root"))
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state
+        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.localCheckpoint()
         step *= 2
         if state.filter("up IS NOT NULL").isEmpty():
             break
