@@ -1,10 +1,20 @@
-"""Byte-level BPE: the distinct words of a batch are folded once, by ranked merges.
-
-A text is cut by the pretokenizer's pattern; each distinct piece of text (word) starts as single
-bytes, and the adjacent pair with the lowest rank is merged until no pair has a rank. Ranks come
-from a public vocabulary, read on the driver and sent to the tasks as one literal map (its size
-is checked). Decoding concatenates the vocabulary's byte strings. A text's ids are its words'
-ids in order, so all that is left for a text is to join what its words gave.
+"""Byte-level BPE: Spark's higher-order functions fold ranked merges over the distinct words of a block of texts.
+
+1. Texts are gathered in blocks of ``block_chars`` characters. The pretokenizer's pattern cuts
+   them into words; a block is one row that holds its distinct words as byte arrays, and each text
+   as numbers of those words.
+2. ``transform`` goes over the words and ``aggregate`` folds each: the adjacent pair with the lowest
+   rank, the leftmost of equals, becomes one id, until no pair has a rank. Ranks are a literal in the
+   plan. Spark looks a key up in a map by scanning it, so the literal map is laid out as arrays, in
+   which the pair's place is computed and the entry's key is compared (see :class:`RankMap`).
+3. Decoding concatenates the binary pieces of the ids, again a literal.
+4. A text's ids are its words' ids in order.
+
+A block never leaves its task: bringing each word together over all blocks, and its ids back, would
+shuffle more than the input. Words that are frequent in one text of ``SAMPLE`` are folded first, once for
+all, and at most ``CACHED`` of them are sent to the tasks; a block folds its other words. The sample changes the
+work, not the ids. Words over ``LONG`` bytes, whose fold takes time by the square of their
+length, are merged with a heap instead; the ids are the same.
 """
 
 from __future__ import annotations
@@ -12,26 +22,38 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, pick, table
+from .common import flat_map, materialize, pick, table
 
-#: Words kept with their ids in a worker, and the longest of them in characters.
-MEMO, MEMO_CHARS = 300_000, 40
-#: Vocabularies over so many entries are refused, as every task holds one.
-MOST_RANKS = 1_000_000
+#: Longest word, in bytes, that the fold takes.
+LONG = 512
+#: Characters of text in a block; a longer text is a block of its own.
+BLOCK_CHARS = 16_000_000
+#: Frequent words are counted in one text of so many, and at most so many (some 30 bytes each) go to each task.
+SAMPLE, CACHED = 16, 400_000
+#: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
+MOST_RANKS = 200_000
+_NONE = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    if len(ranks) > MOST_RANKS:
-        raise ValueError(f"{len(ranks)} ranks; at most {MOST_RANKS} go to each task")
+    if len(ranks) > MOST_RANKS or max(ranks.values(), default=0) >= _NONE - 1:
+        raise ValueError(f"{len(ranks)} ranks; at most {MOST_RANKS} go into a plan, and ids stay below {_NONE - 1}")
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("a byte has no rank")
     return ranks
 
 
@@ -40,33 +62,92 @@ def words_of(pattern: str):
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
 
-def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word: merge the pair of lowest rank, the leftmost of equals, until none is left."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    if len(word) > 64:
-        return _fold_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    get = ranks.get
-    pairs = [get(parts[i] + parts[i + 1]) for i in range(len(parts) - 1)]
-    while True:
-        best, at = None, -1
-        for i, r in enumerate(pairs):
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            return [ranks[p] for p in parts]
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
-        if at:
-            pairs[at - 1] = get(parts[at - 1] + parts[at])
-        if at < len(pairs):
-            pairs[at] = get(parts[at] + parts[at + 1])
-
-
-def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same for long words, with a heap of pairs and linked parts: n log n steps."""
+class RankMap:
+    """The ranks of pairs of ids as literal arrays, and the expressions that fold and decode with them.
+
+    ``slots`` holds ``key << 20 | rank`` for each pair (a, b) of ids whose bytes together have a
+    rank; ``key`` is a * factor + b. A pair's slot is given by the key's low bits, shifted by a number that its
+    group (key % groups) has in ``shifts``, chosen so that no two pairs share a slot. A lookup xors the
+    slot with ``key << 20``: what is left is the rank, or 2**20 or more if the slot is another pair's or empty.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = [(ranks[x[:i]], ranks[x[i:]], r) for x, r in ranks.items() for i in range(1, len(x)) if x[:i] in ranks and x[i:] in ranks]
+        a, b, rank = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.size = 1 << max(4, int(1.3 * len(rank))).bit_length()
+        self.groups = self.size // 4 - 1
+        for self.factor in range(_NONE + 7, _NONE + 207, 2):
+            key = a * self.factor + b
+            if self._place(key, (key << 20) | rank):
+                break
+        else:
+            raise ValueError("no collision-free layout of the ranks")
+        self.bytes = [ranks[bytes([i])] for i in range(256)]
+        self.pieces = [""] * (max(ranks.values()) + 1)
+        for x, r in ranks.items():
+            self.pieces[r] = x.hex()
+
+    def _place(self, key: np.ndarray, entry: np.ndarray) -> bool:
+        group, home = key % self.groups, key % self.size
+        if len(np.unique(group * self.size + home)) < len(key):
+            return False
+        self.slots = np.full(self.size, 1 << 62, np.int64)
+        self.shifts = np.zeros(self.groups, np.int64)
+        free, order = np.ones(self.size, bool), np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0))) if len(key) else np.empty(0, np.int64)
+        members = sorted(np.split(order, starts[1:]), key=len, reverse=True)
+        several = sum(len(m) > 1 for m in members)
+        for i, m in enumerate(members[:several]):
+            for low in (np.arange(0, self.size, 64) + 64 * i) % self.size:
+                places = (home[m][:, None] + np.arange(low, low + 64)) % self.size
+                fits = np.flatnonzero(free[places].all(axis=0))
+                if len(fits):
+                    at = places[:, fits[0]]
+                    self.shifts[group[m[0]]] = low + fits[0]
+                    self.slots[at], free[at] = entry[m], False
+                    break
+            else:
+                return False
+        one = np.array([m[0] for m in members[several:]], np.int64)
+        at = np.flatnonzero(free)[: len(one)]
+        self.slots[at], self.shifts[group[one]] = entry[one], (at - home[one]) % self.size
+        return True
+
+    def rank(self, a: str, b: str) -> str:
+        """SQL for the rank of a pair of ids; 2**20 or more where it has none. The literal is bound to ``t``."""
+        key = f"({a} * {self.factor}L + {b})"
+        return f"(get(t.slots, cast(({key} + get(t.shifts, cast({key} % {self.groups}L as int))) & {self.size - 1}L as int)) ^ shiftleft({key}, 20))"
+
+    def ids(self, words: str) -> str:
+        """SQL for the ids of each byte array of ``words``, an array.
+
+        The fold's state holds the word's ids with a mark at both ends, the ranks of adjacent pairs,
+        the lowest rank and its place. One step finds the lowest rank, the next merges that pair, whose id is that rank.
+        """
+        start = f"concat(array({_NONE - 1}L), transform(w, b -> get(t.bytes, b)), array({_NONE - 1}L))"
+        zero = f"named_struct('x', x, 'r', transform(slice(x, 1, size(x) - 1), (a, i) -> {self.rank('a', 'get(x, i + 1)')}), 'm', 0L, 'p', 0)"
+        found = "named_struct('x', s.x, 'r', s.r, 'm', array_min(s.r), 'p', cast(array_position(s.r, array_min(s.r)) as int))"
+        ids = "concat(slice(s.x, 1, s.p - 1), array(s.m), slice(s.x, s.p + 2, size(s.x)))"
+        pairs = f"concat(slice(s.r, 1, s.p - 2), array({self.rank('get(s.x, s.p - 2)', 's.m')}, {self.rank('s.m', 'get(s.x, s.p + 1)')}), slice(s.r, s.p + 2, size(s.r)))"
+        step = f"if(s.m >= {_NONE}L, s, if(s.p = 0, {found}, named_struct('x', {ids}, 'r', {pairs}, 'm', 0L, 'p', 0)))"
+        fold = f"aggregate(sequence(1, 2 * size(x)), {zero}, (s, i) -> {step}, s -> cast(slice(s.x, 2, size(s.x) - 2) as array<int>))"
+        longs = "cast(split('{}', ',') as array<bigint>)".format
+        bound = f"array(named_struct('slots', {longs(','.join(map(str, self.slots)))}, 'shifts', {longs(','.join(map(str, self.shifts)))}, 'bytes', {longs(','.join(map(str, self.bytes)))}))"
+        return f"transform({bound}, t -> transform(transform({words}, w -> {start}), x -> {fold}))[0]"
+
+    def binary(self, ids: str) -> str:
+        """SQL for the pieces of each array of ids of ``ids``, an array, concatenated. An unknown id gives null."""
+        pieces = "array(named_struct('p', split('{}', ',')))".format(",".join(self.pieces))
+        return f"transform({pieces}, t -> transform({ids}, x -> if(exists(x, i -> coalesce(get(t.p, i), '') = ''), cast(null as binary), unhex(array_join(transform(x, i -> get(t.p, i)), '')))))[0]"
+
+
+@lru_cache(maxsize=2)
+def rank_map(path: str) -> RankMap:
+    return RankMap(read_ranks(path))
+
+
+def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a long word, with a heap of pairs and linked parts: n log n steps."""
     n = len(word)
     ends, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
@@ -92,92 +173,166 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-class Words:
-    """What each word gives: number of ids, the ids, the ids as text, and the bytes they decode to."""
+def _offsets(sizes) -> pa.Array:
+    return pa.array(np.cumsum([0, *sizes]).astype(np.int32))
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, words_of(pattern)
-        self.pieces = {v: k for k, v in ranks.items()}
-        self.memo: dict[str, tuple] = {}
 
-    def of(self, word: str) -> tuple:
-        ids = fold(word.encode(), self.ranks)
-        found = (len(ids), ids, ",".join(map(str, ids)), b"".join(self.pieces[i] for i in ids))
-        if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+def _sizes(lists) -> list[int]:
+    return [len(x) for x in lists]
 
-    def text(self, text: str) -> list[tuple]:
-        get, of = self.memo.get, self.of
-        return [get(w) or of(w) for w in self.find(text)]
 
+class Known:
+    """Words whose ids need no fold in a block: those of the vocabulary, and the frequent ones."""
 
-_CACHE: dict[str, Words] = {}
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        self.words, self.ids = words, ids
 
+    @classmethod
+    def of(cls, ranks: dict[bytes, int], frequent: pa.Table | None) -> Known:
+        words, ids = pa.array(list(ranks), pa.binary()), pa.array([[r] for r in ranks.values()], pa.list_(pa.int32()))
+        if frequent is not None:
+            words = pa.concat_arrays([words, *frequent["word"].cast(pa.binary()).chunks])
+            ids = pa.concat_arrays([ids, *frequent["ids"].cast(pa.list_(pa.int32())).chunks])
+        return cls(words, ids)
 
-def _words(shared) -> Words:
-    """The worker's table of words, kept from task to task."""
-    ranks, pattern, key = shared.value
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = Words(ranks, pattern)
-    return _CACHE[key]
+    def number(self, texts: list[str], find, ranks: dict[bytes, int]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Of some texts: each as numbers of its words, the words' bytes (empty where the ids are known), and those ids."""
+        found = [find(t) for t in texts]
+        flat = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+        numbers = pa.ListArray.from_arrays(_offsets(_sizes(found)), flat.indices)
+        words = flat.dictionary.cast(pa.binary())
+        known = self.ids.take(pc.index_in(words, value_set=self.words))
+        long = np.flatnonzero(pc.and_(known.is_null(), pc.greater(pc.binary_length(words), LONG)).to_numpy(zero_copy_only=False))
+        if len(long):
+            held = known.to_pylist()
+            for i in long.tolist():
+                held[i] = fold_long(words[i].as_py(), ranks)
+            known = pa.array(held, pa.list_(pa.int32()))
+        left = pc.if_else(known.is_null(), words, pa.scalar(b"", pa.binary())).to_pylist()
+        data = pa.array(np.frombuffer(b"".join(left), np.uint8).astype(np.int16))
+        return numbers, pa.ListArray.from_arrays(_offsets(_sizes(left)), data), pc.fill_null(known, pa.scalar([], pa.list_(pa.int32()))) if known.null_count else known
 
 
-def _share(spark: SparkSession, path: str, pattern: str):
-    ranks = read_ranks(path)
-    return spark.sparkContext.broadcast((ranks, pattern, hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()))
+def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cached: int = CACHED) -> pa.Table:
+    """word, ids: at most ``cached`` words outside the vocabulary, the most frequent in one text of ``sample``, folded."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
+    def make():
+        find, ranks = words_of(pattern), shared.value
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``vellum_ids`` (array of int). A null or empty text has no ids."""
-    shared = _share(docs.sparkSession, path, pattern)
+        def of(batch):
+            held: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                held.update(find(t))
+            words = {b: n for w, n in held.items() if len(b := w.encode()) <= LONG and b not in ranks}
+            return [list(words), list(words.values())]
 
-    def make():
-        words = _words(shared)
-        return lambda texts: [[[i for w in words.text(t.decode()) for i in w[1]] for t in texts]]
+        return of
 
-    return append(docs, make, {"vellum_ids": "array<int>"}, text)
+    texts = pick(docs, "text").filter((F.length("text") > 0) & (F.pmod(F.xxhash64("text"), F.lit(sample)) == 0))
+    counted = materialize(flat_map(texts, make, {"word": "binary", "n": "bigint"}).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "frequent")
+    least, total = 1 << 62, 0
+    for r in counted.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+        total += r.words
+        if total > cached:
+            break
+        least = r.n
+    words = counted.filter(F.col("n") >= least)
+    codes = "transform(sequence(1, length(hex(word)), 2), i -> cast(conv(substring(hex(word), i, 2), 16, 10) as smallint))"
+    return words.select("word", F.expr(f"{rank_map(path).ids(f'array({codes})')}[0]").alias("ids")).toArrow()
+
+
+def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_chars: int) -> DataFrame:
+    """One row for each block of texts: rows (what ``keep`` names), texts (numbers of words), words, known."""
+    ranks = read_ranks(path)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, Known.of(ranks, frequent(docs, path, pattern))))
+    at = [docs.columns.index(n) for n in keep]
+    text = docs.columns.index("text")
+    row = T.StructType([T.StructField(f"c{i}", docs.schema[k].dataType) for i, k in enumerate(at)])
+    schema = T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("texts", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("known", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, (ranks, known) = words_of(pattern), shared.value
 
-def decode(df: DataFrame, path: str, ids: str = "vellum_ids") -> DataFrame:
-    """``df`` with ``vellum_bytes``, the pieces of its ids joined. Null ids give no bytes; an unknown id is an error."""
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    at = df.columns.index(ids)
+        def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = pa.StructArray.from_arrays([batch.column(k) for k in at], names=[f"c{i}" for i in range(len(at))])
+            parts = [rows, *known.number([t or "" for t in batch.column(text).to_pylist()], find, ranks)]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), p) for p in parts], names=schema.names)
 
-    def run(batches):
-        pieces = {v: k for k, v in shared.value.items()}
         for batch in batches:
-            out = [b"".join(pieces[i] for i in x or ()) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "vellum_bytes"])
+            sizes = np.cumsum([0, *(n or 0 for n in pc.utf8_length(batch.column(text)).to_pylist())])
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + block_chars, side="right")) - 1)
+                yield block(batch.slice(low, high - low))
+                low = high
+
+    return docs.mapInArrow(run, schema)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("vellum_bytes", T.BinaryType())]))
 
+def _folded(blocks: DataFrame, path: str) -> DataFrame:
+    """Blocks with ``ids``: those of each word."""
+    return blocks.withColumn("ids", F.expr(f"zip_with({rank_map(path).ids('words')}, known, (f, k) -> if(size(k) > 0, k, f))")).drop("words", "known")
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with vellum_tokens, vellum_ids_sha256 and vellum_decoded_sha256, without holding ids as rows.
 
-    A null text counts as empty. Repeated rows give repeated results; an empty table an empty one.
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of each block: the rows' columns, the texts' offsets among all words, those words' numbers, and the block's other lists."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows, texts, *rest = (batch.column(k)[i].values for k in range(batch.num_columns))
+            start = texts.offsets[0].as_py()
+            offsets = pc.cast(pc.subtract(texts.offsets, pa.scalar(start, pa.int32())), pa.int32())
+            yield rows.flatten(), offsets, texts.values.slice(start, offsets[-1].as_py()), rest
+
+
+def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` with ``vellum_ids`` (array of int).
+
+    A null or empty text has no ids. Each row stands for itself; an empty table gives an empty one;
+    other columns, whatever their names, are carried along. A long text is a block of its own, some
+    twenty times its size in memory.
     """
-    shared = _share(docs.sparkSession, path, pattern)
+    columns = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("vellum_ids", T.ArrayType(T.IntegerType()))])
 
-    def make():
-        words = _words(shared)
+    def run(batches):
+        for columns_, offsets, numbers, (ids,) in _texts(batches):
+            taken = ids.take(numbers)
+            ends = pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False)))).astype(np.int32)).take(offsets)
+            yield pa.RecordBatch.from_arrays([*columns_, pa.ListArray.from_arrays(ends, taken.flatten())], names=[*columns, "vellum_ids"])
 
-        def of(texts):
-            n, ids, decoded = [], [], []
-            for t in texts:
-                found = words.text(t.decode())
-                n.append(sum(w[0] for w in found))
-                ids.append(hashlib.sha256(",".join([w[2] for w in found]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([w[3] for w in found])).hexdigest())
-            return [n, ids, decoded]
+    return _folded(_blocks(docs, columns, path, pattern, block_chars), path).select("rows", "texts", "ids").mapInArrow(run, schema)
 
-        return of
 
-    return append(docs, make, {"vellum_tokens": "bigint", "vellum_ids_sha256": "string", "vellum_decoded_sha256": "string"})
+def decode(df: DataFrame, path: str, ids: str = "vellum_ids") -> DataFrame:
+    """``df`` with ``vellum_bytes``, the pieces of its ids joined. Null ids give no bytes; an unknown id makes them null."""
+    held = f"array(coalesce(`{ids}`, cast(array() as array<int>)))"
+    return df.withColumn("vellum_bytes", F.expr(rank_map(path).binary(held))[0])
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` (the columns that ``keep`` names, or all) with vellum_tokens, vellum_ids_sha256 and vellum_decoded_sha256.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as in :func:`encode`.
+    """
+    keep = docs.columns if keep is None else keep
+    schema = T.StructType([*(docs.schema[n] for n in keep), T.StructField("vellum_tokens", T.LongType()), T.StructField("vellum_ids_sha256", T.StringType()), T.StructField("vellum_decoded_sha256", T.StringType())])
+
+    def joined(values: pa.Array, offsets: pa.Array, numbers: pa.Array, by) -> list[str]:
+        lists = pa.ListArray.from_arrays(offsets, values.take(numbers))
+        return [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(lists, by)]
+
+    def run(batches):
+        for columns, offsets, numbers, (ids, pieces) in _texts(batches):
+            starts, values = ids.offsets, ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py())
+            own = pa.ListArray.from_arrays(pc.cast(pc.subtract(starts, starts[0]), pa.int32()), values.cast(pa.string()))
+            length = np.concatenate(([0], np.cumsum(np.diff(starts.to_numpy())[numbers.to_numpy()])))
+            tokens = np.diff(length[offsets.to_numpy()])
+            new = [pa.array(tokens, pa.int64()), pa.array(joined(pc.binary_join(own, ","), offsets, numbers, ","), pa.string()), pa.array(joined(pieces, offsets, numbers, b""), pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *new], names=schema.names)
+
+    folded = _folded(_blocks(docs, keep, path, pattern, block_chars), path)
+    return folded.withColumn("pieces", F.expr(rank_map(path).binary("ids"))).select("rows", "texts", "ids", "pieces").mapInArrow(run, schema)
 
 
 def _public() -> tuple[str, str]:
@@ -186,10 +341,6 @@ def _public() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _named(out: DataFrame) -> DataFrame:
-    return out.select("doc_id", F.col("vellum_tokens").alias("n_tokens"), F.col("vellum_ids_sha256").alias("ids_sha256"), F.col("vellum_decoded_sha256").alias("decoded_sha256"))
-
-
 def query(spark, sf_dir) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return stage(spark, table(spark, sf_dir, "documents"), sf_dir)
@@ -197,4 +348,5 @@ def query(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same of the documents that earlier stages kept."""
-    return _named(round_trip(pick(docs, "doc_id", "text"), *_public()))
+    out = round_trip(pick(docs, "doc_id", "text"), *_public(), keep=["doc_id"])
+    return out.select("doc_id", F.col("vellum_tokens").alias("n_tokens"), F.col("vellum_ids_sha256").alias("ids_sha256"), F.col("vellum_decoded_sha256").alias("decoded_sha256"))
