@@ -46,6 +46,28 @@ def test_votes_are_those_of_all_cosines():
         assert abs(s - sum(a * y[i] for a, i in zip(w, best, strict=True)) / sum(w)) < 1e-3
 
 
+def test_ties_share_the_last_places_and_blocks_do_not_matter():
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.random((1, Q.DIM)), 100, axis=0)
+    y = np.array([0, 1] * 50)
+    assert Q.Neighbours(x, y).score(x[:3]).tolist() == [0.5] * 3
+    x, y = rng.random((300, Q.DIM)).astype(np.float32), rng.integers(0, 2, 300)
+    model, probe = Q.Neighbours(x, y), rng.random((600, Q.DIM)).astype(np.float32)
+    assert model.score(probe).tolist() == [model.score(p[None])[0] for p in probe]
+
+
+def test_whole_words_count():
+    a = Q._slots(b"a" * 70 + b"|" + b"b" * 9)
+    assert a[1] == Q._slots(b"a|b")[1] and a[1] != Q._slots(b"a" * 80)[1]
+
+
+def test_stage_keeps_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(i, made(i)[0], 0.5) for i in range(40)], "doc_id bigint, text string, vellum_score double")
+    spark.createDataFrame([(i, made(i)[1]) for i in range(40)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = Q.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and 20 <= out.count() < 40
+
+
 def test_no_labels_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int")

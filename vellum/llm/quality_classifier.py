@@ -6,11 +6,14 @@ inverse document frequency and projected on the leading singular vectors of the
 (latent-semantic analysis). The labelled vectors go to every task, as their number has a bound
 (``fit_rows``, default 4,096, chosen by hash of doc_id among all labelled rows). Each task takes
 its documents in blocks, multiplies a block with all labelled vectors, which gives exact cosines,
-and lets the ``neighbours`` nearest vote, weighted by a power of their similarity.
+and lets the ``neighbours`` nearest vote, weighted by a power of their similarity. Cosines are
+rounded to six digits, so a document's neighbours do not depend on its block; labelled vectors
+that tie for the last places share them, so their order doesn't matter either.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, pick, table
+from .common import append, pick, table, utf8
 
 WORDS, SHAPES, LINES = 768, 224, 32
 DIM = WORDS + SHAPES + LINES
@@ -28,6 +31,7 @@ FIT_ROWS, RANK, NEIGHBOURS, POWER = 4096, 48, 25, 16
 BLOCK = 512
 
 _CLASS = bytes(ord("a") if 97 <= c <= 122 or c >= 128 else ord("A") if 65 <= c <= 90 else ord("0") if 48 <= c <= 57 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 _SLOTS: dict[bytes, tuple[int, int]] = {}
 
 
@@ -35,12 +39,8 @@ def _slots(word: bytes) -> tuple[int, int]:
     """The features of one word: the word itself and its shape."""
     found = _SLOTS.get(word)
     if found is None:
-        shape, last = bytearray(), -1
-        for c in word[:64].translate(_CLASS):
-            if c != last:
-                shape.append(c)
-                last = c
-        found = xxhash.xxh32_intdigest(word.lower()) % WORDS, WORDS + xxhash.xxh32_intdigest(bytes(shape)) % SHAPES
+        shape = _RUN.sub(rb"\1", word.translate(_CLASS))
+        found = xxhash.xxh32_intdigest(word.lower()) % WORDS, WORDS + xxhash.xxh32_intdigest(shape) % SHAPES
         if len(_SLOTS) >= 400_000:
             _SLOTS.clear()
         if len(word) <= 48:
@@ -75,11 +75,11 @@ class Neighbours:
     def __init__(self, x: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS, power: float = POWER):
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.k, self.power = min(neighbours, len(labels)), power
-        self.labels = labels.astype(np.float32)
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
+        self.labels = labels.astype(np.float64)
+        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1
         w = x * self.idf
-        values, vectors = np.linalg.eigh((w.T @ w).astype(np.float64)) if len(x) else (np.zeros(DIM), np.eye(DIM))
-        self.basis = vectors[:, np.argsort(values)[::-1][:rank]].astype(np.float32)
+        values, vectors = np.linalg.eigh(w.T @ w) if len(x) else (np.zeros(DIM), np.eye(DIM))
+        self.basis = vectors[:, np.argsort(values)[::-1][:rank]]
         self.vectors = self._latent(x)
 
     def _latent(self, x: np.ndarray) -> np.ndarray:
@@ -92,13 +92,18 @@ class Neighbours:
         if not self.k:
             return out
         for a in range(0, len(x), BLOCK):
-            cosines = self._latent(x[a : a + BLOCK]) @ self.vectors.T
+            cosines = np.rint(self._latent(x[a : a + BLOCK]) @ self.vectors.T * 1e6).astype(np.int32)
             near = np.argpartition(-cosines, self.k - 1, axis=1)[:, : self.k]
-            weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** self.power
+            found = np.take_along_axis(cosines, near, 1)
+            last = found.min(axis=1, keepdims=True)
+            ties = cosines == last
+            shared = (ties @ self.labels) / ties.sum(axis=1)
+            labels = np.where(found > last, self.labels[near], shared[:, None])
+            weight = (np.maximum(found, 0) / 1e6) ** self.power
             total = weight.sum(1)
             some = total > 1e-9
-            out[a : a + BLOCK][some] = (weight * self.labels[near]).sum(1)[some] / total[some]
-        return np.clip(out, 0, 1)
+            out[a : a + BLOCK][some] = (weight * labels).sum(1)[some] / total[some]
+        return np.clip(np.round(out, 9), 0, 1)
 
 
 def learns(doc_id: str = "doc_id"):
@@ -115,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Neighbo
     def make():
         return lambda ts: [[features(t).tobytes() for t in ts]]
 
-    rows = append(texts, make, {"vellum_x": "binary"}).drop("text").dropDuplicates(["doc_id"]).collect()
+    rows = append(texts, make, {"vellum_x": "binary"}).groupBy("doc_id", "vellum_label").agg(F.min("vellum_x").alias("vellum_x")).collect()
     rows.sort(key=lambda r: r.doc_id)
     x = np.array([np.frombuffer(r.vellum_x, np.float32) for r in rows]).reshape(-1, DIM)
     return Neighbours(x, np.array([r.vellum_label for r in rows], float))
@@ -126,28 +131,31 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
     Only the whole text counts. A null, empty or blank text is similar to nothing and gets the
     share of label 1 among the labelled rows; so does every text where there are none (one half).
-    Of repeated labels the lower holds; repeated documents score alike.
+    Of repeated labels the lower holds; repeated documents score alike, and labelled ones that share
+    an id are learned from once. A long text costs its words' time and one vector of ``DIM`` numbers.
+    ``docs`` must not have a column ``vellum_score`` of its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))
+    return append(docs, lambda: lambda texts: [pa.array(_scores(shared.value, texts))], {"vellum_score": "double"})
 
-    def make():
-        model = shared.value
-
-        def of(texts):
-            out = [model.score(np.array([features(t) for t in texts[a : a + 2048]]).reshape(-1, DIM)) for a in range(0, len(texts), 2048)]
-            return [pa.array(np.concatenate(out) if out else np.empty(0))]
-
-        return of
 
-    return append(docs, make, {"vellum_score": "double"})
+def _scores(model: Neighbours, texts: list[bytes]) -> np.ndarray:
+    out = [model.score(np.array([features(t) for t in texts[a : a + 2048]]).reshape(-1, DIM)) for a in range(0, len(texts), 2048)]
+    return np.concatenate(out) if out else np.empty(0)
 
 
 def query(spark, sf_dir) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     out = classify(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", (~learns()).alias("held_out"), F.col("vellum_score").alias("score"), (F.col("vellum_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(~learns(), F.lit(False)).alias("held_out"), F.col("vellum_score").alias("score"), (F.col("vellum_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier predicts to be good."""
-    return classify(docs, table(spark, sf_dir, "labels")).filter("vellum_score >= 0.5").select(*docs.columns)
+    """The documents that the classifier predicts to be good, whatever their columns are called."""
+    shared, at = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels"))), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, utf8(batch.column(at))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
