@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 
 from vellum.llm import line_dedup
@@ -41,3 +42,17 @@ def test_against_plain(spark, bits):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert line_dedup.dedup_lines(df).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[1] * 5, [1, 1, 1, 1, 2], [None, None, 1, 1, 1], [None] * 5, [1, 2, 3, 4]])
+def test_repeated_rows_as_in_sql(spark, ids):
+    rows = [(i, f"{LONG}\nrow {n}") for n, i in enumerate(ids)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = sorted((str(r.doc_id), r.vellum_lines, r.vellum_dropped, hashlib.sha256(r.vellum_text.encode()).hexdigest()) for r in out.collect())
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = con.sql(line_dedup.SQL)
+    at = {c: i for i, c in enumerate(want.columns)}
+    assert got == sorted((str(r[at["doc_id"]]), r[at["n_lines"]], r[at["n_dropped"]], r[at["kept_sha256"]]) for r in want.fetchall())
+    assert got == plain(rows)

@@ -127,7 +127,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_lo
     A line goes if its key has ``min_chars`` code points or more and ``min_docs`` documents or
     more hold it, except in the largest ``doc_id`` among those. Each row is a document, repeated
     rows included; rows that share a ``doc_id`` share its fate. A null text is one empty line. A
-    null ``doc_id`` ranks below all others. An empty table gives an empty table.
+    null ``doc_id`` ranks below all others. An empty table gives an empty table. A long text is split in
+    one task, in a few times its size.
     """
     drops = lines_to_drop(docs, min_chars, min_docs, bits_log2, seg_log2)
     wide = docs.join(drops, docs["doc_id"].eqNullSafe(drops["vellum_drop_id"]), "left").drop("vellum_drop_id")
@@ -165,15 +166,17 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 _WS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 SQL = f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT row, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d
 ), k AS (
   SELECT *, translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), g AS (
-  SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT row) >= 5
+), m AS (
+  SELECT k.*, g.key IS NOT NULL AND g.keep IS DISTINCT FROM k.doc_id AS gone FROM k LEFT JOIN g ON g.key = k.key
 )
-SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (g.keep <> k.doc_id) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (g.keep IS NULL OR g.keep = k.doc_id), '')) AS kept_sha256
-FROM k LEFT JOIN g ON g.key = k.key GROUP BY k.doc_id
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY row, doc_id
 """
