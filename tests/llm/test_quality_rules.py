@@ -1,6 +1,7 @@
 import re
 from math import comb
 
+import duckdb
 import pytest
 
 from vellum.llm import quality_rules as Q
@@ -32,18 +33,36 @@ def test_cutoffs_hold_the_risk(spark):
     rows = [("en", 0.001 * (i % 20)) for i in range(6000)] + [("en", 0.9)] * 20 + [("fr", 0.0)] * 50
     data = spark.createDataFrame([(s, v, 0.0, 0.0, 0.0, 0.0) for s, v in rows], "vellum_stratum string, " + ", ".join(f"{r} double" for r in Q.RULES))
     safe = Q.cutoffs(data)
-    share, level = 0.05 / 5, 0.05 / (5 * 5 * len(Q.GRID))
+    share, level = 0.05 / 5, 0.05 / (5 * 5)
     good = [v for s, v in rows if s == "en"]
 
     def bound(c):
         k = sum(v > c for v in good)
         return sum(comb(len(good), i) * share**i * (1 - share) ** (len(good) - i) for i in range(k + 1)) <= level
 
-    want = min(c for c in Q.GRID if bound(c))
+    want = min(c for c in Q.GRID if all(bound(x) for x in Q.GRID if x >= c))
     assert safe["en", "symbols_per_word"] == want
     assert not any(s == "fr" for s, _ in safe)
 
 
+def test_every_stratum_can_reject(spark, tmp_path):
+    """With 640 good documents in each language, documents full of symbols are rejected in each; also in SQL."""
+    plain_text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1000 * s + i, plain_text + f" x{i}", lang) for s, lang in enumerate([*Q.STRATA, "xx"]) for i in range(640)]
+    rows += [(1000 * s + 900, " ".join(f"w{i} |" for i in range(60)), lang) for s, lang in enumerate([*Q.STRATA, "xx"])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 1) for d, _, _ in rows if d % 1000 < 640], "doc_id bigint, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    out = Q.query(spark, str(tmp_path))
+    got = sorted(map(tuple, out.collect()))
+    assert [r[0] for r in got if not r[-1]] == [900, 1900, 2900, 3900, 4900]
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(Q.SQL)
+    at = [want.columns.index(c) for c in out.columns]
+    assert got == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, None), (1, None, None), (None, "word " * 80, "xx")], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, quality int")

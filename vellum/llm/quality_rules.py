@@ -3,9 +3,11 @@
 Each rule rejects documents whose statistic exceeds a cutoff. Cutoffs come from a fixed grid and
 from labelled holdout documents: within a stratum (language), a cutoff is safe if the exact
 binomial bound shows that the rule rejects at most a share ``alpha / rules`` of good documents,
-at a confidence of ``1 - delta`` that holds for all strata, rules and cutoffs tested at once
-(Bonferroni). The lowest safe cutoff is taken; where none is safe, the rule rejects nothing.
-So per stratum at most ``alpha`` of the good documents are rejected beyond the base rules.
+at a confidence of ``1 - delta`` that holds for all strata and rules at once (Bonferroni). Within a rule
+and stratum the cutoffs are tested in a fixed order, from the loosest on, until one is not safe,
+which needs no correction; the last safe one is taken. Where the loosest is not safe, the rule rejects nothing.
+So per stratum at most ``alpha`` of the good documents are rejected beyond the base rules. A stratum
+needs at least ln(delta / tests) / ln(1 - alpha / rules) good documents (619 with the defaults) for any cutoff.
 
 Everything is DataFrame and SQL functions. Statistics are computed once and written; the labelled
 part is reduced to counts for each (stratum, rule, grid cell), a few hundred rows whatever the input.
@@ -74,7 +76,7 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> di
 
     ``labelled`` has vellum_stratum and the rules' statistics. At most strata x rules rows come to the driver.
     """
-    share, tests = alpha / len(RULES), (len(STRATA) + 1) * len(RULES) * len(GRID)
+    share, tests = alpha / len(RULES), (len(STRATA) + 1) * len(RULES)
     grid = "array(" + ", ".join(f"{c}D" for c in GRID) + ")"
     long = labelled.select("vellum_stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES))).alias("r"))
     cells = long.groupBy("vellum_stratum", "r.rule", F.expr(f"size(filter({grid}, c -> r.value > c))").alias("cell")).count()
@@ -83,8 +85,10 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> di
     tried = tried.withColumn("k", F.expr("aggregate(map_keys(by_cell), 0L, (a, c) -> if(c > at, a + by_cell[c], a))"))
     odds, first = math.log(share / (1 - share)), f"n * {math.log1p(-share)}D"
     tail = f"aggregate(sequence(1L, greatest(k, 1L)), struct({first} as t, exp({first}) as s), (a, i) -> if(i > k, a, struct(a.t + ln((n - i + 1) / i) + {odds}D as t, a.s + exp(a.t + ln((n - i + 1) / i) + {odds}D) as s)), a -> a.s)"
-    safe = tried.filter(f"k < n * {share}D").filter(F.expr(f"{tail} <= {delta / tests}D"))
-    return {(r.vellum_stratum, r.rule): r.cutoff for r in safe.groupBy("vellum_stratum", "rule").agg(F.min("cutoff").alias("cutoff")).collect()}
+    unsafe = tried.filter(~(F.expr(f"k < n * {share}D") & F.expr(f"{tail} <= {delta / tests}D")))
+    loosest = tried.groupBy("vellum_stratum", "rule").agg(F.lit(0).alias("none")).join(unsafe.groupBy("vellum_stratum", "rule").agg(F.max("cutoff").alias("unsafe")), ["vellum_stratum", "rule"], "left").collect()
+    safe = {(r.vellum_stratum, r.rule): [c for c in GRID if r.unsafe is None or c > r.unsafe] for r in loosest}
+    return {k: min(c) for k, c in safe.items() if c}
 
 
 def with_rules(stats: DataFrame) -> DataFrame:
@@ -107,6 +111,7 @@ def rule_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delt
     Null and empty texts have no words and fail the base rules. Null or unknown languages form the
     stratum ``other``. Repeated rows are judged alike. Documents without a label, or with a null
     one, do not count for cutoffs; of repeated labels the lower holds. No labels: only the base rules reject.
+    A value equal to a cutoff is not rejected. A long text is one row: its arrays take some fifty bytes a word.
     """
     stats = materialize(with_rules(statistics(pick(docs, "doc_id", "lang", "text")).drop("text")), "rules")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("vellum_quality")).filter("vellum_quality = 1").select("doc_id")
@@ -157,11 +162,12 @@ WITH d AS (
   SELECT unnest([{", ".join(map(str, GRID))}])::DOUBLE AS cutoff
 ), t AS (
   SELECT stratum, rule, cutoff, count(*)::DOUBLE AS n, count(*) FILTER (value > cutoff) AS k FROM good, grid GROUP BY ALL
+), tested AS (
+  SELECT stratum, rule, cutoff, k < n * {_SHARE} AND list_sum(list_transform(range(k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln({1 - _SHARE})))) <= {0.05 / (5 * len(RULES))} AS ok FROM t
 ), safe AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM t
-  WHERE k < n * {_SHARE} AND list_sum(list_transform(range(k + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln({1 - _SHARE})))) <= {0.05 / (5 * len(RULES) * len(GRID))}
-  GROUP BY ALL
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM tested a
+  WHERE NOT EXISTS (SELECT 1 FROM tested b WHERE b.stratum = a.stratum AND b.rule = a.rule AND b.cutoff >= a.cutoff AND NOT b.ok) GROUP BY ALL
 ), bad AS (
   SELECT DISTINCT v.doc_id FROM v JOIN safe ON safe.stratum = v.stratum AND safe.rule = v.rule AND v.value > safe.cutoff
 )
