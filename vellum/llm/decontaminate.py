@@ -2,14 +2,17 @@
 
 The items are indexed as an inverted index whose postings carry BM25 impacts, in blocks with
 their largest impact. Each document is cut into passages that overlap by half, so that any item
-lies within one passage; each passage's distinct words are one query, answered by block-max WAND.
+lies within one passage (of twice the words of the longest item of all); each passage's distinct
+words are one query, answered by block-max WAND.
 An item's impacts are divided by its own threshold, the least score that a passage holding
 ``share`` of the item's five-word shingles can have, so everything above one is retrieved and
 nothing that passes the check below is lost. A hit is verified on its words: ``share`` of the item's
-shingles, and of its question (first two thirds of its words) and its answer (the rest) half.
+shingles, and of its question (first two thirds of its words) and its answer (the rest) half. An
+item shorter than a shingle is one shingle of its own length, found wherever its words stand in a row.
 
-Items go to the tasks in blocks of at most ``block_words`` words; more items mean more blocks and
-so more scans, never a larger broadcast.
+Items go to the tasks in blocks of at most ``block_words`` words (or one longer item); more items mean
+more blocks and so more scans, never a larger broadcast. Words are counted over all items by Spark, and
+each item comes to the driver with the counts of its own words, one block at a time.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_map, pick, table, utf8
+from .common import SPACE_CLASS, flat_map, materialize, pick, table, utf8
 
 SIZE, SHARE, PART = 5, 0.8, 0.5
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K1, B = 1.2, 0.75
 #: Items of neighbouring lengths that share a block of the index.
 POSTING_BLOCK = 4
@@ -38,23 +42,28 @@ def shingles(words: list, size: int = SIZE) -> set[tuple]:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
+def windows(words: list, size: int) -> set[tuple]:
+    """The runs of ``size`` words; none where there are fewer."""
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
 class Index:
     """Impact-ordered knowledge of the items: postings by word, and each item's shingles."""
 
-    def __init__(self, items: list[tuple[object, bytes]], frequency: Counter, n_items: int, mean: float, share: float = SHARE):
+    def __init__(self, items: list[tuple[object, bytes]], frequency: dict[bytes, int], n_items: int, mean: float, step: int, share: float = SHARE):
         items = sorted(items, key=lambda x: len(x[1].split()))
         self.ids = [i for i, _ in items]
         self.number: dict[bytes, int] = {}
-        self.whole, self.question, self.answer = [], [], []
+        self.whole, self.question, self.answer, self.words = [], [], [], []
         #: Each item's longest words, one more than a passage with enough of its shingles can lack: such a passage holds one of them.
         self.essential: set[int] = set()
         postings: dict[int, list[tuple[int, float]]] = {}
-        self.longest = 1
+        self.step = step
         for at, (_, text) in enumerate(items):
             raw = text.lower().split()
             words = [self.number.setdefault(w, len(self.number)) for w in raw]
-            self.longest = max(self.longest, len(words))
             cut = max(1, 2 * len(words) // 3)
+            self.words.append(len(words))
             whole = shingles(words)
             self.whole.append(whole)
             self.question.append(shingles(words[:cut]) & whole if len(words) - cut >= SIZE else whole)
@@ -121,7 +130,7 @@ class Index:
 
     def hits(self, text: bytes, share: float = SHARE) -> dict[int, tuple[float, float, float, float]]:
         """score, overlap, question's and answer's overlap of each verified item of a text, of its best passage."""
-        get, most, step = self.number.get, self.most, self.longest
+        get, most, step = self.number.get, self.most, self.step
         words = [get(w, -1) for w in text.lower().split()]
         found: dict[int, tuple] = {}
         if self.essential.isdisjoint(words):
@@ -132,10 +141,11 @@ class Index:
             query.discard(-1)
             if self.essential.isdisjoint(query) or sum([most[t] for t in query]) < 1:
                 continue
-            own = None
+            own: dict[int, set] = {}
             for item, score in self.search(query):
-                own = shingles(part) if own is None else own
-                overlaps = tuple(len(own & x) / max(1, len(x)) for x in (self.whole[item], self.question[item], self.answer[item]))
+                size = min(SIZE, self.words[item])
+                held = own.get(size) or own.setdefault(size, windows(part, size))
+                overlaps = tuple(len(held & x) / max(1, len(x)) for x in (self.whole[item], self.question[item], self.answer[item]))
                 if overlaps[0] >= share - 1e-9 and min(overlaps[1:]) >= PART:
                     found[item] = max(found.get(item, ()), (*overlaps, score))
         return {i: (s, o, q, a) for i, (o, q, a, s) in found.items()}
@@ -143,32 +153,30 @@ class Index:
 
 def indexes(items: DataFrame, share: float = SHARE, block_words: int = BLOCK_WORDS):
     """Indexes of the items, each of at most ``block_words`` words (or one item); frequencies are those of all items."""
-    rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    frequency, n, total = Counter(), 0, 0
-    for r in rows.toLocalIterator():
-        words = r.text.encode().lower().split()
-        frequency.update(set(words))
-        n, total = n + 1, total + len(words)
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        text = r.text.encode()
-        words = len(text.split())
-        if block and size + words > block_words:
-            yield Index(block, frequency, n, total / n, share)
-            block, size = [], 0
-        if words:
-            block.append((r.item_id, text))
-            size += words
+    cut = f"filter(split(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), r'[{SPACE_CLASS}]+'), w -> w <> '')"
+    rows = materialize(pick(items, "item_id", "text").withColumn("words", F.expr(cut)).filter("size(words) > 0").withColumn("row", F.expr("uuid()")), "items")
+    n, total, step = items.count(), *rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)), F.max(F.size("words"))).first()
+    held = rows.select("row", F.explode(F.array_distinct("words")).alias("word"))
+    counts = held.join(held.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+    block, frequency, size = [], {}, 0
+    for r in rows.join(counts, "row").select("item_id", "text", F.size("words").alias("size"), "counts").toLocalIterator():
+        if block and size + r["size"] > block_words:
+            yield Index(block, frequency, n, total / n, step, share)
+            block, frequency, size = [], {}, 0
+        block.append((r.item_id, r.text.encode()))
+        frequency |= {w.encode(): c for w, c in r.counts.items()}
+        size += r["size"]
     if block:
-        yield Index(block, frequency, n, max(1.0, total / n), share)
+        yield Index(block, frequency, n, total / n, step, share)
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, vellum_bm25, vellum_overlap, vellum_question, vellum_answer: the items that each document holds.
 
-    Words are cut at white space and lower-cased in A-Z. Items without words hit nothing; an item
-    of fewer words than a shingle hits only a text that is just those words. Null texts hold nothing. Repeated
-    documents or items give repeated rows; null ids are carried along.
+    Words are cut at white space and lower-cased in A-Z. Items without words hit nothing; those
+    of fewer words than a shingle hit a text that has their words in a row. Null texts hold nothing. Repeated
+    documents or items give repeated rows; null ids are carried along; an empty table gives no rows. A long text
+    is searched passage by passage. Of passages that hold an item equally well, the one with the larger score counts.
     """
     fields = {"doc_id": dict(docs.dtypes)["doc_id"], "item_id": dict(items.dtypes)["item_id"], "vellum_bm25": "double", "vellum_overlap": "double", "vellum_question": "double", "vellum_answer": "double"}
     spark, out = docs.sparkSession, None
@@ -199,35 +207,37 @@ def query(spark, sf_dir) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item. Rows without ``doc_id`` are judged by their text alone."""
-    shared = [spark.sparkContext.broadcast(i) for i in indexes(table(spark, sf_dir, "benchmark"))]
+    """The documents that hold no benchmark item, judged by their text alone, one block of items after the other."""
+    at, out = docs.columns.index("text"), docs
+    for n, index in enumerate(indexes(table(spark, sf_dir, "benchmark"))):
+        shared = spark.sparkContext.broadcast(index)
 
-    def run(batches):
-        for batch in batches:
-            texts = utf8(batch.column(at))
-            keep = [not any(s.value.hits(t) for s in shared) for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        def run(batches, shared=shared):
+            for batch in batches:
+                yield batch.filter(pa.array([not shared.value.hits(t) for t in utf8(batch.column(at))], pa.bool_()))
 
-    at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+        out = (materialize(out, "clean") if n else out).mapInArrow(run, docs.schema)
+    return out
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
-_GRAM = "array_to_string(w[p + 1:p + 5], ' ')"
+_GRAM = "array_to_string(w[p + 1:p + size], ' ')"
 SQL = f"""
 WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 l AS (SELECT max(len(w)) AS step FROM b),
-i AS (SELECT item_id, w, p, greatest(1, 2 * len(w) // 3) AS cut FROM (SELECT item_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS p FROM b WHERE len(w) > 0)),
+i AS (SELECT item_id, w, p, least(5, len(w)) AS size, greatest(1, 2 * len(w) // 3) AS cut FROM (SELECT item_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS p FROM b WHERE len(w) > 0)),
 s AS (
-  SELECT DISTINCT item_id, part, {_GRAM} AS g FROM (
+  SELECT DISTINCT item_id, part, size AS width, {_GRAM} AS g FROM (
     SELECT *, unnest(CASE WHEN len(w) - cut < 5 THEN [0, 1, 2] WHEN p + 5 <= cut THEN [0, 1] WHEN p >= cut THEN [0, 2] ELSE [0] END) AS part FROM i)
-), z AS (SELECT item_id, part, count(*) AS size FROM s GROUP BY ALL),
-d AS (SELECT doc_id, w, len(w) AS n, unnest(range(0, greatest(1, len(w) - 4))) AS p FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-m AS (SELECT d.doc_id, d.n, d.p, s.item_id, s.part, s.g FROM (SELECT *, {_GRAM} AS g FROM d) d JOIN s ON s.g = d.g WHERE d.g <> ''),
+), z AS (SELECT item_id, part, count(*) AS size FROM s GROUP BY item_id, part),
+d AS (
+  SELECT doc_id, w, size, len(w) AS n, unnest(range(0, len(w) - size + 1)) AS p
+  FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT size FROM i) WHERE len(w) >= size
+), m AS (SELECT d.doc_id, d.n, d.p, d.size AS width, s.item_id, s.part, s.g FROM (SELECT *, {_GRAM} AS g FROM d) d JOIN s ON s.g = d.g AND s.width = d.size),
 x AS (SELECT m.*, unnest([p // step, p // step - 1]) AS j, step FROM m, l),
 c AS (
   SELECT doc_id, item_id, j, part, count(DISTINCT g) AS k FROM x
-  WHERE j >= 0 AND (j * step < greatest(1, n - step)) AND p + least(5, n) <= j * step + 2 * step GROUP BY ALL
+  WHERE j >= 0 AND (j * step < greatest(1, n - step)) AND p + width <= j * step + 2 * step GROUP BY doc_id, item_id, j, part
 ), o AS (
   SELECT doc_id, item_id, j, max(CASE WHEN part = 0 THEN k / size ELSE 0 END) AS overlap,
          max(CASE WHEN part = 1 THEN k / size ELSE 0 END) AS question_overlap, max(CASE WHEN part = 2 THEN k / size ELSE 0 END) AS answer_overlap
