@@ -50,6 +50,18 @@ def test_against_all_windows(spark, hot):
     assert got == want
 
 
+def test_long_texts_in_parts_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 700)
+    data = [("a", LONG + OTHER + PASSAGE + LONG), ("b", prose(40) + OTHER), ("c", prose(3000) + LONG[300:] + prose(900)), ("d", OTHER + PASSAGE), ("d", None)]
+    seen = Counter((i, w) for i, (_, t) in enumerate(data) for part in S._chunks([(t or "").encode()]) for _, p, at in part for w in range(at, at + len(p) - 199))
+    assert set(seen.values()) == {1} and len(seen) == sum(max(0, len(t or "") - 199) for _, t in data)
+    big = prose(300_000)
+    data += [("e", big + LONG), ("f", prose(90) + big[55_000:]), ("f", big)]
+    docs = spark.createDataFrame([(*r, [1], "e") for r in data], "doc_id string, text string, starts array<int>, ends string")
+    got = Counter((r.doc_id, r.vellum_length, r.vellum_removed, r.vellum_runs, hashlib.sha256(r.vellum_bytes).hexdigest()) for r in S.dedup_substrings(docs).collect())
+    assert got == Counter((d, *p) for (d, _), p in zip(data, plain([t for _, t in data]), strict=True))
+
+
 def test_empty_table(spark):
     assert S.dedup_substrings(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

@@ -4,8 +4,8 @@ Sorting a suffix for every byte would shuffle hundreds of times the input. Equal
 equal anchors, so only suffixes at anchors are sorted:
 
 1. In every 200-byte window the 32-byte gram with the least hash is the window's anchor. Windows
-   with one anchor are a run; the bytes they span are the anchor's context. Prefix polynomial
-   hashes give every gram's and context's hash in constant time. A window can only recur where its
+   with one anchor are a run; the bytes they span are the anchor's context, known by a 128-bit digest. Prefix
+   polynomial hashes give every gram's hash in constant time. A window can only recur where its
    anchor's gram does, and each task sends a gram at most twice with each of its contexts.
 2. Grams seen twice or more come back to their anchors. Where all contexts of a gram are
    the same, all its windows are repeated and nothing more is needed.
@@ -13,7 +13,7 @@ equal anchors, so only suffixes at anchors are sorted:
    left extensions of the anchors are sorted by mergesort; two suffixes are compared by binary
    search for their common extension over prefix hashes. Neighbours' extensions, verified
    on the bytes themselves, put windows into classes; a class of two or more is a repeat.
-   Grams with over ``hot`` distinct contexts are not gathered: their windows are counted by hash.
+   Grams with over ``hot`` distinct contexts are not gathered: their windows are counted by 128-bit digest.
 4. Repeated windows come back to their texts as ranges, and the bytes they cover go.
 
 Texts are known by 128-bit digests, so repeated rows and ids need no care. Bloom filters of fixed
@@ -37,8 +37,8 @@ HOT, FILTER_LOG2 = 4_000, 26
 CHUNK = 256_000
 #: Rows that go to Python at once while texts are cut at anchors.
 BATCH = 1_000
-#: Odd bases of the two polynomials, modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Odd base of the polynomial, modulo 2**64. Its hashes only choose anchors and order suffixes, and neighbours are verified on bytes.
+BASE = 0x9E3779B97F4A7C15
 _POSITION = np.uint64((1 << 32) - 1)
 
 
@@ -57,7 +57,7 @@ class PrefixHashes:
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         n = len(data) + 1
         held = self._powers.get(base)
         if held is None or len(held[0]) < n:
@@ -85,15 +85,14 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
-    """Runs of windows by anchor: text number, first and last window, anchor (offsets in the text), gram's and context's hash."""
+    """Runs of windows by anchor: text number, first and last window, anchor (offsets in the text), gram's hash, and the context's digest in two parts."""
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths)))
     data = np.frombuffer(b"".join(texts), np.uint8)
     if not len(lengths) or lengths.max() < window:
-        return [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 2
-    one, two = PrefixHashes(data, BASES[0]), PrefixHashes(data, BASES[1])
+        return [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 3
     at = np.arange(len(data) - gram + 1)
-    grams = one.of(at, at + gram)
+    grams = PrefixHashes(data).of(at, at + gram)
     least = _sliding_least((grams & ~_POSITION) | at.astype(np.uint64), window - gram + 1)
     chosen = (least & _POSITION).astype(np.int64)
     some = np.flatnonzero(lengths >= window)
@@ -109,19 +108,22 @@ def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
     last = np.concatenate((first[1:], [len(w)])) - 1
     lo, hi, a = w[first], w[last], a[first]
     text = np.searchsorted(starts, lo, side="right") - 1
-    context = one.of(lo, hi + window) ^ (two.of(lo, hi + window) * np.uint64(3)) ^ ((a - lo).astype(np.uint64) << np.uint64(40)) ^ (hi - lo).astype(np.uint64)
-    return [text, lo - starts[text], hi - starts[text], a - starts[text], grams[a], context]
+    whole, digest = memoryview(data), xxhash.xxh3_128_digest
+    context = np.frombuffer(b"".join([digest(whole[x:y], z) for x, y, z in zip(lo.tolist(), (hi + window).tolist(), (a - lo).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    return [text, lo - starts[text], hi - starts[text], a - starts[text], grams[a], context[:, 0], context[:, 1]]
 
 
 def _chunks(texts: list[bytes]):
-    """Lists of (number, text) of about ``CHUNK`` bytes; a longer text stands alone."""
+    """Lists of (number, part of a text, its start) of about ``CHUNK`` bytes; parts of a longer text overlap, so that each window is in one."""
     out, size = [], 0
     for i, t in enumerate(texts):
-        if out and size + len(t) > CHUNK:
-            yield out
-            out, size = [], 0
-        out.append((i, t))
-        size += len(t)
+        for at in range(0, max(1, len(t) - WINDOW + 1), CHUNK):
+            part = t[at : at + CHUNK + WINDOW - 1] if len(t) > CHUNK else t
+            if out and size + len(part) > CHUNK:
+                yield out
+                out, size = [], 0
+            out.append((i, part, at))
+            size += len(part)
     if out:
         yield out
 
@@ -163,24 +165,25 @@ def repeated_grams(texts: DataFrame) -> DataFrame:
 
     def make():
         def of(batch):
-            pairs, counts = [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)]
+            triples, counts = [np.empty((0, 3), np.uint64)], [np.empty(0, np.int64)]
             for chunk in _chunks(utf8(batch.column(0))):
-                *_, gram, context = anchors([t for _, t in chunk])
+                *_, gram, one, two = anchors([t for _, t, _ in chunk])
                 if len(gram):
-                    distinct, n = np.unique(np.stack([gram, context], 1), axis=0, return_counts=True)
-                    pairs.append(distinct)
+                    distinct, n = np.unique(np.stack([gram, one, two], 1), axis=0, return_counts=True)
+                    triples.append(distinct)
                     counts.append(np.minimum(n, 2))
-            pair = np.concatenate(pairs)
-            return [pa.array(_signed(pair[:, 0])), pa.array(_signed(pair[:, 1])), pa.array(np.concatenate(counts))]
+            found = np.concatenate(triples)
+            return [*(pa.array(_signed(found[:, i])) for i in range(3)), pa.array(np.concatenate(counts))]
 
         return of
 
-    seen = flat_map(texts, make, {"gram": "bigint", "context": "bigint", "n": "bigint"})
-    return seen.groupBy("gram").agg(F.sum("n").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).filter("n >= 2").select("gram", F.expr("a <> b").alias("mixed"))
+    seen = flat_map(texts, make, {"gram": "bigint", "context": "bigint", "more": "bigint", "n": "bigint"})
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("context", "more")]
+    return seen.groupBy("gram").agg(F.sum("n").alias("n"), *ends).filter("n >= 2").select("gram", F.expr("min_context <> max_context OR min_more <> max_more").alias("mixed"))
 
 
 def repeated_runs(texts: DataFrame, grams: DataFrame) -> DataFrame:
-    """key, gram, context, lo, hi, anchor, copies, mixed: the runs of each distinct text whose gram repeats."""
+    """key, gram, context, more, lo, hi, anchor, copies, mixed: the runs of each distinct text whose gram repeats."""
     shared = texts.sparkSession.sparkContext.broadcast(make_filter(grams, "gram"))
 
     def make():
@@ -189,18 +192,19 @@ def repeated_runs(texts: DataFrame, grams: DataFrame) -> DataFrame:
         def of(batch):
             texts, keys, parts = utf8(batch.column(0)), [], []
             for chunk in _chunks(texts):
-                text, lo, hi, a, gram, context = anchors([t for _, t in chunk])
-                take = may_hold(bits, gram)
-                text, lo, hi, a, gram, context = (x[take] for x in (text, lo, hi, a, gram, context))
-                digest = {i: key_of(chunk[i][1]) for i in np.unique(text)}
+                found = anchors([t for _, t, _ in chunk])
+                take = may_hold(bits, found[4])
+                text, lo, hi, a, gram, one, two = (x[take] for x in found)
+                digest = {i: key_of(texts[chunk[i][0]]) for i in np.unique(text)}
                 keys += [digest[i] for i in text]
-                parts.append((_signed(gram), _signed(context), lo, hi, a))
-            cols = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(5)]
-            return [pa.array(keys, pa.binary()), *(pa.array(c) for c in cols[:2]), *(pa.array(c.astype(np.int32)) for c in cols[2:])]
+                start = np.array([at for _, _, at in chunk], np.int64)[text]
+                parts.append((_signed(gram), _signed(one), _signed(two), lo + start, hi + start, a + start))
+            cols = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(6)]
+            return [pa.array(keys, pa.binary()), *(pa.array(c) for c in cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])]
 
         return of
 
-    fields = {"key": "binary", "gram": "bigint", "context": "bigint", "lo": "int", "hi": "int", "anchor": "int"}
+    fields = {"key": "binary", "gram": "bigint", "context": "bigint", "more": "bigint", "lo": "int", "hi": "int", "anchor": "int"}
     runs = flat_map(texts, make, fields).groupBy(*fields).agg(F.count(F.lit(1)).alias("copies"))
     return runs.join(grams, "gram")
 
@@ -303,23 +307,23 @@ def _ranges(offsets: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _contexts(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """gram, context, many, body, at: the bytes of one representative of each distinct context, and the anchor's place in them."""
-    one = runs.groupBy("gram", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "lo", "hi", "anchor")).alias("r"))
-    wanted = one.groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("gram", "context", (F.col("n") > 1).alias("many"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), F.col("r.anchor").alias("anchor"))).alias("wanted"))
+    """gram, context, more, many, body, at: the bytes of one representative of each distinct context, and the anchor's place in them."""
+    one = runs.groupBy("gram", "context", "more").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "lo", "hi", "anchor")).alias("r"))
+    wanted = one.groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("gram", "context", "more", (F.col("n") > 1).alias("many"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), F.col("r.anchor").alias("anchor"))).alias("wanted"))
     held = with_keys(texts, runs).filter("vellum_some").select(F.col("vellum_key").alias("key"), "text").dropDuplicates(["key"])
 
     def make():
         def of(batch):
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for text, wanted in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for r in wanted:
-                    for o, x in zip(out, (r["gram"], r["context"], r["many"], text[r["lo"] : r["hi"] + WINDOW], r["anchor"] - r["lo"]), strict=True):
+                    for o, x in zip(out, (r["gram"], r["context"], r["more"], r["many"], text[r["lo"] : r["hi"] + WINDOW], r["anchor"] - r["lo"]), strict=True):
                         o.append(x)
             return out
 
         return of
 
-    return flat_map(held.join(wanted, "key").select("key", "text", "wanted"), make, {"gram": "bigint", "context": "bigint", "many": "boolean", "body": "binary", "at": "int"})
+    return flat_map(held.join(wanted, "key").select("key", "text", "wanted"), make, {"gram": "bigint", "context": "bigint", "more": "bigint", "many": "boolean", "body": "binary", "at": "int"})
 
 
 def with_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -340,7 +344,7 @@ def with_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _classed(contexts: DataFrame, hot: int) -> DataFrame:
-    """gram, context, starts, ends: ranges of repeated window offsets in each distinct context."""
+    """gram, context, more, starts, ends: ranges of repeated window offsets in each distinct context."""
     large = materialize(contexts.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("large")), "large")
     contexts = contexts.join(large, "gram", "left")
 
@@ -350,9 +354,9 @@ def _classed(contexts: DataFrame, hot: int) -> DataFrame:
         def of(batch):
             if batch is not None:
                 held.append(batch)
-                return [[], [], [], []]
+                return [[], [], [], [], []]
             if not held or not sum(b.num_rows for b in held):
-                return [[], [], [], []]
+                return [[], [], [], [], []]
             t = pa.Table.from_batches(held).sort_by("gram")
             gram = t["gram"].to_numpy()
             first = np.concatenate(([0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]))
@@ -366,35 +370,33 @@ def _classed(contexts: DataFrame, hot: int) -> DataFrame:
                     starts.append(s)
                     ends.append(e)
                 at = to
-            return [t["gram"].combine_chunks(), t["context"].combine_chunks(), starts, ends]
+            return [*(t[n].combine_chunks() for n in ("gram", "context", "more")), starts, ends]
 
         return of
 
-    fields = {"gram": "bigint", "context": "bigint", "starts": "array<int>", "ends": "array<int>"}
-    plain = flat_map(contexts.filter("large IS NULL").select("gram", "context", "many", "body", "at").repartition("gram"), gather, fields, last=True)
+    fields = {"gram": "bigint", "context": "bigint", "more": "bigint", "starts": "array<int>", "ends": "array<int>"}
+    plain = flat_map(contexts.filter("large IS NULL").select("gram", "context", "more", "many", "body", "at").repartition("gram"), gather, fields, last=True)
 
     if large.isEmpty():
         return plain.filter("size(starts) > 0")
 
     def windows():
         def of(batch):
-            out = []
-            bodies, at = utf8(batch.column(3)), batch.column(4).to_numpy()
-            for i, body in enumerate(bodies):
-                data = np.frombuffer(body, np.uint8)
-                start = np.arange(min(int(at[i]), len(data) - WINDOW) + 1)
-                start = start[(at[i] - start >= 0) & (start + WINDOW <= len(data))]
-                out.append((np.full(len(start), i), start, *(PrefixHashes(data, b).of(start, start + WINDOW) for b in BASES)))
-            row, start, x, y = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(4))
-            take = pa.array(row.astype(np.int64))
-            return [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(start.astype(np.int32)), pa.array(_signed(x)), pa.array(_signed(y))]
+            row, start, digests = [], [], []
+            for i, (body, at) in enumerate(zip(utf8(batch.column(4)), batch.column(5).to_pylist(), strict=True)):
+                for first in range(min(at, len(body) - WINDOW) + 1):
+                    row.append(i)
+                    start.append(first)
+                    digests.append(key_of(body[first : first + WINDOW]))
+            take = pa.array(row, pa.int64())
+            return [*(batch.column(i).take(take) for i in range(4)), start, pa.array(digests, pa.binary())]
 
         return of
 
-    each = flat_map(contexts.filter("large").select("gram", "context", "many", "body", "at"), windows, {"gram": "bigint", "context": "bigint", "many": "boolean", "start": "int", "x": "bigint", "y": "bigint"})
-    again = each.groupBy("x", "y").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).filter("n >= 2").drop("n")
+    each = flat_map(contexts.filter("large").select("gram", "context", "more", "many", "body", "at"), windows, {"gram": "bigint", "context": "bigint", "more": "bigint", "many": "boolean", "start": "int", "window": "binary"})
+    again = each.groupBy("window").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).filter("n >= 2").drop("n")
     again = materialize(again, "again")  # written, so that Spark may split a hot window's rows in the join
-    spread = each.join(again, ["x", "y"]).groupBy("gram", "context").agg(F.collect_list("start").alias("starts")).select("gram", "context", "starts", F.col("starts").alias("ends"))
+    spread = each.join(again, "window").groupBy("gram", "context", "more").agg(F.collect_list("start").alias("starts")).select("gram", "context", "more", "starts", F.col("starts").alias("ends"))
     return plain.filter("size(starts) > 0").unionByName(spread)
 
 
@@ -406,7 +408,7 @@ def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     many = runs.filter("NOT mixed").select("key", F.array("lo").alias("starts"), F.array("hi").alias("ends"))
     contexts = materialize(_contexts(texts, mixed), "contexts")
     classed = materialize(_classed(contexts, hot), "windows")
-    some = mixed.join(classed, ["gram", "context"]).select("key", F.expr("transform(starts, x -> x + lo)").alias("starts"), F.expr("transform(ends, x -> x + lo)").alias("ends"))
+    some = mixed.join(classed, ["gram", "context", "more"]).select("key", F.expr("transform(starts, x -> x + lo)").alias("starts"), F.expr("transform(ends, x -> x + lo)").alias("ends"))
     return many.unionByName(some).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
@@ -427,15 +429,16 @@ def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     Every byte goes that lies in a 200-byte string which also starts anywhere else, in the same text
     or in another row; repeated rows are occurrences of their own, so repeated texts of 200
-    bytes or more go whole. Null and empty texts have no bytes. Shorter texts stay.
+    bytes or more go whole. Null and empty texts have no bytes. Shorter texts stay. A long text is
+    cut at anchors part by part, in bounded memory beside the text itself.
     """
     texts = docs.select("text")
     with arrow_batches(docs.sparkSession, BATCH):
         ranges = materialize(repeated_ranges(texts, hot), "ranges")
     keyed = with_keys(docs, ranges)
-    renamed = ranges.withColumnRenamed("key", "vellum_of")
+    renamed = ranges.withColumnsRenamed({"key": "vellum_of", "starts": "vellum_starts", "ends": "vellum_ends"})
     touched = keyed.filter("vellum_some")
-    touched = touched.join(renamed, touched["vellum_key"] == renamed["vellum_of"], "left").drop("vellum_of", "vellum_key", "vellum_some").withColumnsRenamed({"starts": "vellum_starts", "ends": "vellum_ends"})
+    touched = touched.join(renamed, touched["vellum_key"] == renamed["vellum_of"], "left").drop("vellum_of", "vellum_key", "vellum_some")
     rest = keyed.filter("NOT vellum_some").drop("vellum_key", "vellum_some").withColumns({"vellum_starts": F.lit(None).cast("array<int>"), "vellum_ends": F.lit(None).cast("array<int>")})
     at, columns = docs.columns.index("text"), docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("vellum_bytes", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("vellum_length", "vellum_removed", "vellum_runs"))])
