@@ -39,7 +39,7 @@ from .common import flat_map, materialize, pick, table
 #: Longest word, in bytes, that the fold takes.
 LONG = 512
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: Frequent words are counted in one text of so many, and at most so many (some 30 bytes each) go to each task.
 SAMPLE, CACHED = 16, 400_000
 #: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
@@ -197,8 +197,8 @@ class Known:
 
     def number(self, texts: list[str], find, ranks: dict[bytes, int]) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Of some texts: each as numbers of its words, the words' bytes (empty where the ids are known), and those ids."""
-        found = [find(t) for t in texts]
-        flat = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+        found = [pa.array(find(t), pa.string()) for t in texts]
+        flat = pa.concat_arrays(found).dictionary_encode()
         numbers = pa.ListArray.from_arrays(_offsets(_sizes(found)), flat.indices)
         words = flat.dictionary.cast(pa.binary())
         known = self.ids.take(pc.index_in(words, value_set=self.words))
