@@ -45,6 +45,8 @@ SAMPLE, CACHED = 16, 400_000
 #: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
 MOST_RANKS = 200_000
 _NONE = 1 << 20
+#: Stands at both ends of a word in place of a byte.
+END = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,6 +74,7 @@ class RankMap:
     """
 
     def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         pairs = [(ranks[x[:i]], ranks[x[i:]], r) for x, r in ranks.items() for i in range(1, len(x)) if x[:i] in ranks and x[i:] in ranks]
         a, b, rank = np.array(pairs, np.int64).reshape(-1, 3).T
         self.size = 1 << max(4, int(1.3 * len(rank))).bit_length()
@@ -82,7 +85,8 @@ class RankMap:
                 break
         else:
             raise ValueError("no collision-free layout of the ranks")
-        self.bytes = [ranks[bytes([i])] for i in range(256)]
+        self.bytes = [*(ranks[bytes([i])] for i in range(256)), _NONE - 1]
+        self.first = [ranks.get(bytes([i, j]), _NONE) if max(i, j) < 256 else _NONE for i in range(257) for j in range(257)]
         self.pieces = [""] * (max(ranks.values()) + 1)
         for x, r in ranks.items():
             self.pieces[r] = x.hex()
@@ -119,26 +123,24 @@ class RankMap:
         return f"(get(t.slots, cast(({key} + get(t.shifts, cast({key} % {self.groups}L as int))) & {self.size - 1}L as int)) ^ shiftleft({key}, 20))"
 
     def ids(self, words: str) -> str:
-        """SQL for the ids of each byte array of ``words``, an array.
+        """SQL for the ids of each of ``words``: arrays of bytes with the mark ``END`` at both ends.
 
-        The fold's state holds the word's ids with a mark at both ends, the ranks of adjacent pairs,
-        the lowest rank and its place. One step finds the lowest rank, the next merges that pair, whose id is that rank.
+        The fold's state holds the word's ids between marks, the ranks of adjacent pairs, the lowest rank
+        and its place. One step finds the lowest rank, the next merges that pair, whose id is that rank.
         """
-        start = f"concat(array({_NONE - 1}L), transform(w, b -> get(t.bytes, b)), array({_NONE - 1}L))"
-        zero = f"named_struct('x', x, 'r', transform(slice(x, 1, size(x) - 1), (a, i) -> {self.rank('a', 'get(x, i + 1)')}), 'm', 0L, 'p', 0)"
+        zero = "named_struct('x', transform(w, b -> get(t.bytes, b)), 'r', transform(slice(w, 1, size(w) - 1), (b, i) -> get(t.first, b * 257 + get(w, i + 1))), 'm', 0L, 'p', 0)"
         found = "named_struct('x', s.x, 'r', s.r, 'm', array_min(s.r), 'p', cast(array_position(s.r, array_min(s.r)) as int))"
         ids = "concat(slice(s.x, 1, s.p - 1), array(s.m), slice(s.x, s.p + 2, size(s.x)))"
         pairs = f"concat(slice(s.r, 1, s.p - 2), array({self.rank('get(s.x, s.p - 2)', 's.m')}, {self.rank('s.m', 'get(s.x, s.p + 1)')}), slice(s.r, s.p + 2, size(s.r)))"
         step = f"if(s.m >= {_NONE}L, s, if(s.p = 0, {found}, named_struct('x', {ids}, 'r', {pairs}, 'm', 0L, 'p', 0)))"
-        fold = f"aggregate(sequence(1, 2 * size(x)), {zero}, (s, i) -> {step}, s -> cast(slice(s.x, 2, size(s.x) - 2) as array<int>))"
-        longs = "cast(split('{}', ',') as array<bigint>)".format
-        bound = f"array(named_struct('slots', {longs(','.join(map(str, self.slots)))}, 'shifts', {longs(','.join(map(str, self.shifts)))}, 'bytes', {longs(','.join(map(str, self.bytes)))}))"
-        return f"transform({bound}, t -> transform(transform({words}, w -> {start}), x -> {fold}))[0]"
+        fold = f"aggregate(sequence(1, 2 * size(w)), {zero}, (s, i) -> {step}, s -> cast(slice(s.x, 2, size(s.x) - 2) as array<int>))"
+        literal = ", ".join("'{}', cast(split('{}', ',') as array<bigint>)".format(n, ",".join(map(str, x))) for n, x in (("slots", self.slots), ("shifts", self.shifts), ("bytes", self.bytes), ("first", self.first)))
+        return f"transform(array(named_struct({literal})), t -> transform({words}, w -> {fold}))[0]"
 
     def binary(self, ids: str) -> str:
-        """SQL for the pieces of each array of ids of ``ids``, an array, concatenated. An unknown id gives null."""
+        """SQL for the pieces of each array of ids of ``ids``, an array, concatenated. Unknown ids are left out."""
         pieces = "array(named_struct('p', split('{}', ',')))".format(",".join(self.pieces))
-        return f"transform({pieces}, t -> transform({ids}, x -> if(exists(x, i -> coalesce(get(t.p, i), '') = ''), cast(null as binary), unhex(array_join(transform(x, i -> get(t.p, i)), '')))))[0]"
+        return f"transform({pieces}, t -> transform({ids}, x -> unhex(array_join(transform(x, i -> get(t.p, i)), ''))))[0]"
 
 
 @lru_cache(maxsize=2)
@@ -182,39 +184,39 @@ def _sizes(lists) -> list[int]:
 
 
 class Known:
-    """Words whose ids need no fold in a block: those of the vocabulary, and the frequent ones."""
+    """Words whose ids and decoded bytes need no fold in a block: those of the vocabulary, and the frequent ones."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array):
-        self.words, self.ids = words, ids
+    def __init__(self, ranks: dict[bytes, int], frequent: pa.Table):
+        self.words = pa.concat_arrays([pa.array(list(ranks), pa.binary()), *frequent["word"].cast(pa.binary()).chunks])
+        self.ids = pa.concat_arrays([pa.array([[r] for r in ranks.values()], pa.list_(pa.int32())), *frequent["ids"].cast(pa.list_(pa.int32())).chunks])
+        self.pieces = pa.concat_arrays([pa.array(list(ranks), pa.binary()), *frequent["piece"].cast(pa.binary()).chunks])
 
-    @classmethod
-    def of(cls, ranks: dict[bytes, int], frequent: pa.Table | None) -> Known:
-        words, ids = pa.array(list(ranks), pa.binary()), pa.array([[r] for r in ranks.values()], pa.list_(pa.int32()))
-        if frequent is not None:
-            words = pa.concat_arrays([words, *frequent["word"].cast(pa.binary()).chunks])
-            ids = pa.concat_arrays([ids, *frequent["ids"].cast(pa.list_(pa.int32())).chunks])
-        return cls(words, ids)
-
-    def number(self, texts: list[str], find, ranks: dict[bytes, int]) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """Of some texts: each as numbers of its words, the words' bytes (empty where the ids are known), and those ids."""
+    def number(self, texts: list[str], find, ranks: dict[bytes, int]) -> list[pa.Array]:
+        """Of some texts: each as numbers of its words, each word's place among the known ones (-1: none), the other words' bytes between marks, the ids of those too long to fold."""
         found = [pa.array(find(t), pa.string()) for t in texts]
         flat = pa.concat_arrays(found).dictionary_encode()
         numbers = pa.ListArray.from_arrays(_offsets(_sizes(found)), flat.indices)
         words = flat.dictionary.cast(pa.binary())
-        known = self.ids.take(pc.index_in(words, value_set=self.words))
-        long = np.flatnonzero(pc.and_(known.is_null(), pc.greater(pc.binary_length(words), LONG)).to_numpy(zero_copy_only=False))
-        if len(long):
-            held = known.to_pylist()
-            for i in long.tolist():
-                held[i] = fold_long(words[i].as_py(), ranks)
-            known = pa.array(held, pa.list_(pa.int32()))
-        left = pc.if_else(known.is_null(), words, pa.scalar(b"", pa.binary())).to_pylist()
-        data = pa.array(np.frombuffer(b"".join(left), np.uint8).astype(np.int16))
-        return numbers, pa.ListArray.from_arrays(_offsets(_sizes(left)), data), pc.fill_null(known, pa.scalar([], pa.list_(pa.int32()))) if known.null_count else known
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1)
+        left = words.filter(pc.equal(at, -1)).to_pylist()
+        long = [fold_long(w, ranks) if len(w) > LONG else [] for w in left]
+        short = [b"" if i else w for w, i in zip(left, long, strict=True)]
+        ends = np.cumsum([0, *(len(w) + 2 for w in short)])
+        data = np.full(ends[-1], END, np.int16)
+        inside = np.ones(len(data), bool)
+        inside[ends[:-1][: len(left)]] = inside[ends[1:] - 1] = False
+        data[inside] = np.frombuffer(b"".join(short), np.uint8)
+        return [numbers, at, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data)), pa.array(long, pa.list_(pa.int32()))]
+
+    def joined(self, at: pa.Array, folded: pa.Array, known: pa.Array) -> pa.Array:
+        """What each word of a block gives, from the known words and, in order, the block's own."""
+        place = at.to_numpy().astype(np.int64)
+        place[place < 0] = len(known) + np.arange(len(folded))
+        return pa.concat_arrays([known, folded.cast(known.type)]).take(pa.array(place))
 
 
 def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cached: int = CACHED) -> pa.Table:
-    """word, ids: at most ``cached`` words outside the vocabulary, the most frequent in one text of ``sample``, folded."""
+    """word, ids, piece: at most ``cached`` words outside the vocabulary, the most frequent in one text of ``sample``, folded."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def make():
@@ -238,18 +240,19 @@ def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cac
             break
         least = r.n
     words = counted.filter(F.col("n") >= least)
-    codes = "transform(sequence(1, length(hex(word)), 2), i -> cast(conv(substring(hex(word), i, 2), 16, 10) as smallint))"
-    return words.select("word", F.expr(f"{rank_map(path).ids(f'array({codes})')}[0]").alias("ids")).toArrow()
+    codes = f"concat(array({END}S), transform(sequence(1, length(hex(word)), 2), i -> cast(conv(substring(hex(word), i, 2), 16, 10) as smallint)), array({END}S))"
+    folded = words.select("word", F.expr(f"{rank_map(path).ids(f'array({codes})')}[0]").alias("ids"))
+    return folded.withColumn("piece", F.expr(f"{rank_map(path).binary('array(ids)')}[0]")).toArrow()
 
 
-def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_chars: int) -> DataFrame:
-    """One row for each block of texts: rows (what ``keep`` names), texts (numbers of words), words, known."""
+def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_chars: int):
+    """One row for each block of texts: rows (what ``keep`` names), texts (numbers of words), at (their places among the known), ids of the others; and the broadcast of the known."""
     ranks = read_ranks(path)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, Known.of(ranks, frequent(docs, path, pattern))))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, Known(ranks, frequent(docs, path, pattern))))
     at = [docs.columns.index(n) for n in keep]
     text = docs.columns.index("text")
     row = T.StructType([T.StructField(f"c{i}", docs.schema[k].dataType) for i, k in enumerate(at)])
-    schema = T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("texts", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("known", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    schema = T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("texts", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, (ranks, known) = words_of(pattern), shared.value
@@ -267,12 +270,9 @@ def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_cha
                 yield block(batch.slice(low, high - low))
                 low = high
 
-    return docs.mapInArrow(run, schema)
-
-
-def _folded(blocks: DataFrame, path: str) -> DataFrame:
-    """Blocks with ``ids``: those of each word."""
-    return blocks.withColumn("ids", F.expr(f"zip_with({rank_map(path).ids('words')}, known, (f, k) -> if(size(k) > 0, k, f))")).drop("words", "known")
+    # Only a block with a long word has ids that are not folded here.
+    ids = f"zip_with({rank_map(path).ids('words')}, long, (f, k) -> if(size(k) > 0, k, f))"
+    return docs.mapInArrow(run, schema).withColumn("ids", F.expr(ids)).select("rows", "texts", "at", "ids"), shared
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -295,17 +295,20 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("vellum_ids", T.ArrayType(T.IntegerType()))])
 
+    blocks, shared = _blocks(docs, columns, path, pattern, block_chars)
+
     def run(batches):
-        for columns_, offsets, numbers, (ids,) in _texts(batches):
-            taken = ids.take(numbers)
+        known = shared.value[1]
+        for columns_, offsets, numbers, (at, folded) in _texts(batches):
+            taken = known.joined(at, folded, known.ids).take(numbers)
             ends = pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False)))).astype(np.int32)).take(offsets)
             yield pa.RecordBatch.from_arrays([*columns_, pa.ListArray.from_arrays(ends, taken.flatten())], names=[*columns, "vellum_ids"])
 
-    return _folded(_blocks(docs, columns, path, pattern, block_chars), path).select("rows", "texts", "ids").mapInArrow(run, schema)
+    return blocks.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "vellum_ids") -> DataFrame:
-    """``df`` with ``vellum_bytes``, the pieces of its ids joined. Null ids give no bytes; an unknown id makes them null."""
+    """``df`` with ``vellum_bytes``, the pieces of its ids joined. Null ids give no bytes; unknown ids are left out."""
     held = f"array(coalesce(`{ids}`, cast(array() as array<int>)))"
     return df.withColumn("vellum_bytes", F.expr(rank_map(path).binary(held))[0])
 
@@ -322,8 +325,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] | None
         lists = pa.ListArray.from_arrays(offsets, values.take(numbers))
         return [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(lists, by)]
 
+    blocks, shared = _blocks(docs, keep, path, pattern, block_chars)
+
     def run(batches):
-        for columns, offsets, numbers, (ids, pieces) in _texts(batches):
+        known = shared.value[1]
+        for columns, offsets, numbers, (at, folded, decoded) in _texts(batches):
+            ids, pieces = known.joined(at, folded, known.ids), known.joined(at, decoded, known.pieces)
             starts, values = ids.offsets, ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py())
             own = pa.ListArray.from_arrays(pc.cast(pc.subtract(starts, starts[0]), pa.int32()), values.cast(pa.string()))
             length = np.concatenate(([0], np.cumsum(np.diff(starts.to_numpy())[numbers.to_numpy()])))
@@ -331,8 +338,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] | None
             new = [pa.array(tokens, pa.int64()), pa.array(joined(pc.binary_join(own, ","), offsets, numbers, ","), pa.string()), pa.array(joined(pieces, offsets, numbers, b""), pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *new], names=schema.names)
 
-    folded = _folded(_blocks(docs, keep, path, pattern, block_chars), path)
-    return folded.withColumn("pieces", F.expr(rank_map(path).binary("ids"))).select("rows", "texts", "ids", "pieces").mapInArrow(run, schema)
+    return blocks.withColumn("pieces", F.expr(rank_map(path).binary("ids"))).mapInArrow(run, schema)
 
 
 def _public() -> tuple[str, str]:
