@@ -253,3 +253,21 @@ def test_evidence_and_acceptance(spark):
     assert search.candidate_window(5, False) == 40 and search.candidate_window(20, False) == 80 and search.candidate_window(5, True) == 500
     g = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 0, 0), ("b", 0, 1, 1)], "doc_id string, seed int, distance int, index int")
     assert [(r.doc_id, r.score) for r in search.graph_retriever(g, 10).orderBy("rank").collect()] == [("a", 1.0), ("b", 0.5)]
+
+
+def test_ranked_counts_on_over_partitions(spark):
+    from vellum.operators.query import ranked
+
+    rows = [(i * 37 % 101, i % 7, None if i % 5 == 0 else f"t{i % 3}") for i in range(101)]
+    out = ranked(spark.createDataFrame(rows, "a int, b int, c string").repartition(5), ["c", "b", "a"]).collect()
+    want = sorted(rows, key=lambda r: (r[2] is not None, r[2] or "", r[1], r[0]))
+    assert [(r.a, r.b, r.c) for r in sorted(out, key=lambda r: r["rank"])] == want
+    assert sorted(r["rank"] for r in out) == list(range(1, 102))
+    assert ranked(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
+def test_normal_form_of_decomposed_texts(spark):
+    from vellum.functions import text as X
+
+    df = spark.createDataFrame([("éA",), ("plain",), (None,), ("각",)], "t string")
+    assert [r[0] for r in df.select(X.norm_text(df["t"])).collect()] == ["éa", "plain", None, "각"]

@@ -33,12 +33,14 @@ _NFC, _NFKC, _NFKD = (_former(f) for f in ("NFC", "NFKC", "NFKD"))
 
 
 def nfc(text: Column) -> Column:
-    """Below U+0300 no character and no pair changes under NFC, so such texts stay in the JVM."""
-    return F.when(text.rlike(r"^[\x{0000}-\x{02FF}]*$"), text).otherwise(_NFC(text))
+    """Below U+0300 no character and no pair changes under NFC: such texts stay in the JVM, and Python gets a null in their place."""
+    plain = text.rlike(r"^[\x{0000}-\x{02FF}]*$")
+    return F.coalesce(F.when(plain, text), _NFC(F.when(~plain, text)))
 
 
 def nfkc(text: Column) -> Column:
-    return F.when(text.rlike(r"^[\x{0000}-\x{009F}]*$"), text).otherwise(_NFKC(text))
+    plain = text.rlike(r"^[\x{0000}-\x{009F}]*$")
+    return F.coalesce(F.when(plain, text), _NFKC(F.when(~plain, text)))
 
 
 def norm_text(text: Column) -> Column:

@@ -61,7 +61,7 @@ def sanitize_html(html: Column) -> Column:
 def extract_status(text: Column, name: Column) -> Column:
     """blocked, auth-required, unsupported, partial or complete, from what the text says and how long it is."""
     words = count_words(text)
-    low = F.lower(F.concat_ws("\n", name, F.substring(text, 1, 5000)))
+    low = F.lower(F.concat_ws("\n", name, text))
     return (
         F.when((words < 120) & low.rlike(r"captcha|verify you are (?:a )?human|access denied|unusual traffic|enable javascript and cookies|checking your browser"), "blocked")
         .when((words < 200) & low.rlike(r"(?:sign|log) in to (?:continue|read|view)|subscribe to (?:continue|read)|members only|create an account to"), "auth-required")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .query import checkpointed
+
 CATALOG = "index.md"
 
 
@@ -249,7 +251,7 @@ def thread_depths(turns: DataFrame, most: int | None = None) -> DataFrame:
     while step < most:
         above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
         state = state.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root"))
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.localCheckpoint()
+        state = checkpointed(state)
         step *= 2
         if state.filter("up IS NOT NULL").isEmpty():
             break

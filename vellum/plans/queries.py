@@ -94,9 +94,9 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", X.concept_key(F.concat("p_name", F.lit(" / "), "p_type")).alias("key"))
 
 
-@query("slugify", "select doc_id, rtrim(left(trim(regexp_replace(replace(lower(nfc_normalize(left(text, 200))), '''', ''), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), 80), '-') as slug from documents")
+@query("slugify", "select doc_id, rtrim(left(trim(regexp_replace(replace(lower(nfc_normalize(text)), '''', ''), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), 80), '-') as slug from documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.slugify(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @query("scope_hub_id", "select n_nationkey, 'scopes/' || trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') || '--' || left(sha256(n_name), 12) as hub from nation")
@@ -146,9 +146,9 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", X.redact_machine_paths(s).alias("clean"))
 
 
-@query("sanitize_terminal", "select doc_id, sha256(replace(left(text, 500), chr(9), '    ')) as clean from documents")
+@query("sanitize_terminal", "select doc_id, sha256(replace(text, chr(9), '    ')) as clean from documents")
 def _(spark, d):
-    s = F.concat(F.lit("\x1b[31m"), F.substring("text", 1, 500), F.lit("\x1b[0m‮"))
+    s = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m‮"))
     return table(spark, d, "documents").select("doc_id", F.sha2(X.sanitize_terminal(s), 256).alias("clean"))
 
 
@@ -228,16 +228,16 @@ def _(spark, d):
     return notes(spark, d).select("id", F.try_variant_get(Q.at_path(m, "source.kinds.1"), "$", "string").alias("kind"), F.try_variant_get(Q.at_path(m, "source.name"), "$", "string").alias("name"))
 
 
-@query("sort_metadata", with_views(" select id, row_number() over (order by quality is null, quality desc, path, note_idx) as rank from notes order by rank limit 500", "notes"))
+@query("sort_metadata", with_views(" select id, row_number() over (order by quality is null, quality desc, path, note_idx) as rank from notes", "notes"))
 def _(spark, d):
     value = Q.at_path(F.col("metadata"), "quality")
-    w = notes(spark, d).orderBy(*Q.sort_keys(value, descending=True)).limit(500).select("id", "path", "note_idx", "quality")
-    return w.select("id", F.row_number().over(W.orderBy(*Q.sort_column(F.col("quality"), descending=True))).cast("bigint").alias("rank"))
+    keys = [k.alias(f"key{i}") for i, k in enumerate((value.isNull(), -F.try_variant_get(value, "$", "double")))]
+    return Q.ranked(notes(spark, d).select("id", "path", "note_idx", *keys), ["key0", "key1", "path", "note_idx"]).select("id", "rank")
 
 
-@query("sort_builtin", with_views(" select id, path from part_notes order by lower(title), path limit 200", "part_notes"))
+@query("sort_builtin", with_views(" select id, path from part_notes order by lower(title), path", "part_notes"))
 def _(spark, d):
-    return view(spark, d, "part_notes").orderBy(F.lower("title"), "path").limit(200).select("id", "path")
+    return view(spark, d, "part_notes").orderBy(F.lower("title"), "path").select("id", "path")
 
 
 @query("topk_per_group", """with r as (select tag_lang as lang, id, n_chars, row_number() over (partition by tag_lang order by n_chars desc, note_idx) as rank, count(*) over (partition by tag_lang) as total from notes)
@@ -275,9 +275,9 @@ def _(spark, d):
     return G.contextual_links(view(spark, d, "raw_links"))
 
 
-@query("backlinks", with_views(" select target, source, line from sparse_links", "sparse_links"))
+@query("backlinks", with_views(" select target, source, line from links", "links"))
 def _(spark, d):
-    return G.backlinks(view(spark, d, "sparse_links"))
+    return G.backlinks(view(spark, d, "links"))
 
 
 @query("note_connections", with_views(", l as (select source, target from raw_links where source <> target group by all) select id, path, (select count(*) from l where l.target = n.path) as inbound, (select count(*) from l where l.source = n.path) as outbound from part_notes n", "raw_links", "part_notes"))
@@ -285,10 +285,10 @@ def _(spark, d):
     return G.note_connections(view(spark, d, "part_notes"), G.contextual_links(view(spark, d, "raw_links")))
 
 
-@query("query_join_connections", with_views(" select n.id, count(l.source) as inbound from part_notes n left join sparse_links l on l.target = n.path where n.tag_brand = 'Brand#11' group by n.id", "sparse_links", "part_notes"))
+@query("query_join_connections", with_views(" select n.id, count(l.source) as inbound from part_notes n left join links l on l.target = n.path where n.tag_brand = 'Brand#11' group by n.id", "links", "part_notes"))
 def _(spark, d):
     n = view(spark, d, "part_notes")
-    return n.filter("tag_brand = 'Brand#11'").join(G.note_connections(n, view(spark, d, "sparse_links")).select("id", "inbound"), "id").select("id", "inbound")
+    return n.filter("tag_brand = 'Brand#11'").join(G.note_connections(n, view(spark, d, "links")).select("id", "inbound"), "id").select("id", "inbound")
 
 
 @query("orphans", with_views(" select id, path from part_notes where path not in (select source from sparse_links union select target from sparse_links)", "sparse_links", "part_notes"))
@@ -296,9 +296,9 @@ def _(spark, d):
     return G.orphans(view(spark, d, "part_notes"), view(spark, d, "sparse_links"))
 
 
-@query("edges_among_results", with_views(" select source, target, line from sparse_links where source in (select path from part_notes where tag_brand < 'Brand#3') and target in (select path from part_notes where tag_brand < 'Brand#3')", "sparse_links", "part_notes"))
+@query("edges_among_results", with_views(" select source, target, line from links where source in (select path from part_notes where tag_brand < 'Brand#3') and target in (select path from part_notes where tag_brand < 'Brand#3')", "links", "part_notes"))
 def _(spark, d):
-    return G.edges_among(view(spark, d, "sparse_links"), view(spark, d, "part_notes").filter("tag_brand < 'Brand#3'"))
+    return G.edges_among(view(spark, d, "links"), view(spark, d, "part_notes").filter("tag_brand < 'Brand#3'"))
 
 
 _DECLARED = """declared as (select source, predicate, case when length(target) % 3 = 0 then replace(target, 'parts/', '') when length(target) % 3 = 1 then target || 'x' else target end as target from relations
@@ -325,10 +325,10 @@ def _(spark, d):
     return G.relation_hygiene(G.resolve_relations(p, declared))
 
 
-@query("reciprocal_join", "with r as (select distinct o_custkey % 50 as a, o_orderkey % 50 as b, o_orderpriority as p from orders) select cast(x.a as varchar) as source, x.p as predicate, cast(x.b as varchar) as target from r x join r y on x.a = y.b and x.b = y.a and x.p = y.p where cast(x.a as varchar) < cast(x.b as varchar)")
+@query("reciprocal_join", "with r as (select distinct l_partkey as a, l_suppkey as b, l_returnflag as p from lineitem) select cast(x.a as varchar) as source, x.p as predicate, cast(x.b as varchar) as target from r x join r y on x.a = y.b and x.b = y.a and x.p = y.p where cast(x.a as varchar) < cast(x.b as varchar)")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    return G.reciprocal(o.select((F.col("o_custkey") % 50).cast("string").alias("source"), F.col("o_orderpriority").alias("predicate"), (F.col("o_orderkey") % 50).cast("string").alias("target")).distinct())
+    r = table(spark, d, "lineitem")
+    return G.reciprocal(r.select(F.col("l_partkey").cast("string").alias("source"), F.col("l_returnflag").alias("predicate"), F.col("l_suppkey").cast("string").alias("target")).distinct())
 
 
 @query("lookup_note", with_views(" select n_name as query, case when n = 1 then 'found' when n > 1 then 'ambiguous' else 'missing' end as outcome, case when n = 1 then id end as id from (select n_name, (select count(*) from notes where lower(title) = lower(q)) as n, (select min(id) from notes where lower(title) = lower(q)) as id from (select 'Document ' || n_nationkey as n_name, 'Document ' || n_nationkey as q from nation))", "notes"))
@@ -371,12 +371,12 @@ _WORDS = "[\\p{L}\\p{N}]+"
 
 
 @query("mention_pairs", """
-with t as (select 'items/b' || item_id as target, lower(left(text, 12)) as phrase from benchmark),
+with t as (select 'items/b' || item_id as target, lower(text) as phrase from benchmark),
 o as (select phrase, min(target) as target from t group by phrase having count(distinct target) = 1)
 select 'articles/d' || doc_id as source, target, phrase from documents, o
 where regexp_matches(lower(text), (case when regexp_matches(left(phrase, 1), '[a-z0-9]') then '(?:^|[^a-z0-9])' else '' end) || regexp_escape(phrase) || (case when regexp_matches(right(phrase, 1), '[a-z0-9]') then '(?:[^a-z0-9]|$)' else '' end)) and regexp_matches(phrase, '[\\p{L}\\p{N}]')""")
 def _(spark, d):
-    b = table(spark, d, "benchmark").select(F.concat(F.lit("items/b"), F.col("item_id").cast("string")).alias("target"), F.substring("text", 1, 12).alias("phrase"))
+    b = table(spark, d, "benchmark").select(F.concat(F.lit("items/b"), F.col("item_id").cast("string")).alias("target"), F.col("text").alias("phrase"))
     n = table(spark, d, "documents").select(F.concat(F.lit("articles/d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("content"))
     none = b.select(F.col("target").alias("source"), "target").limit(0)
     return G.mention_pairs(n, b, none).select("source", "target", "phrase")
@@ -476,11 +476,11 @@ def _(spark, d):
     return M.scope_state(view(spark, d, "scopes"), view(spark, d, "targets").withColumnRenamed("target", "path"))
 
 
-@query("source_inbox", with_views(", s as (select path, case when note_idx % 4 > 0 then '1996-02-' || lpad(cast(note_idx % 33 as varchar), 2, '0') end as clipped from part_notes where note_idx % 2 = 0), m as (select path from part_notes where note_idx % 10 = 1) select path, try_cast(clipped as date) as clipped from s where path not in (select target from sparse_links where source in (select path from m))", "sparse_links", "part_notes"))
+@query("source_inbox", with_views(", s as (select path, case when note_idx % 4 > 0 then '1996-02-' || lpad(cast(note_idx % 33 as varchar), 2, '0') end as clipped from part_notes where tag_brand <> 'Brand#55'), m as (select path from part_notes where tag_brand = 'Brand#55') select path, try_cast(clipped as date) as clipped from s where path not in (select target from links where source in (select path from m))", "links", "part_notes"))
 def _(spark, d):
     p = view(spark, d, "part_notes")
     clipped = F.when(F.col("note_idx") % 4 > 0, F.concat(F.lit("1996-02-"), F.lpad((F.col("note_idx") % 33).cast("string"), 2, "0")))
-    return M.source_inbox(p.filter("note_idx % 2 = 0").select("path", clipped.alias("clipped")), view(spark, d, "sparse_links"), p.filter("note_idx % 10 = 1").select("path"))
+    return M.source_inbox(p.filter("tag_brand <> 'Brand#55'").select("path", clipped.alias("clipped")), view(spark, d, "links"), p.filter("tag_brand = 'Brand#55'").select("path"))
 
 
 SQL["inbox_semijoin"], QUERIES["inbox_semijoin"] = SQL["source_inbox"], QUERIES["source_inbox"]
@@ -911,9 +911,9 @@ def _(spark, d):
     return j.select("id", "hash", F.round(1 / (99 + F.row_number().over(w)), 8).alias("recency"))
 
 
-@query("graph_retriever_score", with_views(""", r as (select target as doc_id, min((1, 0, line)) as b from sparse_links group by target) select doc_id, row_number() over (order by b, doc_id) as rank, 0.5 as score from r order by rank limit 50""", "sparse_links"))
+@query("graph_retriever_score", with_views(""", r as (select target as doc_id, min((1, 0, line)) as b from links group by target) select doc_id, row_number() over (order by b, doc_id) as rank, 0.5 as score from r order by rank limit 50""", "links"))
 def _(spark, d):
-    links = view(spark, d, "sparse_links")
+    links = view(spark, d, "links")
     return S.graph_retriever(links.select(F.col("target").alias("doc_id"), F.lit(0).alias("seed"), F.lit(1).alias("distance"), F.col("line").alias("index")), 50)
 
 

@@ -20,6 +20,12 @@ from documents d left join labels l on d.doc_id = l.doc_id""",
        concat('parts/p', cast(b.l_partkey as varchar(20)), '.md') as target,
        a.l_orderkey as line
 from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber""",
+    "links": """select concat('parts/p', cast(a.l_partkey as varchar(20)), '.md') as source,
+       concat('parts/p', cast(b.l_partkey as varchar(20)), '.md') as target,
+       min(a.l_orderkey) as line
+from lineitem a join lineitem b
+  on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber and a.l_partkey <> b.l_partkey
+group by a.l_partkey, b.l_partkey""",
     "sparse_links": """select concat('parts/p', cast(a.l_partkey as varchar(20)), '.md') as source,
        concat('parts/p', cast(b.l_partkey as varchar(20)), '.md') as target,
        min(a.l_orderkey) as line
