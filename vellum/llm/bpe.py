@@ -39,7 +39,7 @@ from .common import flat_map, materialize, pick, table
 #: Longest word, in bytes, that the fold takes.
 LONG = 512
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 #: Frequent words are counted in one text of so many, and at most so many (some 30 bytes each) go to each task.
 SAMPLE, CACHED = 16, 400_000
 #: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
