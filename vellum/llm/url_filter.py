@@ -21,7 +21,7 @@ from .common import pick, table
 #: The listed URLs of the query and their verdicts.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Eight odd multipliers that choose one bit of each of a block's words.
+#: The eight odd multipliers of the published split-block Bloom filter; each chooses one bit of a word.
 SALTS = [0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31]
 
 
