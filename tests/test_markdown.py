@@ -70,8 +70,8 @@ def test_resolve_links(spark):
 
 
 def test_replace_catalog():
-    s, e = "<!-- kb:catalog:start -->", "<!-- kb:catalog:end -->"
-    assert graph.replace_catalog(f"x\n{s}\nold\n{e}\ny", "new") == f"x\n{s}\nnew\n{e}\ny"
+    s, e = "<!-- catalog:start -->", "<!-- catalog:end -->"
+    assert graph.replace_catalog(f"x\n{s}\nold\n{e}\ny", "new", s, e) == f"x\n{s}\nnew\n{e}\ny"
 
 
 def test_git_log(spark):

@@ -129,7 +129,7 @@ def catalog_groups(notes: DataFrame) -> DataFrame:
     return notes.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
 
 
-def replace_catalog(index: str, catalog: str, start: str = "<!-- kb:catalog:start -->", end: str = "<!-- kb:catalog:end -->") -> str:
+def replace_catalog(index: str, catalog: str, start: str, end: str) -> str:
     """The index text with the region between its two marks replaced; marks must be one pair, in order."""
     if index.count(start) != 1 or index.count(end) != 1 or index.index(start) > index.index(end):
         raise ValueError("the catalog marks are missing, repeated or out of order")
