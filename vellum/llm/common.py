@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,11 +106,21 @@ def append(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fie
     return df.mapInArrow(run, schema)
 
 
-def flat_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], fields: dict[str, str], last: bool = False) -> DataFrame:
+def split(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most ``size`` bytes together, or one longer text."""
+    ends = np.cumsum([0, *pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()])
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + size, side="right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def flat_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], fields: dict[str, str], last: bool = False, most: tuple[str, int] | None = None) -> DataFrame:
     """Rows of another schema from each Arrow batch.
 
     ``make`` runs once a task and returns a function from a batch to one list or array
-    for each field. With ``last``, that function is called once more with None at the task's end.
+    for each field. With ``last``, that function is called once more with None at the task's end. ``most`` names a column of texts and how many of its bytes, or one longer text, a batch holds.
     """
     names, types = list(fields), list(fields.values())
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()])
@@ -120,7 +132,8 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]]
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=_ARROW[t]) for c, t in zip(compute(batch), types, strict=True)], names=names)
 
         for batch in batches:
-            yield out(batch)
+            for part in split(batch, *most) if most else [batch]:
+                yield out(part)
         if last:
             yield out(None)
 

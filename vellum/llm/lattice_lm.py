@@ -1,17 +1,21 @@
 """Language-model scores from a subword lattice.
 
-A text is its words and one end. A word's probability mixes what the training documents say of it
-(its share of their tokens) with the lattice: every segmentation of the word into pieces of a
-public vocabulary counts, weighted by the product of its pieces' weights, and a forward recursion
-in log space adds them up. A vocabulary of merges has no probabilities, only scores that fall by
-one with each merge; a piece's weight is 1 / (1 - score), normalised over the vocabulary, so the
-scores order and scale the pieces as ranks do in a Zipf law. Characters that no piece
-holds take the vocabulary's byte pieces. A text's score is the sum of its words' log10 probabilities.
+A text is its words and one end. Every segmentation of a word into pieces of a public vocabulary
+counts, weighted by the product of its pieces' weights, and a forward recursion in log space adds
+them up. A text's score is the sum of its words' log10 probabilities: its marginal likelihood.
+
+The vocabulary is one of merges, which has no probabilities, only scores that fall by one with each
+merge; 1 / (1 - score), normalised, is a piece's first weight. The weights are then learned: a round
+spreads each training word's count over the pieces of all its segmentations by their share of the
+word's probability, adds these expected counts over the corpus, and a piece's new weight is its
+expected count and a share of ``PRIOR`` a piece that follows the first weights. Characters that no
+piece holds take the vocabulary's byte pieces.
 
 How it runs: one scan turns each Arrow batch of texts into numbers of a dictionary of its own, and
 both are written. Only dictionary entries (a word once a batch, however often it occurs)
 shuffle by word, are counted over all training documents, scored once for each distinct word, and
-come back to their batch.
+come back to their batch. A round of learning is one pass over the distinct words, whose sums by piece are
+bounded by the vocabulary. A batch holds at most ``BATCH_BYTES`` of text, or one longer text, which takes some ten times its size.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from pyspark.sql import types as T
 
 from .common import flat_map, materialize, pick, table, utf8
 
-#: Weight of the trained word shares against the lattice.
-TRAINED = 0.5
+#: Rounds of learning, and what the first weights count for, a piece.
+ROUNDS, PRIOR = 2, 0.1
+#: Most bytes of text that share a dictionary.
+BATCH_BYTES = 1 << 24
 START = "▁"
 
 
@@ -43,33 +49,51 @@ class Lattice:
         self.bytes = [self.log.get(f"<0x{b:02X}>", -25.0) for b in range(256)]
         self.heads = {p[:n] for p in self.log for n in range(1, len(p) + 1)}
 
-    def word(self, word: str) -> float:
-        """Natural log of the summed probability of all segmentations of the word, its start mark included."""
-        s = START + word
+    def _forward(self, s: str) -> tuple[list[float], list[list[tuple]]]:
+        """Of each place in ``s``: the log of the summed probability of what leads there, and its last pieces as (log so far, start, pieces)."""
         n, log, heads = len(s), self.log, self.heads
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        into[0].append(0.0)
-        for i in range(n):
-            terms = into[i]
-            into[i] = ()
-            if len(terms) == 1:
-                at = terms[0]
-            else:
-                top = max(terms)
-                at = top + math.log(sum([math.exp(t - top) for t in terms]))
-            whole = False
+        into: list[list[tuple]] = [[] for _ in range(n + 1)]
+        at = [0.0] * (n + 1)
+        for i in range(n + 1):
+            if i:
+                terms = into[i]
+                if not terms:
+                    at[i] = -math.inf
+                    continue
+                top = max(terms)[0]
+                at[i] = top if len(terms) == 1 else top + math.log(sum([math.exp(t[0] - top) for t in terms]))
+            here, whole = at[i], False
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 piece = s[i:j]
                 if piece not in heads:
                     break
                 p = log.get(piece)
                 if p is not None:
-                    into[j].append(at + p)
+                    into[j].append((here + p, i, piece))
                     whole |= j == i + 1
-            if not whole:
-                into[i + 1].append(at + sum(self.bytes[b] for b in s[i].encode("utf-8", "replace")))
-        top = max(into[n])
-        return top + math.log(sum([math.exp(t - top) for t in into[n]]))
+            if i < n and not whole:
+                into[i + 1].append((here + sum(self.bytes[b] for b in s[i].encode("utf-8", "replace")), i, None))
+        return at, into
+
+    def word(self, word: str) -> float:
+        """Natural log of the summed probability of all segmentations of the word, its start mark included."""
+        return self._forward(START + word)[0][-1]
+
+    def expect(self, word: str, count: int, counts: dict[str, float]) -> None:
+        """Add to ``counts`` how often each piece is expected in ``count`` copies of the word."""
+        s = START + word
+        at, into = self._forward(s)
+        mass = [0.0] * len(s) + [float(count)]
+        for j in range(len(s), 0, -1):
+            m = mass[j]
+            if not m:
+                continue
+            terms = into[j]
+            for t, i, piece in terms:
+                share = m if len(terms) == 1 else m * math.exp(t - at[j])
+                mass[i] += share
+                for x in [piece] if piece else [f"<0x{b:02X}>" for b in s[i].encode("utf-8", "replace")]:
+                    counts[x] = counts.get(x, 0.0) + share
 
 
 def read_pieces(path: str) -> tuple[list[tuple[str, float]], float]:
@@ -83,8 +107,8 @@ def read_pieces(path: str) -> tuple[list[tuple[str, float]], float]:
     return pieces, math.log(weight[sp.eos_id()] / total)
 
 
-def held_out(doc_id, folds: int) -> bool | None:
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds == 0
+def held_out(doc_id, folds: int) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
 def _numbered(docs: DataFrame, folds: int) -> DataFrame:
@@ -100,7 +124,7 @@ def _numbered(docs: DataFrame, folds: int) -> DataFrame:
             ids, held, tokens, words, counts = batch.column(0), [], [], [], []
             for d, t in zip(ids.to_pylist(), utf8(batch.column(1)), strict=True):
                 found = Counter(t.lower().split())
-                out = bool(held_out(d, folds))
+                out = held_out(d, folds)
                 held.append(out)
                 tokens.append(sum(found.values()) + 1)
                 words.append([number.setdefault(w, len(number)) for w in found])
@@ -123,23 +147,54 @@ def _numbered(docs: DataFrame, folds: int) -> DataFrame:
         return of
 
     fields = {"batch": "bigint", "doc_id": dict(docs.dtypes)["doc_id"], "held": "boolean", "tokens": "bigint", "words": "array<int>", "counts": "array<int>", "word": "binary", "number": "int", "train": "bigint"}
-    return flat_map(pick(docs, "doc_id", "text"), make, fields)
+    return flat_map(pick(docs, "doc_id", "text"), make, fields, most=("text", BATCH_BYTES))
 
 
-def score(docs: DataFrame, path: str, folds: int = 10, trained: float = TRAINED) -> DataFrame:
+def learn(counted: DataFrame, pieces: list[tuple[str, float]], end: float, ends: int, rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[list[tuple[str, float]], float]:
+    """The pieces and the end mark with the logs of learned weights, from ``counted``: word (binary) and c, its count in training documents, which have ``ends`` ends.
+
+    Words of count zero are not looked at; without any word and end, and with no rounds, the weights stay the first ones.
+    """
+    first, last = pieces, end
+    for _ in range(rounds):
+        shared = counted.sparkSession.sparkContext.broadcast(pieces)
+
+        def make(shared=shared):
+            lattice, sums = Lattice(shared.value), {}
+
+            def of(batch):
+                if batch is None:
+                    return [list(sums), list(sums.values())]
+                for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    lattice.expect(w.decode(), c, sums)
+                return [[], []]
+
+            return of
+
+        sums = flat_map(counted.filter("c > 0").select("word", "c"), make, {"piece": "string", "n": "double"}, last=True)
+        expected = {r.piece: r.n for r in sums.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+        share = prior * len(first)
+        total = math.fsum(expected.values()) + ends + share
+        pieces = [(p, math.log((expected.get(p, 0.0) + share * math.exp(w)) / total)) for p, w in first]
+        end = math.log((ends + share * math.exp(last)) / total)
+        shared.unpersist()
+    return pieces, end
+
+
+def score(docs: DataFrame, path: str, folds: int = 10, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
     Documents whose ``doc_id`` as text has a crc32 that ``folds`` divides are held out; the counts
     are those of all others, rows without ``doc_id`` among them. Each row is a document. A null or
-    empty text is one end. With no training documents every share is zero and the lattice decides.
+    empty text is one end. With no training documents the first weights decide.
     """
-    spark = docs.sparkSession
     pieces, end = read_pieces(path)
-    shared = spark.sparkContext.broadcast(pieces)
     rows = materialize(_numbered(docs, folds), "numbered")
     texts, entries = rows.filter("word IS NULL").select("batch", "doc_id", "held", "tokens", "words", "counts"), rows.filter("word IS NOT NULL").select("batch", "word", "number", "train")
     ends = texts.filter("NOT held").count()
     counted = materialize(entries.groupBy("word").agg(F.sum("train").alias("c")), "words")
+    pieces, end = learn(counted, pieces, end, ends, rounds)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
     known, total = counted.agg(F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     total, known = total + ends, known + (ends > 0)
     floor = total + 0.1 * (known + 1)
@@ -147,22 +202,18 @@ def score(docs: DataFrame, path: str, folds: int = 10, trained: float = TRAINED)
     def base(c):
         return math.log10((c + 0.1) / floor)
 
-    def model(c, log):
-        share = trained * c / total if total else 0.0
-        return math.log10(share + (1 - trained) * math.exp(log)) if log > -600 or share else (log + math.log(1 - trained)) / math.log(10)
-
     def weigh():
         lattice = Lattice(shared.value)
 
         def of(batch):
             words, c = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            return [batch.column(0), pa.array([n > 0 for n in c]), [base(n) for n in c], [model(n, lattice.word(w.decode())) for w, n in zip(words, c, strict=True)]]
+            return [batch.column(0), pa.array([n > 0 for n in c]), [base(n) for n in c], [lattice.word(w.decode()) / math.log(10) for w in words]]
 
         return of
 
     weighed = flat_map(counted, weigh, {"word": "binary", "known": "boolean", "base": "double", "model": "double"})
     back = entries.select("batch", "word", "number").join(weighed, "word").select(F.col("batch").alias("of_batch"), "number", "known", "base", "model")
-    end_base, end_model = base(ends), model(ends, end)
+    end_base, end_model = base(ends), end / math.log(10)
 
     def add_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right["number"].to_numpy())
