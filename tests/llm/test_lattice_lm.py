@@ -32,6 +32,18 @@ def test_marginal_is_the_sum_over_segmentations():
     for w in ("", "a", "the", "thonered", "éclair", "naïve|x", "你好", "\u0001z"):
         assert math.isclose(lattice.word(w), math.log(plain_word(pieces, w)), rel_tol=1e-9)
     assert math.isfinite(lattice.word("x" * 100_000))
+    words = ["", "th", "the", "then", "thonered", "éclair", "écru", "naïve|x", "naïvety", "你好", "\u0001z"]
+    alone = Counter()
+    for w in words * 2:
+        assert lattice.word(w) == L.Lattice(pieces).word(w)
+        one = L.Lattice(pieces)
+        one.expect(w, 3)
+        alone.update(one.expected())
+    for order in (sorted(words * 2), words[::-1] * 2):
+        for w in order:
+            lattice.expect(w, 3)
+        assert lattice.expected() == pytest.approx(alone)
+        lattice.counts.clear()
 
 
 def test_weights_are_a_distribution():
@@ -43,12 +55,14 @@ def plain_learn(c, pieces, end, rounds=2, prior=0.1):
     """Expected counts by a backward recursion, in plain probabilities where they don't vanish."""
     first, last, ends = pieces, end, c[None]
     for _ in range(rounds):
-        got, lattice = Counter(), L.Lattice(pieces)
+        got = Counter()
         for w, n in c.items():
             if w is None:
                 continue
             if len(w) > 30:
-                lattice.expect(w, n, got)
+                long = L.Lattice(pieces)
+                long.expect(w, n)
+                got.update(long.expected())
                 continue
             log, s = dict(pieces), L.START + w
             steps = [(i, j, [s[i:j]]) for i in range(len(s)) for j in range(i + 1, len(s) + 1) if s[i:j] in log]

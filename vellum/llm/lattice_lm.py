@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -44,56 +44,93 @@ class Lattice:
     """Marginal log probabilities of words over all segmentations."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
-        self.log = dict(pieces)
-        self.longest = max((len(p) for p in self.log), default=0)
-        self.bytes = [self.log.get(f"<0x{b:02X}>", -25.0) for b in range(256)]
-        self.heads = {p[:n] for p in self.log for n in range(1, len(p) + 1)}
-
-    def _forward(self, s: str) -> tuple[list[float], list[list[tuple]]]:
-        """Of each place in ``s``: the log of the summed probability of what leads there, and its last pieces as (log so far, start, pieces)."""
-        n, log, heads = len(s), self.log, self.heads
-        into: list[list[tuple]] = [[] for _ in range(n + 1)]
-        at = [0.0] * (n + 1)
-        for i in range(n + 1):
-            if i:
-                terms = into[i]
-                if not terms:
-                    at[i] = -math.inf
-                    continue
-                top = max(terms)[0]
-                at[i] = top if len(terms) == 1 else top + math.log(sum([math.exp(t[0] - top) for t in terms]))
-            here, whole = at[i], False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
+        log = dict(pieces)
+        self.bytes = [log.get(f"<0x{b:02X}>", -25.0) for b in range(256)]
+        #: The log of each piece; None for what only begins a piece.
+        self.steps = {p[:n]: None for p in log for n in range(1, len(p))} | log
+        self.longest = max(map(len, log), default=0)
+        self.last: tuple = ("", [0.0], [[]], [[]], [])
+        self.mass, self.counts = [0.0], defaultdict(float)
+
+    def _spread(self, same: int) -> None:
+        """Give the counts that wait at the places after ``same`` to the last pieces there and the places where these start."""
+        s, at, into, starts, _ = self.last
+        mass, counts, find, exp = self.mass, self.counts, self.steps.get, math.exp
+        for j in range(len(s), same, -1):
+            m, a, terms = mass.pop(), at[j], into[j]
+            if not m:
+                continue
+            for t, i in zip(terms, starts[j]):
+                share = m if len(terms) == 1 else m * exp(t - a)
+                mass[i] += share
                 piece = s[i:j]
-                if piece not in heads:
+                if find(piece) is None:
+                    for b in piece.encode("utf-8", "replace"):
+                        counts[f"<0x{b:02X}>"] += share
+                else:
+                    counts[piece] += share
+
+    def _forward(self, s: str) -> float:
+        """The log of the summed probability of what leads to the end of ``s``.
+
+        ``last`` keeps, for each place, that log, those of its last pieces and where these start, and how far
+        pieces that start there go. What ``s`` begins with as the string before it did stays, so words in order cost the least.
+        """
+        before, at, into, starts, reach = self.last
+        n, find, exp, ln = len(s), self.steps.get, math.exp, math.log
+        same = 0
+        for x, y in zip(before, s):
+            if x != y:
+                break
+            same += 1
+        self._spread(same)
+        del at[same + 1 :], into[same + 1 :], starts[same + 1 :], reach[same:]
+        into += [[] for _ in range(n - same)]
+        starts += [[] for _ in range(n - same)]
+        self.mass += [0.0] * (n - same)
+        for i in range(max(0, same - self.longest), n):
+            here = at[i]
+            if i < same:
+                if reach[i] < same:
+                    continue
+                reach[i] = low = same
+            else:
+                low = i
+                reach.append(i)
+                if find(s[i]) is None:
+                    into[i + 1].append(here + sum([self.bytes[b] for b in s[i].encode("utf-8", "replace")]))
+                    starts[i + 1].append(i)
+            for j in range(low + 1, n + 1):
+                p = find(s[i:j], 0.0)
+                if p == 0.0:
                     break
-                p = log.get(piece)
+                reach[i] = j
                 if p is not None:
-                    into[j].append((here + p, i, piece))
-                    whole |= j == i + 1
-            if i < n and not whole:
-                into[i + 1].append((here + sum(self.bytes[b] for b in s[i].encode("utf-8", "replace")), i, None))
-        return at, into
+                    into[j].append(here + p)
+                    starts[j].append(i)
+            if i >= same:
+                terms = into[i + 1]
+                if len(terms) == 1:
+                    at.append(terms[0])
+                else:
+                    top = max(terms)
+                    at.append(top + ln(sum([exp(t - top) for t in terms])))
+        self.last = (s, at, into, starts, reach)
+        return at[n]
 
     def word(self, word: str) -> float:
         """Natural log of the summed probability of all segmentations of the word, its start mark included."""
-        return self._forward(START + word)[0][-1]
-
-    def expect(self, word: str, count: int, counts: dict[str, float]) -> None:
-        """Add to ``counts`` how often each piece is expected in ``count`` copies of the word."""
-        s = START + word
-        at, into = self._forward(s)
-        mass = [0.0] * len(s) + [float(count)]
-        for j in range(len(s), 0, -1):
-            m = mass[j]
-            if not m:
-                continue
-            terms = into[j]
-            for t, i, piece in terms:
-                share = m if len(terms) == 1 else m * math.exp(t - at[j])
-                mass[i] += share
-                for x in [piece] if piece else [f"<0x{b:02X}>" for b in s[i].encode("utf-8", "replace")]:
-                    counts[x] = counts.get(x, 0.0) + share
+        return self._forward(START + word)
+
+    def expect(self, word: str, count: int) -> None:
+        """Take in ``count`` copies of the word; beginnings that words in order share wait and are spread once."""
+        self._forward(START + word)
+        self.mass[-1] += count
+
+    def expected(self) -> dict[str, float]:
+        """How often each piece is expected in the words taken in."""
+        self._forward("")
+        return self.counts
 
 
 def read_pieces(path: str) -> tuple[list[tuple[str, float]], float]:
@@ -160,13 +197,14 @@ def learn(counted: DataFrame, pieces: list[tuple[str, float]], end: float, ends:
         shared = counted.sparkSession.sparkContext.broadcast(pieces)
 
         def make(shared=shared):
-            lattice, sums = Lattice(shared.value), {}
+            lattice = Lattice(shared.value)
 
             def of(batch):
                 if batch is None:
-                    return [list(sums), list(sums.values())]
+                    found = lattice.expected()
+                    return [list(found), list(found.values())]
                 for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    lattice.expect(w.decode(), c, sums)
+                    lattice.expect(w.decode(), c)
                 return [[], []]
 
             return of
@@ -192,7 +230,7 @@ def score(docs: DataFrame, path: str, folds: int = 10, rounds: int = ROUNDS) ->
     rows = materialize(_numbered(docs, folds), "numbered")
     texts, entries = rows.filter("word IS NULL").select("batch", "doc_id", "held", "tokens", "words", "counts"), rows.filter("word IS NOT NULL").select("batch", "word", "number", "train")
     ends = texts.filter("NOT held").count()
-    counted = materialize(entries.groupBy("word").agg(F.sum("train").alias("c")), "words")
+    counted = materialize(entries.groupBy("word").agg(F.sum("train").alias("c")).sortWithinPartitions("word"), "words")
     pieces, end = learn(counted, pieces, end, ends, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     known, total = counted.agg(F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("c"), F.lit(0))).first()
