@@ -271,3 +271,24 @@ def test_normal_form_of_decomposed_texts(spark):
 
     df = spark.createDataFrame([("éA",), ("plain",), (None,), ("각",)], "t string")
     assert [r[0] for r in df.select(X.norm_text(df["t"])).collect()] == ["éa", "plain", None, "각"]
+
+
+def test_semantic_search_paths_agree(spark):
+    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(300)] + [(900, None), (901, [0.0, 0.0, 0.0]), (902, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (903, [1.0, None, 2.0])]
+    vectors = spark.createDataFrame(rows, "doc_id bigint, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([("a", [1.0, 0.0, 1.0]), ("b", [0.0, 1.0, 0.0]), ("c", [1.0, 2.0]), ("d", [0.0, 0.0, 0.0]), ("e", None)], "query_id string, vector array<double>")
+    for least in (None, 0.8):
+        a = sorted(map(tuple, search.semantic_search(vectors, asked, 5, least=least).collect()))
+        b = sorted(map(tuple, search.semantic_search(vectors.dropna(subset=["doc_id"]), asked, 5, most_bytes=16, least=least).collect()))
+        assert a == b
+    assert {r[0] for r in a} == {"a", "b", "c"} and ("c", 902, 1, 1.0) in a
+    texts = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "vector")
+    assert search.semantic_search(texts, asked, 5).filter("query_id = 'c'").first().doc_id == "902"
+    assert search.semantic_search(vectors.limit(0), asked, 5).count() == 0 and search.semantic_search(vectors, asked.limit(0), 5).count() == 0
+
+
+def test_keyword_search_paths_agree(spark):
+    docs = spark.createDataFrame([(i, f"common word{i % 5} Ärger {'x ' * (i % 9)}") for i in range(60)] + [(99, None), (98, "")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "common word3"), (2, "ärger"), (3, "absent"), (4, None)], "query_id int, text string")
+    a, b = (sorted(map(tuple, search.keyword_search(docs, asked, 4, most_bytes=n).collect())) for n in (1 << 20, 0))
+    assert a == b and {r[0] for r in a} == {1, 2}

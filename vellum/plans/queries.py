@@ -621,13 +621,16 @@ def _(spark, d):
     return S.rrf_fuse(lanes)
 
 
-@query("hybrid_search", f"""with {_COSINE}, k2 as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id) as rank from vl where doc_id % 3 = 0),
-lanes as (select 'keyword' as lane, 1.0 as weight, query_id, doc_id, rank from k2 union all select 'vector', 1.0, query_id, doc_id, rank from vl), f as ({_FUSED})
-select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, score, doc_id % 3 = 0 as keyword, true as vector from f qualify rank <= 10""")
+@query("hybrid_search", f"""with {_BM25}, vs as (select q.vec_id as query_id, v.vec_id as doc_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 5) as score from embeddings v, embeddings q where q.vec_id in (select item_id from benchmark)),
+vl as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from vs qualify rank <= 10),
+lanes as (select 'keyword' as lane, 1.0 as weight, query_id, doc_id, rank from kw union all select 'vector', 1.0, query_id, doc_id, rank from vl), f as ({_FUSED})
+select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, score, (query_id, doc_id) in (select (query_id, doc_id) from kw) as keyword, (query_id, doc_id) in (select (query_id, doc_id) from vl) as vector from f qualify rank <= 10""")
 def _(spark, d):
-    v = _vectors(spark, d)
-    k = v.filter("doc_id % 3 = 0").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")).cast("bigint"))
-    return S.hybrid(k, v, 10)
+    """Benchmark items by their words and by the vector of the same id, both over document ids."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    wanted = v.withColumnRenamed("doc_id", "query_id").join(items, "query_id", "left_semi")
+    return S.hybrid(_lanes(spark, d), S.semantic_search(v, wanted, 10), 10)
 
 
 @query("semantic_reconcile", "select d.doc_id, 'd' || d.doc_id as id from documents d where d.doc_id % 4 > 0")
