@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lattice_lm, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
+from . import bpe, decontaminate, fill_in_middle, lattice_lm, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_neighbour_quality": quality_classifier.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_lattice_lm": lattice_lm.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_fill_in_middle": fill_in_middle.query,
 }
 
 #: DuckDB SQL.
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_decontaminate": decontaminate.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
 }
