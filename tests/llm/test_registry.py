@@ -11,7 +11,7 @@ FOLDER = os.environ.get("VELLUM_TABLES", "/root/testdata/sf0.001")
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 13))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
@@ -19,7 +19,7 @@ def test_one_query_for_each_operator():
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     df = registry.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fill_in_middle, lattice_lm, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
+from . import bpe, decontaminate, fill_in_middle, hard_negatives, lattice_lm, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_neighbour_quality": quality_classifier.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lattice_lm": lattice_lm.query,
     "op10_quality_rules": quality_rules.query,
     "op11_fill_in_middle": fill_in_middle.query,
+    "op12_hard_negatives": hard_negatives.query,
 }
 
 #: DuckDB SQL.
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
     "op11_fill_in_middle": fill_in_middle.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
