@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fill_in_middle, hard_negatives, lattice_lm, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
+from . import bpe, decontaminate, fill_in_middle, hard_negatives, imatch, lattice_lm, line_dedup, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_neighbour_quality": quality_classifier.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
     "op11_fill_in_middle": fill_in_middle.query,
     "op12_hard_negatives": hard_negatives.query,
+    "op13_imatch": imatch.query,
 }
 
 #: DuckDB SQL.
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op10_quality_rules": quality_rules.SQL,
     "op11_fill_in_middle": fill_in_middle.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_imatch": imatch.SQL,
 }
