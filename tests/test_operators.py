@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.functions import url as U
-from vellum.operators import capture, evaluate, graph, memory, query, search
+from vellum.operators import capture, evaluate, graph, memory, mentions, query, search
 from vellum.plans import workflows
 from vellum.streaming import events
 
@@ -97,7 +97,7 @@ def test_mentions_and_lookup(spark):
     n = spark.createDataFrame([("a", "We use Target System here", "A", ["al"]), ("b", "targets systems", "B", []), ("t", "Target System", "Target System", [])], "id string, content string, title string, aliases array<string>")
     phrases = spark.createDataFrame([("t", "Target System"), ("t", "Target"), ("b", "We"), ("a", "We")], "target string, phrase string")
     linked = spark.createDataFrame([], "source string, target string")
-    assert [(r.source, r.target, r.phrase, r.offset) for r in graph.mention_pairs(n, phrases, linked).collect()] == [("a", "t", "target system", 7)]
+    assert [(r.source, r.target, r.phrase, r.offset) for r in mentions.mention_pairs(n, phrases, linked).collect()] == [("a", "t", "target system", 7)]
     q = spark.createDataFrame([("a",), ("AL",), ("nope",)], "query string")
     assert {r.query: (r.outcome, r.id) for r in graph.lookup_note(n, q).collect()} == {"a": ("found", "a"), "AL": ("found", "a"), "nope": ("missing", None)}
 

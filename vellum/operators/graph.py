@@ -172,29 +172,6 @@ def suggest_concept_id(wanted: DataFrame, occupied: DataFrame, tries: int = 50)
     return options.join(occupied.select("id"), "id", "left_anti").groupBy("tag").agg(F.min_by("id", "rank").alias("id"))
 
 
-def mention_pairs(notes: DataFrame, phrases: DataFrame, linked: DataFrame) -> DataFrame:
-    """source, target, phrase, offset: where a note's text names another note it doesn't link.
-
-    No cross join: a phrase is looked up by its first word, an equi-join with the text's words,
-    then verified in place. Phrases that several notes own are left out; of a target's phrases the
-    longest that occurs counts, at its first offset.
-    """
-    word = r"[\p{L}\p{N}]+"
-    owned = phrases.select(F.lower("phrase").alias("phrase"), "target").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.first("target").alias("target")).filter("n = 1").drop("n")
-    owned = owned.withColumn("token", F.regexp_extract("phrase", word, 0)).filter("token <> ''")
-    tokens = notes.select(F.col("id").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(word), 0))).alias("token"))
-    pairs = tokens.join(owned, "token").filter("source <> target").select("source", "target", "phrase")
-    pairs = pairs.join(linked.select("source", "target"), ["source", "target"], "left_anti")
-    found = pairs.join(notes.select(F.col("id").alias("source"), "content"), "source")
-    edge = lambda c: F.when(c.rlike("^[A-Za-z0-9]$"), True).otherwise(False)
-    before = F.when(edge(F.substring("phrase", 1, 1)), F.lit("(?<![A-Za-z0-9])")).otherwise("")
-    after = F.when(edge(F.substring("phrase", -1, 1)), F.lit("(?![A-Za-z0-9])")).otherwise("")
-    at = F.regexp_instr(F.lower("content"), F.concat(before, F.lit("\\Q"), "phrase", F.lit("\\E"), after)) - 1
-    hits = found.select("source", "target", "phrase", at.alias("offset")).filter("offset >= 0")
-    first = W.partitionBy("source", "target").orderBy(F.length("phrase").desc(), "offset", "phrase")
-    return hits.withColumn("rank", F.row_number().over(first)).filter("rank = 1").drop("rank")
-
-
 def neighbours(edges: DataFrame, start: Column | str, depth: int, limit: int, direction: str = "both") -> tuple[DataFrame, bool]:
     """Breadth-first search from one note: (node, distance) and whether the limit cut it.
 

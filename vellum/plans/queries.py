@@ -16,6 +16,7 @@ from ..operators import evaluate as E
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import memory as M
+from ..operators import mentions as MN
 from ..operators import pdf as P
 from ..operators import query as Q
 from ..operators import search as S
@@ -369,17 +370,38 @@ def _(spark, d):
 
 _WORDS = "[\\p{L}\\p{N}]+"
 
+# The first place of a phrase with clean ends; the text before it gives the line.
+_CLEAN = """(case when regexp_matches(left(phrase, 1), '[a-z0-9]') then '(?:^|[^a-z0-9])' else '' end) || regexp_escape(phrase) || (case when regexp_matches(right(phrase, 1), '[a-z0-9]') then '(?:[^a-z0-9]|$)' else '' end)"""
+_MENTIONS = f"""t as (select 'items/b' || item_id as target, lower(text) as phrase from benchmark),
+o as (select phrase, min(target) as target from t where phrase <> '' group by phrase having count(distinct target) = 1),
+m as (select doc_id, source as origin, target, phrase, regexp_extract(lower(text), '(?s)\\A(.*?' || (case when regexp_matches(left(phrase, 1), '[a-z0-9]') then '(?:^|[^a-z0-9])' else '' end) || ')' || regexp_escape(phrase) || (case when regexp_matches(right(phrase, 1), '[a-z0-9]') then '(?:[^a-z0-9]|$)' else '' end), 1) as before
+  from documents, o where regexp_matches(lower(text), {_CLEAN}))"""
 
-@query("mention_pairs", """
-with t as (select 'items/b' || item_id as target, lower(text) as phrase from benchmark),
-o as (select phrase, min(target) as target from t group by phrase having count(distinct target) = 1)
-select 'articles/d' || doc_id as source, target, phrase from documents, o
-where regexp_matches(lower(text), (case when regexp_matches(left(phrase, 1), '[a-z0-9]') then '(?:^|[^a-z0-9])' else '' end) || regexp_escape(phrase) || (case when regexp_matches(right(phrase, 1), '[a-z0-9]') then '(?:[^a-z0-9]|$)' else '' end)) and regexp_matches(phrase, '[\\p{L}\\p{N}]')""")
-def _(spark, d):
+
+def _named(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as notes, benchmark items as phrases, and no links."""
     b = table(spark, d, "benchmark").select(F.concat(F.lit("items/b"), F.col("item_id").cast("string")).alias("target"), F.col("text").alias("phrase"))
-    n = table(spark, d, "documents").select(F.concat(F.lit("articles/d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("content"))
-    none = b.select(F.col("target").alias("source"), "target").limit(0)
-    return G.mention_pairs(n, b, none).select("source", "target", "phrase")
+    n = table(spark, d, "documents").select(F.concat(F.lit("articles/d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("content"), F.col("source").alias("origin"))
+    return n, b, b.select(F.col("target").alias("source"), "target").limit(0)
+
+
+@query("mention_pairs", f"with {_MENTIONS} select 'articles/d' || doc_id as source, target, phrase, len(before) as \"offset\", 1 + len(before) - len(replace(before, chr(10), '')) as line from m")
+def _(spark, d):
+    return MN.mention_pairs(*_named(spark, d))
+
+
+# Documents of one source stand for one note's texts, so that a pair gathers support; pairs whose item is the first of its source's are explicit.
+@query("mention_support", f"""with {_MENTIONS}, s as (select 'sources/' || coalesce(origin, '') as source, target, 1 + len(before) - len(replace(before, chr(10), '')) as line, phrase from m),
+x as (select source, min(target) as target from s group by source),
+k as (select *, row_number() over (partition by source, target order by line, phrase) as k, count(*) over (partition by source, target) as n from s where not exists (select 1 from x where x.source = s.source and x.target = s.target))
+select source, target, any_value(n) as support, any_value(n) > 3 as truncated, string_agg(line || ':' || phrase, '|' order by k) as evidence from k where k <= 3 group by source, target""")
+def _(spark, d):
+    n, b, none = _named(spark, d)
+    names = n.select(F.col("id").alias("source"), F.concat(F.lit("sources/"), F.coalesce("origin", F.lit(""))).alias("note"))
+    found = MN.mention_pairs(n, b, none).join(names, "source").select(F.col("note").alias("source"), "target", "line", "phrase")
+    explicit = found.groupBy("source").agg(F.min("target").alias("target"))
+    out = MN.mention_support(found, explicit, pieces=3)
+    return out.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["line"].cast("string"), e["phrase"])), "|"))
 
 
 @query("navigate_links", with_views(""", e as (select source as f, target as t from sparse_links union select target, source from sparse_links),
@@ -653,12 +675,9 @@ met as (select item_id as query_id, case when relevant is not null then round(co
 
 
 def _judged(spark, d) -> DataFrame:
-    """query_id, doc_id, relevance: items that a document holds, found by the items' first word and not by a cross join."""
-    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents").select("doc_id", "text")
-    first = lambda c: F.regexp_extract(c, r"[^\s]+", 0)
-    keyed = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), first("text").alias("token"))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("token"))
-    return words.join(F.broadcast(keyed) if b.count() <= 10_000 else keyed, "token").filter(F.contains("text", F.col("item"))).select("query_id", "doc_id", F.lit(3).alias("relevance"))
+    """query_id, doc_id, relevance of the items that a document holds, inside words too."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return MN.judgments(docs, table(spark, d, "benchmark").select("item_id", "text")).select(F.col("item_id").alias("query_id"), F.col("id").alias("doc_id"), F.lit(3).alias("relevance"))
 
 
 def _metrics(spark, d) -> DataFrame:
