@@ -251,8 +251,6 @@ def test_evidence_and_acceptance(spark):
     assert [(r.doc_id, r.rank) for r in kept.orderBy("rank").collect()] == [("y", 1), ("w", 2)]
     assert tuple(counts.first()) == (1, 4, 1, 1)
     assert search.candidate_window(5, False) == 40 and search.candidate_window(20, False) == 80 and search.candidate_window(5, True) == 500
-    g = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 0, 0), ("b", 0, 1, 1)], "doc_id string, seed int, distance int, index int")
-    assert [(r.doc_id, r.score) for r in search.graph_retriever(g, 10).orderBy("rank").collect()] == [("a", 1.0), ("b", 0.5)]
 
 
 def test_ranked_counts_on_over_partitions(spark):

@@ -244,10 +244,3 @@ def accepted(candidates: DataFrame, allowed: DataFrame, least: float, limit: int
     kept = judged.filter(F.col("ok") & (F.col("score") >= least)).withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= limit)
     counted = judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"), F.count_if(~F.col("ok")).alias("discarded"), F.count_if(F.col("ok") & (F.col("score") < least)).alias("rejected"))
     return kept.select("query_id", "doc_id", "rank", "score"), counted
-
-
-def graph_retriever(reached: DataFrame, limit: int) -> DataFrame:
-    """doc_id, rank, score of notes (doc_id, seed, distance, index) that a search over links reached: the nearest, then by seed and order."""
-    best = reached.groupBy("doc_id").agg(F.min(F.struct("distance", "seed", "index")).alias("b"))
-    ranked = best.orderBy("b", "doc_id").limit(limit).withColumn("rank", F.row_number().over(W.orderBy("b", "doc_id")).cast("bigint"))
-    return ranked.select("doc_id", "rank", (1 / (F.col("b.distance") + 1)).alias("score"))

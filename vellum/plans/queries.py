@@ -19,6 +19,7 @@ from ..operators import memory as M
 from ..operators import mentions as MN
 from ..operators import pdf as P
 from ..operators import query as Q
+from ..operators import retrievers as R
 from ..operators import search as S
 from ..operators import threads as TH
 from ..sources.tables import table, view, with_views
@@ -933,12 +934,6 @@ def _(spark, d):
     return j.select("id", "hash", F.round(1 / (99 + F.row_number().over(w)), 8).alias("recency"))
 
 
-@query("graph_retriever_score", with_views(""", r as (select target as doc_id, min((1, 0, line)) as b from links group by target) select doc_id, row_number() over (order by b, doc_id) as rank, 0.5 as score from r order by rank limit 50""", "links"))
-def _(spark, d):
-    links = view(spark, d, "links")
-    return S.graph_retriever(links.select(F.col("target").alias("doc_id"), F.lit(0).alias("seed"), F.lit(1).alias("distance"), F.col("line").alias("index")), 50)
-
-
 @query("inspect_context", with_views(", s as (select distinct scope from scopes), m as (select target, scope, length(scope) - length(replace(scope, '/', '')) as depth from targets, s where scope = target or starts_with(target, scope || '/')) select target, 'guide' as role, scope, row_number() over (partition by target order by depth, scope) as rank from m union all select target, 'hub', scope, row_number() over (partition by target order by depth desc, scope) from m", "targets", "scopes"))
 def _(spark, d):
     s = view(spark, d, "scopes")
@@ -989,3 +984,98 @@ def _(spark, d):
 def _(spark, d):
     t = table(spark, d, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("depth"), F.when(F.col("role") == "user", "content").otherwise("other").alias("kind"))
     return TH.structured_status(TH.counts(t)).select(F.col("document").alias("conv_id"), "status")
+
+
+# --- retrievers over parts as notes: each part name is a query ----------------------------------
+
+
+def _bm25(docs: str, asked: str, k: int) -> str:
+    """CTEs up to ``kw``: BM25 of (doc_id, text) for (query_id, text)."""
+    return f"""w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') as words from ({docs})),
+z as (select count(*) as n, avg(len(words)) as mean from w),
+aw as (select distinct query_id, unnest(regexp_extract_all(lower(text), '{_WORDS}')) as term from ({asked})),
+tf as (select doc_id, term, length, count(*) as tf from (select doc_id, len(words) as length, unnest(words) as term from w) where term in (select term from aw) group by all),
+idf as (select term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf, any_value(mean) as mean from tf, z group by term),
+sc as (select query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score from tf join idf using (term) join aw using (term) group by all),
+kw as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, score from sc qualify rank <= {k})"""
+
+
+_PARTS = f""", asked as (select distinct p_name as query_id from part),
+ex0 as (select query_id, id, path, lower(title) = query_id as identity, lower(title) as a, lower(path || chr(10) || id) as b, lower(concat_ws(chr(10), tag_brand, tag_type)) as c,
+  list_distinct(regexp_extract_all(query_id, '{_WORDS}')) as terms from asked, part_notes),
+ex1 as (select *, contains(a, query_id) or contains(b, query_id) or contains(c, query_id) as phrase, len(list_filter(terms, lambda t: contains(a, t) or contains(b, t) or contains(c, t))) as matched,
+  (case when identity then 1000 else 0 end) + (case when contains(a, query_id) then 400 else 0 end) + (case when contains(b, query_id) then 300 else 0 end) + (case when contains(c, query_id) then 250 else 0 end)
+  + list_sum(list_transform(terms, lambda t: (case when contains(a, t) then 40 else 0 end) + (case when contains(b, t) then 30 else 0 end) + (case when contains(c, t) then 30 else 0 end))) as points from ex0),
+ex as (select query_id, id as doc_id, path, identity, (points + floor(matched * 100 / len(terms) + 0.5))::bigint as score from ex1 where points > 0 and (identity or phrase or matched >= case when len(terms) <= 1 then len(terms) else least(3, ceil(len(terms) / 2)) end)),
+exact as (select query_id, doc_id, row_number() over (partition by query_id order by identity desc, score desc, path) as rank, score::double as score, identity from ex qualify rank <= 10),
+st as (select query_id, rank as seed_rank, doc_id || '.md' as seed from exact where rank <= 3),
+e as (select source as f, target as n, source as s, target as t from sparse_links union all select target, source, source, target from sparse_links),
+c1 as (select query_id, seed_rank, any_value(seed) as seed, n, min((f, s, t)) as o from st join e on f = seed where n <> seed group by query_id, seed_rank, n),
+l1 as (select query_id, seed_rank, seed, n from c1 qualify row_number() over (partition by query_id, seed_rank order by o, n) <= 11),
+c2 as (select l1.query_id, l1.seed_rank, e.n, min((e.f, e.s, e.t)) as o from l1 join e on e.f = l1.n where e.n <> l1.seed and not exists (select 1 from l1 x where x.query_id = l1.query_id and x.seed_rank = l1.seed_rank and x.n = e.n) group by all),
+l2 as (select c2.query_id, c2.seed_rank, c2.n from c2 join (select query_id, seed_rank, 11 - count(*) as room from l1 group by all) r using (query_id, seed_rank) qualify row_number() over (partition by c2.query_id, c2.seed_rank order by o, n) <= room),
+nodes as (select query_id, seed_rank, seed as node, 0 as distance from st union all select query_id, seed_rank, n, 1 from l1 union all select query_id, seed_rank, n, 2 from l2),
+best as (select query_id, node, min((seed_rank, distance, k)) as b from (select *, row_number() over (partition by query_id, seed_rank order by distance, node) as k from nodes) group by all),
+graph as (select query_id, node as doc_id, row_number() over (partition by query_id order by b[2], b[1], b[3], node) as rank, 1 / (b[2] + 1) as score from best qualify rank <= 10)"""
+_PART_KEYS = ", first_part as (select p_name as query_id, min(p_partkey) as p_partkey from part group by 1)"
+_META = """meta as (select a.query_id, 'parts/p' || n.p_partkey as doc_id, row_number() over (partition by a.query_id order by lower('parts/p' || n.p_partkey || '.md')) as rank from first_part a join part p using (p_partkey) join part n on n.p_brand = p.p_brand and n.p_type = p.p_type qualify rank <= 10)"""
+_NEAR = """vs as (select a.query_id, 'parts/p' || v.vec_id as doc_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 5) as score from first_part a join embeddings q on q.vec_id = a.p_partkey, embeddings v join part n on n.p_partkey = v.vec_id),
+near as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, score from vs qualify rank <= 10)"""
+_PART_KW = _bm25("select id as doc_id, concat_ws(' ', title, tag_brand, tag_type) as text from part_notes", "select distinct p_name as query_id, p_name as text from part", 10)
+_PART_HYBRID = f"""lanes as (select 'exact' as lane, 1.0 as weight, query_id, doc_id, rank from exact union all select 'index', 1.0, query_id, doc_id, rank from kw), fu as ({_FUSED}),
+hy as (select query_id, doc_id, row_number() over (partition by query_id order by coalesce(x.identity, false) desc, fu.score desc, doc_id) as rank, fu.score as score from fu left join (select query_id, doc_id, identity from exact) x using (query_id, doc_id) qualify rank <= 10)"""
+
+
+class _Parts:
+    """Parts as notes, and what each retriever finds for each part name."""
+
+    def __init__(self, spark, d):
+        self.links, part = view(spark, d, "sparse_links"), table(spark, d, "part")
+        n = view(spark, d, "part_notes")
+        self.notes = n.withColumns({"aliases": F.array().cast("array<string>"), "tags": F.array_compact(F.array("tag_brand", "tag_type")), "metadata_text": F.lit(""), "content": F.lit(None).cast("string")})
+        self.asked = part.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")).distinct()
+        self.first = part.groupBy(F.col("p_name").alias("query_id")).agg(F.min("p_partkey").alias("p_partkey"))
+        self.part, self.vectors = part, table(spark, d, "embeddings").join(part.select(F.col("p_partkey").alias("vec_id")), "vec_id").select(F.concat(F.lit("parts/p"), F.col("vec_id").cast("string")).alias("doc_id"), F.col("embedding").alias("vector"), "vec_id")
+
+    def exact(self):
+        return R.exact_scores(self.notes, self.asked)
+
+    def graph(self, exact):
+        starts = R.seeds_of(exact, 3).withColumn("seed", F.concat("seed", F.lit(".md")))
+        return R.graph_hits(R.neighbourhoods(self.links, starts, 2, 12)[0], 10)
+
+    def keyword(self):
+        docs = self.notes.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "title", "tag_brand", "tag_type").alias("text"))
+        return S.keyword_search(docs, self.asked, 10)
+
+    def metadata(self):
+        key = F.concat(F.lit("parts/p"), F.col("p_partkey").cast("string"))
+        leaf = lambda f, k: self.part.select(key.alias("id"), F.lit(f).alias("field"), X.norm_text(F.col(k)).alias("value"))
+        wanted = self.first.join(self.part, "p_partkey").select("query_id", F.explode(F.array(F.struct(F.lit("brand").alias("field"), F.col("p_brand").alias("value")), F.struct(F.lit("type").alias("field"), F.col("p_type").alias("value")))).alias("f")).select("query_id", "f.*")
+        return R.metadata_hits(leaf("brand", "p_brand").unionByName(leaf("type", "p_type")), wanted, self.notes.select("id", "path"), 10)
+
+    def semantic(self):
+        wanted = self.first.join(self.vectors.withColumnRenamed("vec_id", "p_partkey"), "p_partkey").select("query_id", "vector")
+        return S.semantic_search(self.vectors.select("doc_id", "vector"), wanted, 10)
+
+
+@query("retriever_adapters", with_views(f"""{_PARTS}{_PART_KEYS}, {_META}, {_NEAR}, {_PART_KW}, {_PART_HYBRID}
+select 'exact' as system, query_id, doc_id, rank, score from exact union all select 'graph', * from graph union all select 'metadata', query_id, doc_id, rank, null from meta
+union all select 'semantic', * from near union all select 'keyword', query_id, doc_id, rank, score from kw union all select 'hybrid', query_id, doc_id, rank, score from hy""", "part_notes", "sparse_links"))
+def _(spark, d):
+    p = _Parts(spark, d)
+    scores = Q.checkpointed(p.exact())
+    exact, keyword = R.exact_hits(scores, 10), Q.checkpointed(p.keyword())
+    pinned = exact.join(scores.select("query_id", "doc_id", "identity"), ["query_id", "doc_id"])
+    lanes = {"exact": exact, "graph": p.graph(exact), "metadata": p.metadata(), "semantic": p.semantic(), "keyword": keyword, "hybrid": R.hybrid_hits(pinned, keyword, 10)}
+    out = None
+    for name, hits in lanes.items():
+        part = hits.select(F.lit(name).alias("system"), "query_id", "doc_id", "rank", F.col("score").cast("double").alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("graph_retriever_score", with_views(f"{_PARTS} select query_id, doc_id, rank, score from graph", "part_notes", "sparse_links"))
+def _(spark, d):
+    p = _Parts(spark, d)
+    return p.graph(R.exact_hits(p.exact(), 10))
