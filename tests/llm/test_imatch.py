@@ -13,22 +13,23 @@ POOL = [f"w{i}" for i in range(400)]
 
 
 def words(text):
-    return set(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), text or "")))
+    return set(re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower()))
 
 
 def printed(text, lexicon):
     found = sorted(words(text), key=str.encode)
     out = []
     for k in range(32):
-        at, limit = 3 * (8 * (k % 4) + k // 4), M.LIMITS[k // 4]
-        held = [w for w in found if w in lexicon and (hashlib.sha256(w.encode()).hexdigest() + hashlib.md5(w.encode()).hexdigest())[at : at + 3] < limit]
+        at, limit = 3 * (k // 4), M.LIMITS[k % 4]
+        held = [w for w in found if w in lexicon and hashlib.sha256(w.encode()).hexdigest()[at : at + 3] < limit]
         out.append(hashlib.md5(" ".join(held).encode()).hexdigest()[:8] if held else "0" * 8)
     return out if set(out) != {"0" * 8} else [hashlib.md5(("-" + " ".join(found)).encode()).hexdigest()[:8]] * 32
 
 
 def alike(a, b):
-    both = [x == y for x, y in zip(a, b, strict=True) if "0" * 8 not in (x, y) or x != y][: M.COMPARED]
-    return sum(both) / len(both)
+    families = [[x == y for x, y in zip(a[i : i + 4], b[i : i + 4], strict=True) if {x, y} != {"0" * 8}] for i in range(0, 32, 4)]
+    judged = [f[0] for f in families if f]
+    return sum(judged) / len(judged)
 
 
 def plain(rows, band):

@@ -1,12 +1,12 @@
 """I-Match fingerprints: hashes of a text's terms that several randomised subsets of a lexicon hold.
 
-Terms are a text's distinct words with A-Z lower-cased. The lexicon holds the terms whose inverse document frequency over
-all documents, ln(documents / documents with the term), lies in a band. Each subset of the lexicon takes a
-term if three hex digits of the term's digests are below a limit, so subsets are random, fixed, and need no table of their own: ``EACH`` subsets take
-a 4,096th of the lexicon, ``EACH`` a 1,024th, and so on up to a half. A signature is a hash of the sorted terms of the text that a subset holds.
+Terms are a text's distinct words in lower case. The lexicon holds the terms whose inverse document frequency over
+all documents, ln(documents / documents with the term), lies in a band. There are ``FAMILIES`` families of subsets; each takes a
+term by three hex digits of the term's SHA-256, and has a subset of a 4,096th of the lexicon, of a 512th, a 64th and an eighth, one inside the next.
+Subsets are random, fixed, and need no table of their own. A signature is a hash of the sorted terms of the text that a subset holds.
 
 Signatures of sparse subsets survive an edit that changes many terms, those of dense ones only small edits. The likeness of two fingerprints is the share of
-equal signatures among the first ``COMPARED`` subsets, sparse ones first, in which either text has a term.
+families that agree; a family is judged by its sparsest subset in which either text has a term, so that long and short texts are compared by a few terms a family.
 
 Everything is DataFrame and SQL functions. Document frequencies are counted over all documents by the terms' 64-bit hashes. A term in the band occurs in
 at least a share exp(-band[1]) of the documents, so the lexicon has at most (mean distinct words a document) / exp(-band[1]) terms, whatever the
@@ -26,22 +26,18 @@ from .common import materialize, pick, table
 
 #: Least and largest inverse document frequency of the lexicon's terms: in at most 5 % and at least 0.1 % of the documents, and in two.
 BAND = (3.0, 6.9)
-#: Limits of three hex digits, from the sparsest subsets to the densest.
-LIMITS, EACH = ("001", "004", "010", "020", "040", "080", "200", "800"), 4
-#: How many subsets two fingerprints are compared in.
-COMPARED = 8
+#: Limits of three hex digits, from the sparsest subsets to the densest, and how many families of such subsets there are.
+LIMITS, FAMILIES = ("001", "008", "040", "200"), 8
 #: Most terms of a lexicon: 32 MB.
 LARGEST = 4_000_000
-_SUBSETS = [(1 + 3 * (len(LIMITS) * e + i), limit) for i, limit in enumerate(LIMITS) for e in range(EACH)]
 _NONE = "0" * 8
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The id that a null one counts as.
 _NULL_ID = -(1 << 63)
 
 
 def terms(text: str) -> str:
     """SQL for the distinct terms of a text (null: none)."""
-    return f"array_distinct(filter(split(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''))"
+    return f"array_distinct(array_remove(split(lower(coalesce({text}, '')), '[\\\\x20\\\\x09-\\\\x0D]+'), ''))"
 
 
 def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
@@ -66,27 +62,35 @@ def _buckets(words: DataFrame) -> tuple[str, int]:
 
 
 def fingerprint(docs: DataFrame, words: DataFrame, name: str, text: str = "text") -> DataFrame:
-    """``docs`` with a text column's fingerprint: 32 signatures of 8 hex digits, sparse subsets first.
+    """``docs`` with a text column's fingerprint: 32 signatures of 8 hex digits, family by family, sparse subsets first.
 
     ``words`` has the lexicon's hashes. A subset without a term of the text has the signature of zeros; where all have, as in texts without a term of the
     lexicon, every signature is a hash of all terms of the text. Equal texts have equal fingerprints, at any length; null texts count as empty ones,
-    and an empty lexicon or table is no special case. ``docs`` may have any other columns but ``vellum_terms`` and ``vellum_held``.
+    and an empty lexicon or table is no special case. ``docs`` may have any other columns.
     """
     lists, size = _buckets(words)
-    out = docs.withColumn("vellum_terms", F.array_sort(F.expr(terms(f"`{text}`"))))
-    found = f"filter(vellum_terms, w -> array_contains(get({lists}, cast(pmod(xxhash64(w), {size}L) AS int)), xxhash64(w)))"
-    out = out.withColumn("vellum_held", F.expr(f"transform({found}, w -> struct(w AS w, concat(sha2(w, 256), md5(w)) AS s))"))
-    signatures = "array(" + ", ".join(f"filter(vellum_held, x -> substr(x.s, {at}, 3) < '{limit}').w" for at, limit in _SUBSETS) + ")"
-    joined = f"array_join(transform({signatures}, t -> if(size(t) = 0, '{_NONE}', substr(md5(array_join(t, ' ')), 1, 8))), '')"
-    out = out.withColumn(name, F.expr(joined))
-    whole = "repeat(substr(md5(concat('-', array_join(vellum_terms, ' '))), 1, 8), 32)"
-    return out.withColumn(name, F.expr(f"if(`{name}` = repeat('0', 256), {whole}, `{name}`)")).drop("vellum_terms", "vellum_held")
+    n, digits = FAMILIES * len(LIMITS), "substr(x.s, 1 + 3 * e, 3)"
+    found = f"sort_array(filter(t, w -> array_contains(get({lists}, cast(pmod(xxhash64(w), {size}L) AS int)), xxhash64(w))))"
+    inner = ", ".join(f"filter(f, x -> {digits} < '{limit}')" for limit in LIMITS[:-1])
+    family = _let("f", f"filter(h, x -> {digits} < '{LIMITS[-1]}')", f"array({inner}, f)")
+    subsets = f"flatten(transform(sequence(0, {FAMILIES - 1}), e -> {family}))"
+    signatures = f"array_join(transform({subsets}, s -> if(size(s) = 0, '{_NONE}', substr(md5(array_join(s.w, ' ')), 1, 8))), '')"
+    whole = f"repeat(substr(md5(concat('-', array_join(sort_array(t), ' '))), 1, 8), {n})"
+    either = _let("p", _let("h", f"transform({found}, w -> struct(w AS w, sha2(w, 256) AS s))", signatures), f"if(p = repeat('{_NONE}', {n}), {whole}, p)")
+    return docs.withColumn(name, F.expr(_let("t", terms(f"`{text}`"), either)))
 
 
-def likeness(a: str, b: str, compared: int = COMPARED) -> Column:
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with a value computed once; a column of its own could be put into lambdas by the optimizer, and computed for each element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def likeness(a: str, b: str) -> Column:
     """From 0 to 1, of two fingerprint columns; 1 for equal ones."""
-    both = f"filter(transform(sequence(0, 31), k -> struct(substr(`{a}`, 1 + 8 * k, 8) AS x, substr(`{b}`, 1 + 8 * k, 8) AS y)), p -> p.x <> '{_NONE}' OR p.y <> '{_NONE}')"
-    return F.expr(f"size(filter(slice({both}, 1, {compared}), p -> p.x = p.y)) / size(slice({both}, 1, {compared}))")
+    pair = "struct(substr(`{}`, 1 + 8 * ({} * e + l), 8) AS x, substr(`{}`, 1 + 8 * ({} * e + l), 8) AS y)".format(a, len(LIMITS), b, len(LIMITS))
+    first = f"filter(transform(sequence(0, {len(LIMITS) - 1}), l -> {pair}), p -> p.x <> '{_NONE}' OR p.y <> '{_NONE}')"
+    judged = f"filter(transform(sequence(0, {FAMILIES - 1}), e -> get({first}, 0)), p -> p IS NOT NULL)"
+    return F.expr(f"size(filter({judged}, p -> p.x = p.y)) / size({judged})")
 
 
 def following(keys: DataFrame) -> DataFrame:
@@ -140,14 +144,14 @@ WITH d AS (
 ), x AS (
   SELECT id, 0 AS e, t FROM e UNION ALL SELECT id, 1, substr(t, 1, n - n // 3) || substr(following, 1, n // 3) FROM e
 ), w AS (
-  SELECT id, e, t, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda s: s <> ''))) AS terms FROM x
+  SELECT id, e, t, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(t), '[\\x20\\x09-\\x0D]+'), lambda s: s <> ''))) AS terms FROM x
 ), lex AS (
   SELECT term FROM (SELECT unnest(terms) AS term FROM w WHERE e = 0) GROUP BY term
   HAVING count(*) >= greatest(2, ceil((SELECT count(*) FROM d) * exp(-6.9))) AND count(*) <= floor((SELECT count(*) FROM d) * exp(-3.0))
 ), hit AS (
-  SELECT id, e, term, sha256(term) || md5(term) AS s FROM (SELECT id, e, unnest(terms) AS term FROM w) JOIN lex USING (term)
+  SELECT id, e, term, sha256(term) AS s FROM (SELECT id, e, unnest(terms) AS term FROM w) JOIN lex USING (term)
 ), k AS (
-  SELECT k, 1 + 3 * (8 * (k % 4) + k // 4) AS pos, ['001', '004', '010', '020', '040', '080', '200', '800'][k // 4 + 1] AS lim FROM (SELECT unnest(range(32)) AS k)
+  SELECT k, 1 + 3 * (k // 4) AS pos, ['001', '008', '040', '200'][k % 4 + 1] AS lim FROM (SELECT unnest(range(32)) AS k)
 ), sig AS (
   SELECT id, e, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS sig FROM hit JOIN k ON substr(s, pos, 3) < lim GROUP BY id, e, k
 ), held AS (SELECT DISTINCT id, e FROM sig), f AS (
@@ -158,7 +162,7 @@ WITH d AS (
   UNION ALL SELECT a.id, 'next', a.k, a.sig, b.sig FROM f a JOIN e ON a.id = e.id AND a.e = 0 JOIN f b ON b.id = e.next AND b.e = 0 AND a.k = b.k
 ), near AS (
   SELECT id, what, avg((x = y)::int) AS near
-  FROM (SELECT * FROM pair WHERE x <> '00000000' OR y <> '00000000' QUALIFY row_number() OVER (PARTITION BY id, what ORDER BY k) <= 8) GROUP BY id, what
+  FROM (SELECT * FROM pair WHERE x <> '00000000' OR y <> '00000000' QUALIFY row_number() OVER (PARTITION BY id, what, k // 4 ORDER BY k) = 1) GROUP BY id, what
 ), fp AS (SELECT id, e, string_agg(sig, '' ORDER BY k) AS fp FROM f GROUP BY id, e)
 SELECT e.doc_id, e.n AS n_chars, sha256(x.t) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint, m.near AS near_edited, o.near AS near_next
 FROM e JOIN x ON x.id = e.id AND x.e = 1 JOIN fp a ON a.id = e.id AND a.e = 0 JOIN fp b ON b.id = e.id AND b.e = 1
