@@ -24,7 +24,7 @@ import hashlib
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -184,21 +184,24 @@ def _sizes(lists) -> list[int]:
 
 
 class Known:
-    """Words whose ids and decoded bytes need no fold in a block: those of the vocabulary, and the frequent ones."""
+    """Words whose ids and decoded bytes need no fold in a block: those of the vocabulary, and the frequent ones. :class:`Folded` has what they give."""
 
     def __init__(self, ranks: dict[bytes, int], frequent: pa.Table):
         self.words = pa.concat_arrays([pa.array(list(ranks), pa.binary()), *frequent["word"].cast(pa.binary()).chunks])
-        self.ids = pa.concat_arrays([pa.array([[r] for r in ranks.values()], pa.list_(pa.int32())), *frequent["ids"].cast(pa.list_(pa.int32())).chunks])
-        self.pieces = pa.concat_arrays([pa.array(list(ranks), pa.binary()), *frequent["piece"].cast(pa.binary()).chunks])
+
+    @cached_property
+    def places(self) -> dict[bytes, int]:
+        """Each known word's place; built once a worker."""
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
 
     def number(self, texts: list[str], find, ranks: dict[bytes, int]) -> list[pa.Array]:
         """Of some texts: each as numbers of its words, each word's place among the known ones (-1: none), the other words' bytes between marks, the ids of those too long to fold."""
         found = [pa.array(find(t), pa.string()) for t in texts]
         flat = pa.concat_arrays(found).dictionary_encode()
         numbers = pa.ListArray.from_arrays(_offsets(_sizes(found)), flat.indices)
-        words = flat.dictionary.cast(pa.binary())
-        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1)
-        left = words.filter(pc.equal(at, -1)).to_pylist()
+        words, place = flat.dictionary.cast(pa.binary()).to_pylist(), self.places.get
+        at = np.fromiter((place(w, -1) for w in words), np.int32, len(words))
+        left = [words[i] for i in np.flatnonzero(at < 0)]
         long = [fold_long(w, ranks) if len(w) > LONG else [] for w in left]
         short = [b"" if i else w for w, i in zip(left, long, strict=True)]
         ends = np.cumsum([0, *(len(w) + 2 for w in short)])
@@ -206,7 +209,15 @@ class Known:
         inside = np.ones(len(data), bool)
         inside[ends[:-1][: len(left)]] = inside[ends[1:] - 1] = False
         data[inside] = np.frombuffer(b"".join(short), np.uint8)
-        return [numbers, at, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data)), pa.array(long, pa.list_(pa.int32()))]
+        return [numbers, pa.array(at), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data)), pa.array(long, pa.list_(pa.int32()))]
+
+
+class Folded:
+    """The ids and decoded bytes of the known words, in their order."""
+
+    def __init__(self, ranks: dict[bytes, int], frequent: pa.Table):
+        self.ids = pa.concat_arrays([pa.array([[r] for r in ranks.values()], pa.list_(pa.int32())), *frequent["ids"].cast(pa.list_(pa.int32())).chunks])
+        self.pieces = pa.concat_arrays([pa.array(list(ranks), pa.binary()), *frequent["piece"].cast(pa.binary()).chunks])
 
     def joined(self, at: pa.Array, folded: pa.Array, known: pa.Array) -> pa.Array:
         """What each word of a block gives, from the known words and, in order, the block's own."""
@@ -239,16 +250,16 @@ def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cac
         if total > cached:
             break
         least = r.n
-    words = counted.filter(F.col("n") >= least)
+    words = counted.filter(F.col("n") >= least).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     codes = f"concat(array({END}S), transform(sequence(1, length(hex(word)), 2), i -> cast(conv(substring(hex(word), i, 2), 16, 10) as smallint)), array({END}S))"
     folded = words.select("word", F.expr(f"{rank_map(path).ids(f'array({codes})')}[0]").alias("ids"))
     return folded.withColumn("piece", F.expr(f"{rank_map(path).binary('array(ids)')}[0]")).toArrow()
 
 
 def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_chars: int):
-    """One row for each block of texts: rows (what ``keep`` names), texts (numbers of words), at (their places among the known), ids of the others; and the broadcast of the known."""
-    ranks = read_ranks(path)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, Known(ranks, frequent(docs, path, pattern))))
+    """One row for each block of texts: rows (what ``keep`` names), texts (numbers of words), at (their places among the known), ids of the others; and the broadcast of what the known give."""
+    ranks, often, send = read_ranks(path), frequent(docs, path, pattern), docs.sparkSession.sparkContext.broadcast
+    shared, given = send((ranks, Known(ranks, often))), send(Folded(ranks, often))
     at = [docs.columns.index(n) for n in keep]
     text = docs.columns.index("text")
     row = T.StructType([T.StructField(f"c{i}", docs.schema[k].dataType) for i, k in enumerate(at)])
@@ -272,7 +283,7 @@ def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_cha
 
     # Only a block with a long word has ids that are not folded here.
     ids = f"zip_with({rank_map(path).ids('words')}, long, (f, k) -> if(size(k) > 0, k, f))"
-    return docs.mapInArrow(run, schema).withColumn("ids", F.expr(ids)).select("rows", "texts", "at", "ids"), shared
+    return docs.mapInArrow(run, schema).withColumn("ids", F.expr(ids)).select("rows", "texts", "at", "ids"), given
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -295,10 +306,10 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("vellum_ids", T.ArrayType(T.IntegerType()))])
 
-    blocks, shared = _blocks(docs, columns, path, pattern, block_chars)
+    blocks, given = _blocks(docs, columns, path, pattern, block_chars)
 
     def run(batches):
-        known = shared.value[1]
+        known = given.value
         for columns_, offsets, numbers, (at, folded) in _texts(batches):
             taken = known.joined(at, folded, known.ids).take(numbers)
             ends = pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False)))).astype(np.int32)).take(offsets)
@@ -325,10 +336,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] | None
         lists = pa.ListArray.from_arrays(offsets, values.take(numbers))
         return [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(lists, by)]
 
-    blocks, shared = _blocks(docs, keep, path, pattern, block_chars)
+    blocks, given = _blocks(docs, keep, path, pattern, block_chars)
 
     def run(batches):
-        known = shared.value[1]
+        known = given.value
         for columns, offsets, numbers, (at, folded, decoded) in _texts(batches):
             ids, pieces = known.joined(at, folded, known.ids), known.joined(at, decoded, known.pieces)
             starts, values = ids.offsets, ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py())
