@@ -18,6 +18,7 @@ from ..operators import history as H
 from ..operators import memory as M
 from ..operators import mentions as MN
 from ..operators import pdf as P
+from ..operators import platform_threads as PT
 from ..operators import query as Q
 from ..operators import retrievers as R
 from ..operators import search as S
@@ -1079,3 +1080,52 @@ def _(spark, d):
 def _(spark, d):
     p = _Parts(spark, d)
     return p.graph(R.exact_hits(p.exact(), 10))
+
+
+# --- discussions of four sites: conversations, 40 turns a page, as the JSON that each site would send ---------
+
+_PAGES = """p as (select conv_id || '-' || (turn // 40) as document, turn % 40 as i, role, coalesce(text, '') as text, count(*) over (partition by conv_id, turn // 40) as n from conversations),
+h as (select document, i, cast(0 as bigint) as depth, [i] as path from p where i = 0 union all select p.document, p.i, h.depth + 1, list_append(h.path, p.i) from p join h on p.document = h.document and p.i > 0 and (p.i - 1) // 2 = h.i),
+heap as (select document, i, depth, row_number() over (partition by document order by path) - 1 as position from h)"""
+
+
+def _captures(spark, d) -> DataFrame:
+    """document, platform, json. Flat sites get a tree in which turn i replies to (i - 1) / 2; in nested ones odd turns reply to the first, and even ones to the turn before."""
+    t = table(spark, d, "conversations").select(F.concat("conv_id", F.lit("-"), F.floor(F.col("turn") / 40)).alias("document"), (F.col("turn") % 40).alias("i"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    page = t.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("i", "role", "text"))).alias("a"))
+    item = "named_struct('id', {0}.i, 'by', {0}.role, 'text', {0}.text, 'deleted', {0}.role = 'system', 'kids', filter(array(2 * {0}.i + 1, 2 * {0}.i + 2), k -> exists(a, q -> q.i = k)))"
+    body = "named_struct('id', concat('c', {0}.i), 'author', {0}.role, 'body', if({0}.role = 'system', '[deleted]', {0}.text)"
+    inner = f"transform(filter(a, q -> q.i = p.i + 1), q -> named_struct('kind', 't1', 'data', {body.format('q')})))"
+    comment = f"named_struct('kind', 't1', 'data', {body.format('p')}, 'replies', named_struct('kind', 'Listing', 'data', named_struct('children', {inner}))))"
+    comments = f"transform(filter(a, p -> p.i % 2 = 1 OR p.i = 0 AND size(a) > 5), p -> if(p.i = 0, named_struct('kind', 'more', 'data', named_struct('id', 'more', 'author', cast(null AS string), 'body', cast(null AS string), 'replies', named_struct('kind', cast(null AS string), 'data', named_struct('children', slice({inner}, 1, 0))))), {comment}))"
+    post = "named_struct('$type', if({0}.role = 'system', 'app.bsky.feed.defs#notFoundPost', null), 'uri', concat('u', {0}.i), 'post', if({0}.role = 'system', null, named_struct('uri', concat('u', {0}.i), 'record', named_struct('text', {0}.text), 'author', named_struct('handle', {0}.role)))"
+    below = f"transform(filter(a, q -> q.i = p.i + 1), q -> {post.format('q')}))"
+    shapes = {
+        "x": "named_struct('tweets', transform(a, p -> named_struct('id', concat('t', p.i), 'text', p.text, 'author', named_struct('username', p.role), 'inReplyToStatusId', if(p.i = 0, null, concat('t', (p.i - 1) DIV 2)))))",
+        "hacker-news": f"named_struct('root', {item.format('a[0]')}, 'descendants', transform(slice(a, 2, 100), p -> {item.format('p')}))",
+        "reddit": f"named_struct('post', named_struct('kind', 't3', 'data', named_struct('id', 'p', 'title', 'T', 'selftext', a[0].text, 'author', a[0].role)), 'comments', named_struct('data', named_struct('children', {comments})))",
+        "bluesky": f"named_struct('thread', {post.format('a[0]')}, 'replies', transform(filter(a, p -> p.i % 2 = 1), p -> {post.format('p')}, 'replies', {below}))))",
+    }
+    each = F.array(*(F.struct(F.lit(k).alias("platform"), F.expr(f"to_json({v})").alias("json")) for k, v in shapes.items()))
+    return page.select("document", F.explode(each).alias("c")).select("document", "c.platform", "c.json")
+
+
+@query("parse_platform_threads", f"""with recursive {_PAGES},
+b as (select * from p where not exists (select 1 from p r where r.document = p.document and r.i = 0 and r.role = 'system' and p.i > 0) and not exists (select 1 from p r where p.i > 0 and p.i % 2 = 0 and r.document = p.document and r.i = p.i - 1 and r.role = 'system'))
+select document, 'x' as platform, 't' || i as id, 'content' as kind, null as reason, role as author, md5(text) as body, depth::int as depth, position from heap join p using (document, i)
+union all select document, 'hacker-news', i::varchar, case when role = 'system' then 'unavailable' else 'content' end, case when role = 'system' then 'deleted' end, case when role <> 'system' then role end, case when role <> 'system' then md5(text) end, depth::int, position from heap join p using (document, i)
+union all select document, 'reddit', case when i = 0 then 'p' else 'c' || i end, case when role = 'system' and i > 0 then 'unavailable' else 'content' end, case when role = 'system' and i > 0 then 'deleted' end, case when role <> 'system' or i = 0 then role end, case when role <> 'system' or i = 0 then md5(text) end, case when i = 0 then 0 else 2 - i % 2 end, i + (case when i > 0 and n > 5 then 1 else 0 end) from p
+union all select document, 'reddit', 'more', 'more', null, null, null, 1, 1 from p where i = 0 and n > 5
+union all select document, 'bluesky', 'u' || i, case when role = 'system' then 'unavailable' else 'content' end, case when role = 'system' then 'not-found' end, case when role <> 'system' then role end, case when role <> 'system' then md5(text) end, case when i = 0 then 0 else 2 - i % 2 end, row_number() over (partition by document order by i) - 1 from b""")
+def _(spark, d):
+    out = PT.parse_platform_threads(_captures(spark, d))
+    return out.select("document", "platform", "id", "kind", "reason", "author", F.md5("body").alias("body"), "depth", "position")
+
+
+@query("thread_reading_order", """with recursive h as (select conv_id, turn, cast(0 as bigint) as depth, [turn] as path from conversations where turn = 0 union all select c.conv_id, c.turn, h.depth + 1, list_append(h.path, c.turn) from conversations c join h on c.conv_id = h.conv_id and c.turn > 0 and (c.turn - 1) // 3 = h.turn)
+select conv_id, turn, depth::int as depth, row_number() over (partition by conv_id order by path) - 1 as position from h""")
+def _(spark, d):
+    """Whole conversations as trees in which turn t replies to (t - 1) / 3."""
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("key"), F.when(F.col("turn") > 0, F.expr("cast((turn - 1) DIV 3 AS int)")).cast("bigint").alias("parent"), F.col("turn").cast("bigint").alias("place"))
+    t = t.withColumn("key", F.col("key").cast("bigint"))
+    return PT.reading_order(t).select(F.col("document").alias("conv_id"), F.col("key").alias("turn"), "depth", "position")
