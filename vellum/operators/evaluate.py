@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -64,24 +65,43 @@ def fnv1a(text: str) -> int:
     return h
 
 
-def paired_bootstrap(pairs: DataFrame, seed: int = 1, resamples: int = 10_000, level: float = 0.95) -> DataFrame:
+def _draws(seed: int, first: int, count: int) -> np.ndarray:
+    """Values ``first`` to ``first + count`` of :func:`mulberry32`: the i-th state is the seed and i + 1 times a constant, so none needs those before it."""
+    mask = np.uint64(0xFFFFFFFF)
+    t = (np.uint64(seed & 0xFFFFFFFF) + np.arange(first + 1, first + count + 1, dtype=np.uint64) * np.uint64(0x6D2B79F5)) & mask
+    t = ((t ^ (t >> np.uint64(15))) * (t | np.uint64(1))) & mask
+    t ^= (t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & mask)) & mask
+    return ((t ^ (t >> np.uint64(14))) & mask) / 4294967296
+
+
+def paired_bootstrap(pairs: DataFrame, seed: int = 1, resamples: int = 10_000, level: float = 0.95, part: int = 250) -> DataFrame:
     """candidate, metric, mean, low, high of the differences (candidate, metric, query_id, difference).
 
-    One generator runs through all resamples of a group, so a group is one Arrow call; groups run
-    apart. A group holds one difference a query: the judged queries, not the corpus.
+    A group's differences are one array, one number a judged query; its resamples are dealt out ``part`` at a time, and each task draws its own range of the generator, so
+    the result does not depend on how they are dealt. Only the resamples' means are sorted.
     """
     alpha = (1 - level) / 2
-
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("query_id")
-        values, n = group["difference"].to_numpy(), len(group)
-        draw = mulberry32(seed ^ fnv1a(f"{group['candidate'].iloc[0]}\0{group['metric'].iloc[0]}"))
-        picks = np.fromiter((int(next(draw) * n) for _ in range(resamples * n)), np.int64, resamples * n).reshape(resamples, n)
-        means = np.sort(values[picks].mean(1))
-        low, high = means[math.floor(alpha * resamples)], means[max(0, math.ceil((1 - alpha) * resamples) - 1)]
-        return pd.DataFrame({"candidate": [group["candidate"].iloc[0]], "metric": [group["metric"].iloc[0]], "mean": [values.mean()], "low": [low], "high": [high]})
-
-    return pairs.filter("difference IS NOT NULL").groupBy("candidate", "metric").applyInPandas(of, "candidate string, metric string, mean double, low double, high double")
+    held = pairs.filter("difference IS NOT NULL").groupBy("candidate", "metric").agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "difference"))), lambda x: x["difference"].cast("double")).alias("values"))
+    parts = -(-resamples // part)
+    dealt = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(F.xxhash64("candidate", "metric", "part"))
+
+    def means(batches):
+        for batch in batches:
+            for candidate, metric, values, at in batch[["candidate", "metric", "values", "part"]].itertuples(index=False):
+                values, first = np.asarray(values, np.float64), at * part
+                count, n = min(part, resamples - first), len(values)
+                step = max(1, 2_000_000 // n)
+                for low in range(first, first + count, step):
+                    some = min(step, first + count - low)
+                    picks = (_draws(seed ^ fnv1a(f"{candidate}\0{metric}"), low * n, some * n) * n).astype(np.int64)
+                    yield pd.DataFrame({"candidate": candidate, "metric": metric, "resample": np.arange(low, low + some), "resampled": values[picks.reshape(some, n)].mean(1)})
+
+    drawn = dealt.mapInPandas(means, "candidate string, metric string, resample long, resampled double")
+    placed = drawn.withColumn("place", F.row_number().over(W.partitionBy("candidate", "metric").orderBy("resampled", "resample")))
+    at = lambda i: F.max(F.when(F.col("place") == i + 1, F.col("resampled")))
+    ends = placed.groupBy("candidate", "metric").agg(at(math.floor(alpha * resamples)).alias("low"), at(max(0, math.ceil((1 - alpha) * resamples) - 1)).alias("high"))
+    mean = held.select("candidate", "metric", (F.aggregate("values", F.lit(0.0), lambda s, x: s + x) / F.size("values")).alias("mean"))
+    return mean.join(ends, ["candidate", "metric"]).select("candidate", "metric", "mean", "low", "high")
 
 
 def paired(metrics: DataFrame, baseline: str, metric: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import url as U
 from ..operators import authoring as A
 from ..operators import capture as C
 from ..operators import evaluate as E
+from ..operators import evaluation_corpus as EC
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import memory as M
@@ -701,12 +702,12 @@ for _k in ("recall", "mrr", "ndcg"):
     QUERIES[f"{_k}_at_k"] = lambda spark, d, k=_k: _metrics(spark, d).select("query_id", k)
     SQL[f"{_k}_at_k"] = f"with {_BM25}, {_METRICS} select query_id, {_k} from met"
 
-_SYSTEMS = "sys as (select 'a' as system, query_id % 3 as class, recall, mrr, ndcg, no_answer, query_id from met union all select 'b', query_id % 3, recall / 2, mrr / 2, ndcg / 2, no_answer, query_id from met)"
+_SYSTEMS = "sys as (select 'a' as system, query_id % 3 as class, recall, mrr, ndcg, no_answer, query_id from met union all select 'b', query_id % 3, recall * (query_id % 4) / 4, mrr * (query_id % 4) / 4, ndcg * (query_id % 4) / 4, no_answer, query_id from met)"
 
 
 def _systems(spark, d) -> DataFrame:
     m = _metrics(spark, d).withColumn("class", F.col("query_id") % 3)
-    half = m.withColumns({k: F.col(k) / 2 for k in ("recall", "mrr", "ndcg")})
+    half = m.withColumns({k: F.col(k) * (F.col("query_id") % 4) / 4 for k in ("recall", "mrr", "ndcg")})
     return m.withColumn("system", F.lit("a")).unionByName(half.withColumn("system", F.lit("b")))
 
 
@@ -723,14 +724,77 @@ def _(spark, d):
     return E.paired(_systems(spark, d), "a", "mrr")
 
 
-@query("paired_bootstrap")
-def _(spark, d):
-    return E.paired_bootstrap(E.paired(_systems(spark, d), "a", "mrr"))
-
-
-@query("eval_report", "select l_returnflag as system, quantile_disc(l_extendedprice, 0.5) as p50, quantile_disc(l_extendedprice, 0.9) as p90, quantile_disc(l_extendedprice, 0.95) as p95, quantile_disc(l_extendedprice, 0.99) as p99 from lineitem group by 1")
-def _(spark, d):
-    return E.latency_percentiles(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("system"), F.col("l_extendedprice").alias("ms")))
+_HALF = "4294967296::hugeint"
+_BOOT = f"""v as (select row_number() over (order by y.query_id) - 1 as k, y.mrr - x.mrr as difference from sys x join sys y on x.query_id = y.query_id and x.system = 'a' and y.system = 'b' where x.mrr is not null),
+n as (select count(*) as n from v), i as (select unnest(range(10000 * n)) as i, n from n),
+a as (select i, n, (({1 ^ E.fnv1a(chr(98) + chr(0) + 'mrr')} + (i + 1) * 1831565813) % 4294967296)::bigint as t from i),
+b as (select i, n, ((xor(t, t >> 15)::hugeint * (t | 1)) % {_HALF})::bigint as t from a),
+c as (select i, n, xor(t, ((t + ((xor(t, t >> 7)::hugeint * (t | 61)) % {_HALF})::bigint) % 4294967296)) as t from b),
+m as (select i // c.n as r, avg(difference) as m from c join v on k = floor(xor(t, t >> 14) / 4294967296.0 * c.n) group by 1),
+o as (select m, row_number() over (order by m, r) as place from m)"""
+
+
+@query("paired_bootstrap", f"with {_BM25}, {_METRICS}, {_SYSTEMS}, {_BOOT} select 'b' as candidate, 'mrr' as metric, round((select avg(difference) from v), 6) as mean, round((select m from o where place = 251), 6) as low, round((select m from o where place = 9750), 6) as high")
+def _(spark, d):
+    out = E.paired_bootstrap(E.paired(_systems(spark, d), "a", "mrr"))
+    return out.select("candidate", "metric", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
+_RUNS = """rn as (select 'a' as system, item_id as query_id, 'ready' as status, (item_id * 7 % 19 + length(text) % 5)::double as elapsed_ms from benchmark union all
+select 'b', item_id, case when item_id % 11 = 0 then 'failed' when item_id % 13 = 0 then 'unavailable' when item_id % 5 = 0 then 'degraded' else 'ready' end, (item_id * 3 % 23)::double from benchmark),
+ms as (select system, query_id, query_id % 3 as class, status, elapsed_ms, case when status in ('failed', 'unavailable') then recall * 0 else recall end as recall, case when status in ('failed', 'unavailable') then mrr * 0 else mrr end as mrr,
+  case when status in ('failed', 'unavailable') then ndcg * 0 else ndcg end as ndcg, case when status in ('failed', 'unavailable') then no_answer * 0 else no_answer end as no_answer from rn join met using (query_id))"""
+
+
+def _measured(spark, d) -> DataFrame:
+    """Runs of two systems with the same hits, of which the second fails on some queries."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    i, judged = F.col("query_id"), Q.checkpointed(_judged(spark, d))
+    a = b.select(F.lit("a").alias("system"), "query_id", F.lit("ready").alias("status"), (i * 7 % 19 + F.length("text") % 5).cast("double").alias("elapsed_ms"))
+    status = F.when(i % 11 == 0, "failed").when(i % 13 == 0, "unavailable").when(i % 5 == 0, "degraded").otherwise("ready")
+    runs = a.union(b.select(F.lit("b"), "query_id", status, (i * 3 % 23).cast("double")))
+    hits = _lanes(spark, d).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("system"), "query_id", "doc_id", "rank")
+    answered = judged.select("query_id", F.lit("answerable").alias("answer")).distinct()
+    asked = b.join(answered, "query_id", "left").select("query_id", (i % 3).alias("class"), F.coalesce("answer", F.lit("no-answer")).alias("answer"))
+    return EC.run_metrics(runs, hits, judged, asked)
+
+
+@query("eval_report", f"""with {_BM25}, {_METRICS}, {_RUNS} select system, class, count(*) as n, count(*) filter (status = 'ready') as ready, count(*) filter (status = 'degraded') as degraded, count(*) filter (status = 'unavailable') as unavailable, count(*) filter (status = 'failed') as failed,
+round(avg(recall), 6) as recall, round(avg(mrr), 6) as mrr, round(avg(ndcg), 6) as ndcg, round(avg(no_answer), 6) as no_answer,
+quantile_disc(elapsed_ms, 0.5) as p50, quantile_disc(elapsed_ms, 0.9) as p90, quantile_disc(elapsed_ms, 0.95) as p95, quantile_disc(elapsed_ms, 0.99) as p99 from ms group by grouping sets ((system), (system, class))""")
+def _(spark, d):
+    return EC.eval_report(_measured(spark, d))
+
+
+_LINE = "trim(regexp_replace(text, '[\\x00\\r\\n]+', ' ', 'g'))"
+
+
+# Four items a manifest; of each five manifests, one is right and four have a defect of their own.
+@query("parse_eval_corpus", f"""with b as (select item_id // 4 as m, item_id % 4 as p, item_id, {_LINE} as text, item_id // 4 % 5 as bad from benchmark),
+s as (select m from b group by m having count(distinct item_id % 2) < 2)
+select 'query' as kind, 'm' || m as manifest, 'q' || item_id as name, text as value from b where bad = 0 and m not in (select m from s)
+union all select 'judgment', 'm' || m, 'q' || item_id, 'd' || item_id || ':' || (item_id % 3 + 1) from b where bad = 0 and m not in (select m from s)
+union all select 'issue', 'm' || m, 'queries[' || p || '].extra', 'unknown-field' from b where bad = 1 and item_id % 2 = 0
+union all select 'issue', 'm' || m, 'queries[' || p || '].qrels[0].relevance', 'value' from b where bad = 2
+union all select 'issue', 'm' || m, 'queries[' || p || '].answer', 'inconsistent' from b where bad = 2
+union all select distinct 'issue', 'm' || m, 'frozen', 'missing' from b where bad = 3
+union all select 'issue', 'm' || m, 'queries[' || p || '].text', 'value' from b where bad = 4
+union all select 'issue', 'm' || m, 'queries', 'inconsistent' from s""")
+def _(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.trim(F.regexp_replace("text", "[\\x00\r\n]+", " ")).alias("text"), F.floor(F.col("item_id") / 4).alias("m"))
+    bad = F.col("m") % 5
+    entry = F.struct(
+        F.concat(F.lit("q"), "item_id").alias("id"), F.when(bad == 4, " ").otherwise(F.col("text")).alias("text"), F.lit("conceptual-recall").alias("class"), F.when(F.col("item_id") % 2 == 0, "development").otherwise("test").alias("split"), F.lit("answerable").alias("answer"),
+        F.struct(F.col("text").alias("text")).alias("inputs"), F.array(F.struct(F.concat(F.lit("d"), "item_id").alias("documentId"), F.when(bad == 2, 5).otherwise(F.col("item_id") % 3 + 1).alias("relevance"))).alias("qrels"),
+        F.array(F.lit("ann")).alias("assessorIds"), F.struct(F.lit("not-required").alias("status")).alias("adjudication"), F.when((bad == 1) & (F.col("item_id") % 2 == 0), True).alias("extra"),
+    )
+    frozen = F.when(F.col("m") % 5 != 3, F.struct(F.lit("a" * 40).alias("repositoryCommit"), F.lit("0" * 64).alias("vaultTree"), F.lit("notes").alias("vaultRoot")))
+    whole = F.struct(F.lit(1).alias("schemaVersion"), F.concat(F.lit("m"), "m").alias("id"), F.lit("made of benchmark items").alias("description"), frozen.alias("frozen"), F.struct(F.lit("1").alias("rubricVersion"), F.array(F.struct(F.lit("ann").alias("id"))).alias("assessors")).alias("assessment"), F.transform("q", lambda x: x["e"]).alias("queries"))
+    held = b.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("item_id", entry.alias("e")))).alias("q"))
+    queries, judgments, issues = EC.parse_eval_corpus(held.select(F.concat(F.lit("m"), "m").alias("manifest"), F.to_json(whole).alias("json")))
+    row = lambda t, kind, name, value: t.select(F.lit(kind).alias("kind"), "manifest", name.alias("name"), value.alias("value"))
+    out = row(queries, "query", F.col("query_id"), F.col("text")).union(row(judgments, "judgment", F.col("query_id"), F.concat_ws(":", "doc_id", F.col("relevance").cast("string"))))
+    return out.union(row(issues, "issue", F.col("label"), F.col("code")))
 
 
 # --- pages, layout, streams ---------------------------------------------------------------------
