@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_map, materialize, pick, table
+from .common import flat_map, give_back, materialize, pick, table
 
 #: Longest word, in bytes, that the fold takes.
 LONG = 512
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 #: Frequent words are counted in one text of so many, and at most so many (some 30 bytes each) go to each task.
 SAMPLE, CACHED = 16, 400_000
 #: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
@@ -190,18 +190,29 @@ class Known:
         self.words = pa.concat_arrays([pa.array(list(ranks), pa.binary()), *frequent["word"].cast(pa.binary()).chunks])
 
     @cached_property
-    def places(self) -> dict[bytes, int]:
-        """Each known word's place; built once a worker."""
-        return {w: i for i, w in enumerate(self.words.to_pylist())}
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the known words in order, and each one's place; built once a worker, some 12 bytes a word."""
+        hashes = np.fromiter(map(hash, self.words.to_pylist()), np.int64, len(self.words))
+        order = np.argsort(hashes).astype(np.int32)
+        return hashes[order], order
+
+    def find(self, words: pa.Array, listed: list[bytes]) -> np.ndarray:
+        """Each word's place among the known ones; -1 where it is none of them, by its bytes."""
+        hashes, order = self.places
+        low = np.searchsorted(hashes, np.fromiter(map(hash, listed), np.int64, len(listed)))
+        found = order[np.minimum(low, len(order) - 1)]
+        same = pc.equal(self.words.take(pa.array(found)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, found, -1).astype(np.int32)
 
     def number(self, texts: list[str], find, ranks: dict[bytes, int]) -> list[pa.Array]:
         """Of some texts: each as numbers of its words, each word's place among the known ones (-1: none), the other words' bytes between marks, the ids of those too long to fold."""
         found = [pa.array(find(t), pa.string()) for t in texts]
         flat = pa.concat_arrays(found).dictionary_encode()
         numbers = pa.ListArray.from_arrays(_offsets(_sizes(found)), flat.indices)
-        words, place = flat.dictionary.cast(pa.binary()).to_pylist(), self.places.get
-        at = np.fromiter((place(w, -1) for w in words), np.int32, len(words))
-        left = [words[i] for i in np.flatnonzero(at < 0)]
+        words = flat.dictionary.cast(pa.binary())
+        listed = words.to_pylist()
+        at = self.find(words, listed)
+        left = [listed[i] for i in np.flatnonzero(at < 0)]
         long = [fold_long(w, ranks) if len(w) > LONG else [] for w in left]
         short = [b"" if i else w for w, i in zip(left, long, strict=True)]
         ends = np.cumsum([0, *(len(w) + 2 for w in short)])
@@ -250,7 +261,8 @@ def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cac
         if total > cached:
             break
         least = r.n
-    words = counted.filter(F.col("n") >= least).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    # Each task reads the ranks anew, so a task folds some thousand words and not a few.
+    words = counted.filter(F.col("n") >= least).repartition(1 + min(total, cached) // 16_000, "word")
     codes = f"concat(array({END}S), transform(sequence(1, length(hex(word)), 2), i -> cast(conv(substring(hex(word), i, 2), 16, 10) as smallint)), array({END}S))"
     folded = words.select("word", F.expr(f"{rank_map(path).ids(f'array({codes})')}[0]").alias("ids"))
     return folded.withColumn("piece", F.expr(f"{rank_map(path).binary('array(ids)')}[0]")).toArrow()
@@ -280,6 +292,7 @@ def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_cha
                 high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + block_chars, side="right")) - 1)
                 yield block(batch.slice(low, high - low))
                 low = high
+        give_back()
 
     # Only a block with a long word has ids that are not folded here.
     ids = f"zip_with({rank_map(path).ids('words')}, long, (f, k) -> if(size(k) > 0, k, f))"
@@ -314,6 +327,7 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
             taken = known.joined(at, folded, known.ids).take(numbers)
             ends = pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False)))).astype(np.int32)).take(offsets)
             yield pa.RecordBatch.from_arrays([*columns_, pa.ListArray.from_arrays(ends, taken.flatten())], names=[*columns, "vellum_ids"])
+        give_back()
 
     return blocks.mapInArrow(run, schema)
 
@@ -348,6 +362,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] | None
             tokens = np.diff(length[offsets.to_numpy()])
             new = [pa.array(tokens, pa.int64()), pa.array(joined(pc.binary_join(own, ","), offsets, numbers, ","), pa.string()), pa.array(joined(pieces, offsets, numbers, b""), pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *new], names=schema.names)
+        give_back()
 
     return blocks.withColumn("pieces", F.expr(rank_map(path).binary("ids"))).mapInArrow(run, schema)
 
