@@ -93,11 +93,6 @@ def arrow_arrays(columns: list[list], types: list[str]) -> list[pa.Array]:
     return [pa.array(c, type=_ARROW[t]) for c, t in zip(columns, types, strict=True)]
 
 
-def give_back() -> None:
-    """At a task's end, Arrow's free memory goes back to the system: a worker may idle for a minute beside those of the next stage."""
-    pa.default_memory_pool().release_unused()
-
-
 def append(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fields: dict[str, str], text: str = "text") -> DataFrame:
     """Add columns that a function computes from whole texts, one Arrow batch at a time.
 
@@ -113,7 +108,6 @@ def append(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fie
         for batch in batches:
             new = [c if isinstance(c, pa.Array) else pa.array(c, type=_ARROW[t]) for c, t in zip(compute(utf8(batch.column(at))), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
-        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -148,7 +142,6 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]]
                 yield out(part)
         if last:
             yield out(None)
-        give_back()
 
     return df.mapInArrow(run, schema)
 

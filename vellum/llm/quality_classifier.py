@@ -28,7 +28,7 @@ WORDS, SHAPES, LINES = 768, 224, 32
 DIM = WORDS + SHAPES + LINES
 FIT_ROWS, RANK, NEIGHBOURS, POWER = 4096, 48, 25, 16
 #: Documents multiplied at once: 512 x 4,096 cosines are 8 MB.
-BLOCK = 512
+BLOCK = 128
 
 _CLASS = bytes(ord("a") if 97 <= c <= 122 or c >= 128 else ord("A") if 65 <= c <= 90 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
@@ -140,7 +140,7 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
 
 def _scores(model: Neighbours, texts: list[bytes]) -> np.ndarray:
-    out = [model.score(np.array([features(t) for t in texts[a : a + 2048]]).reshape(-1, DIM)) for a in range(0, len(texts), 2048)]
+    out = [model.score(np.array([features(t) for t in texts[a : a + 512]]).reshape(-1, DIM)) for a in range(0, len(texts), 512)]
     return np.concatenate(out) if out else np.empty(0)
 
 
