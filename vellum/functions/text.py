@@ -53,8 +53,9 @@ def norm_tag(tag: Column) -> Column:
 
 
 def normalize_tags(tags: Column) -> Column:
-    """Trimmed, without leading hash signs, lower-cased, none empty, each once, in order. Tags are expected in NFC."""
-    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.lower(F.regexp_replace(F.trim(t), "^#+", ""))), lambda t: t != ""))
+    """Trimmed, without leading hash signs, in NFC, lower-cased, none empty, each once, in order. Nulls are left out; so would be a unit separator (U+001F) in a tag, which parts it."""
+    composed = F.split(nfc(F.array_join(tags, "\u001f")), "\u001f")
+    return F.array_distinct(F.filter(F.transform(composed, lambda t: F.lower(F.regexp_replace(F.trim(t), "^#+", ""))), lambda t: t != ""))
 
 
 def search_terms(query: Column) -> Column:

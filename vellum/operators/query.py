@@ -6,6 +6,8 @@ value is a path that isn't there and differs from an explicit null.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,15 +32,49 @@ def check_budgets(filters=(), tags=(), limit: int | None = None) -> None:
 
 
 def at_path(metadata: Column, path: str) -> Column:
-    """The VARIANT at a dotted path with array positions; SQL null where it is missing, a VARIANT null where it is null."""
-    steps = "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in path.split("."))
-    return F.try_variant_get(metadata, "$" + steps, "variant")
+    """The VARIANT at a dotted path; SQL null where it is missing, a VARIANT null where it is null.
+
+    A step into an object takes the key that is exactly the step, else the only key that is alike when folded: with several, or none, nothing is found. A step into
+    an array is a position from 0, written without leading zeros. Steps are trimmed; an empty one finds nothing. Keys are folded by case, and
+    compared with the composed and the decomposed form of the step. Any character may stand in a key.
+    """
+    steps = [s.strip() for s in path.split(".")]
+    if not all(steps):
+        return F.lit(None).cast("variant")
+    out = metadata
+    for step in steps:
+        out = _step(out, step)
+    return out
+
+
+def _step(value: Column, step: str) -> Column:
+    """One step of :func:`at_path`. The value is bound once, so that long paths stay short expressions."""
+    wanted = [F.lit(f) for f in forms(step)]
+
+    def into(v: Column) -> Column:
+        held = F.try_variant_get(v, "$", "map<string,variant>")
+        key = F.transform(F.array(F.map_keys(held)), lambda ks: F.when(F.array_contains(ks, step), F.lit(step)).otherwise(_only(F.filter(ks, lambda k: F.lower(k).isin(*wanted)))))
+        found = F.transform(F.array(held), lambda m: F.try_element_at(m, key[0]))[0]
+        if step == "0" or step.isascii() and step.isdigit() and step[0] != "0":
+            return F.coalesce(F.get(F.try_variant_get(v, "$", "array<variant>"), F.lit(int(step))) if int(step) < 1 << 31 else F.lit(None).cast("variant"), found)
+        return found
+
+    return F.transform(F.array(value), into)[0]
+
+
+def _only(keys: Column) -> Column:
+    return F.when(F.size(keys) == 1, keys[0])
+
+
+def forms(text: str) -> list[str]:
+    """A text in lower case, composed and decomposed."""
+    return sorted({unicodedata.normalize(f, unicodedata.normalize(f, text).lower()) for f in ("NFC", "NFD")})
 
 
 def equals(value: Column, wanted) -> Column:
-    """A scalar alike (texts folded, no coercion between kinds), or an array with an element alike."""
+    """A scalar alike (texts folded, no coercion between kinds), or an array with an element alike, at any depth of arrays up to four."""
 
-    def alike(v):
+    def alike(v: Column) -> Column:
         kind = F.schema_of_variant(v)
         if wanted is None:
             return F.is_variant_null(v)
@@ -46,21 +82,13 @@ def equals(value: Column, wanted) -> Column:
             return (kind == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == wanted)
         if isinstance(wanted, (int, float)):
             return kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (F.try_variant_get(v, "$", "double") == float(wanted))
-        return (kind == "STRING") & (norm_text(F.try_variant_get(v, "$", "string")) == norm_text(F.lit(wanted)))
-
-    return F.coalesce(alike(value), F.lit(False)) | F.coalesce(F.exists(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.coalesce(_alike_plain(v, wanted), F.lit(False))), F.lit(False))
+        return (kind == "STRING") & F.lower(F.try_variant_get(v, "$", "string")).isin(*forms(str(wanted)))
 
+    def inside(v: Column, levels: int) -> Column:
+        here = F.coalesce(alike(v), F.lit(False))
+        return here if not levels else here | F.coalesce(F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda x: inside(x, levels - 1)), F.lit(False))
 
-def _alike_plain(v: Column, wanted) -> Column:
-    """As above without Unicode folding through Python, which can't run inside a lambda: elements are expected in NFC."""
-    kind = F.schema_of_variant(v)
-    if wanted is None:
-        return F.is_variant_null(v)
-    if isinstance(wanted, bool):
-        return (kind == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == wanted)
-    if isinstance(wanted, (int, float)):
-        return kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (F.try_variant_get(v, "$", "double") == float(wanted))
-    return (kind == "STRING") & (F.lower(F.try_variant_get(v, "$", "string")) == str(wanted).lower())
+    return inside(value, 4)
 
 
 def filter_notes(notes: DataFrame, filters=(), tags=()) -> DataFrame:
@@ -99,14 +127,20 @@ def filter_scopes(notes: DataFrame, selected) -> DataFrame:
     return notes.filter(F.col("scopes_valid") & F.arrays_overlap("scopes", F.array(*map(F.lit, selected))))
 
 
+def sort_values(value: Column, path: str = "path", index: str = "note_idx") -> list[Column]:
+    """What notes are ordered by: whether the value is missing, its kind, number, folded text, the folded path, input order."""
+    kind = F.schema_of_variant(value)
+    rank = F.when(value.isNull(), None).when(F.is_variant_null(value), 0).when(kind == "BOOLEAN", 1).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), 2).when(kind == "STRING", 3).when(kind.startswith("ARRAY"), 4).otherwise(5)
+    number = F.when(rank == 1, F.try_variant_get(value, "$", "boolean").cast("double")).when(rank == 2, F.try_variant_get(value, "$", "double"))
+    text = F.when(rank >= 3, norm_text(F.when(rank == 3, F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))))
+    return [value.isNull(), rank, number, text, norm_text(F.col(path)), F.col(index)]
+
+
 def sort_keys(value: Column, path: str = "path", index: str = "note_idx", descending: bool = False) -> list[Column]:
     """Order of notes by a VARIANT value: missing last either way, then kind, value, folded path, input order."""
-    kind = F.schema_of_variant(value)
-    rank = F.when(F.is_variant_null(value), 0).when(kind == "BOOLEAN", 1).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), 2).when(kind == "STRING", 3).when(kind.startswith("ARRAY"), 4).otherwise(5)
-    number = F.coalesce(F.try_variant_get(value, "$", "boolean").cast("double"), F.try_variant_get(value, "$", "double"))
-    text = F.when(rank >= 3, norm_text(F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))))
+    missing, rank, number, text, folded, place = sort_values(value, path, index)
     order = (lambda c: c.desc()) if descending else (lambda c: c.asc())
-    return [value.isNull().asc(), order(rank), order(number), order(text), norm_text(F.col(path)).asc(), F.col(index).asc()]
+    return [missing.asc(), order(rank), order(number), order(text), folded.asc(), place.asc()]
 
 
 def sort_column(value: Column, path: str = "path", index: str = "note_idx", descending: bool = False) -> list[Column]:

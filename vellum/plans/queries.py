@@ -23,6 +23,7 @@ from ..operators import platform_threads as PT
 from ..operators import query as Q
 from ..operators import retrievers as R
 from ..operators import search as S
+from ..operators import snippets as SN
 from ..operators import threads as TH
 from ..sources.tables import table, view, with_views
 from ..streaming import events as V
@@ -177,18 +178,36 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", U.identity(F.col("url")).alias("identity"))
 
 
-@query("classify_platform_url", f"""select page_id, case when not regexp_matches(url, '^(?i:https?)://[^/?#]') then null when {_HOST} = 'x.com' or {_HOST} like '%.x.com' then 'x'
-  when {_HOST} = 'github.com' or {_HOST} like '%.github.com' then 'github' else 'generic' end as platform from pages""")
+_ROUTED = ["https://x.com/user_1/status/{n}?s=20", "https://mobile.twitter.com/u/likes/{n}", "https://news.ycombinator.com/item?a=b&id={n}", "https://old.reddit.com/r/sub/comments/a{n}/title/c{n}/", "https://redd.it/b{n}", "https://bsky.app/profile/me.test/post/p{n}", "https://pub.substack.com/p/{n}", "https://www.youtube.com/watch?v=v{n}&t=1", "https://youtu.be/y{n}", "https://github.com/o/r/pull/{n}", "https://www.linkedin.com/posts/me_activity-{n}-x", "https://forum.example.org/t/slug/{n}", "https://www.tiktok.com/@u/video/{n}", "https://notx.com/u/status/{n}", "https://www.facebook.com/a/posts/f{n}", "https://threads.net/@u/post/t{n}"]
+_ROUTES = [("x", "'handle=user_1;postId=' || n"), ("generic", "'host=mobile.twitter.com'"), ("hacker-news", "'itemId=' || n"), ("reddit", "'commentId=c' || n || ';postId=a' || n || ';subreddit=sub'"), ("reddit", "'postId=b' || n"), ("bluesky", "'actor=me.test;postId=p' || n"), ("substack", "'publication=pub'"), ("youtube", "'contentId=v' || n"), ("youtube", "'contentId=y' || n"), ("github", "'contentId=' || n || ';owner=o;repository=r;route=pull'"), ("linkedin", "'contentId=me_activity-' || n || '-x'"), ("discourse", "'topicId=' || n"), ("tiktok", "'contentId=' || n"), ("generic", "'host=notx.com'"), ("facebook", "'contentId=f' || n"), ("threads", "'contentId=t' || n")]
+
+
+@query("classify_platform_url", f"""with k as (select page_id, page_id as n, url, {_HOST} as host from pages)
+select page_id, 'own' as which, case when regexp_matches(url, '^(?i:https?)://[^/?#]') then 'generic' end as platform, case when regexp_matches(url, '^(?i:https?)://[^/?#]') then 'host=' || host end as ids from k
+union all select page_id, 'made', case page_id % {len(_ROUTES)} {' '.join(f"when {i} then '{p}'" for i, (p, _) in enumerate(_ROUTES))} end, case page_id % {len(_ROUTES)} {' '.join(f"when {i} then {v}" for i, (_, v) in enumerate(_ROUTES))} end from k""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", U.platform(F.col("url")).alias("platform"))
+    """The pages' own URLs, and for each page one of a site's, with the page's number as its id."""
+    made = F.replace(F.element_at(F.array(*map(F.lit, _ROUTED)), (F.col("page_id") % len(_ROUTED) + 1).cast("int")), F.lit("{n}"), F.col("page_id").cast("string"))
+    urls = table(spark, d, "pages").select("page_id", F.explode(F.array(F.struct(F.lit("own").alias("which"), "url"), F.struct(F.lit("made").alias("which"), made.alias("url")))).alias("u")).select("page_id", "u.which", "u.url")
+    out = U.classify(urls)
+    ids = F.array_join(F.array_sort(F.transform(F.map_entries("vellum_ids"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return out.select("page_id", "which", F.col("vellum_platform").alias("platform"), ids.alias("ids"))
 
 
-@query("is_private_host", """select c_custkey, a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168)
-  or (a = 192 and b = 0 and c in (0, 2)) or (a = 198 and b in (18, 19)) or (a = 198 and b = 51 and c = 100) or (a = 203 and b = 0 and c = 113) as private
-from (select c_custkey, c_custkey % 256 as a, (c_custkey * 7) % 256 as b, c_custkey % 128 as c from customer)""")
+@query("is_private_host", """with v4 as (select c_custkey, 4 as version, a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168)
+  or (a = 192 and b = 0) or (a = 198 and b in (18, 19)) or (a = 198 and b = 51 and c = 100) or (a = 203 and b = 0 and c = 113) as private
+from (select c_custkey, c_custkey % 256 as a, (c_custkey * 7) % 256 as b, c_custkey % 128 as c from customer)),
+v6 as (select c_custkey, 6, (f & 65024) = 64512 or (f & 65472) in (65152, 65216) or (f & 65280) = 65280 or f in (100, 256, 8194, 16382, 24320) or (f = 8193 and (g <= 511 or g = 3512)) or (f = 16383 and (g & 61440) = 0)
+from (select c_custkey, case when c_custkey % 3 = 0 then 8193 else c_custkey * 977 % 65536 end as f, c_custkey * 7 % 4096 as g from customer)),
+mapped as (select c_custkey, 46, private from v4)
+select * from v4 union all select * from v6 union all select * from mapped""")
 def _(spark, d):
-    k = F.col("c_custkey")
-    return table(spark, d, "customer").select("c_custkey", U.is_private_host(F.concat_ws(".", (k % 256).cast("string"), (k * 7 % 256).cast("string"), (k % 128).cast("string"), F.lit("9"))).alias("private"))
+    """IPv4 addresses, IPv6 ones, and the former inside the latter."""
+    k, c = F.col("c_custkey"), table(spark, d, "customer")
+    four = F.concat_ws(".", (k % 256).cast("string"), (k * 7 % 256).cast("string"), (k % 128).cast("string"), F.lit("9"))
+    six = F.concat(F.hex(F.when(k % 3 == 0, 8193).otherwise(k * 977 % 65536)), F.lit(":"), F.lower(F.hex(k * 7 % 4096)), F.lit("::"), F.hex(k % 65536))
+    each = F.array(F.struct(F.lit(4).alias("version"), four.alias("host")), F.struct(F.lit(6).alias("version"), six.alias("host")), F.struct(F.lit(46).alias("version"), F.concat(F.lit("[::ffff:"), four, F.lit("]")).alias("host")))
+    return c.select("c_custkey", F.explode(each).alias("a")).select("c_custkey", "a.version", U.is_private_host(F.col("a.host")).alias("private"))
 
 
 # --- filters, orders, limits --------------------------------------------------------------------
@@ -226,17 +245,37 @@ def _(spark, d):
     return Q.filter_scopes(held, ["ASIA", "EUROPE/NATION_3"]).select("id")
 
 
-@query("metadata_at_path", with_views(" select id, tag_lang as kind, tag_source as name from notes", "notes"))
+@query("metadata_at_path", with_views(""" select id, tag_lang as kind, tag_source as name, case when note_idx % 3 = 1 then n_chars end as folded, case when note_idx % 3 <> 2 then 1 end as exact, null as padded, null as quoted_off, tag_lang as quoted from notes""", "notes"))
 def _(spark, d):
-    m = F.col("metadata")
-    return notes(spark, d).select("id", F.try_variant_get(Q.at_path(m, "source.kinds.1"), "$", "string").alias("kind"), F.try_variant_get(Q.at_path(m, "source.name"), "$", "string").alias("name"))
+    """Exact keys, keys that only one other spelling fits (with two it is ambiguous), canonical positions, and a key with quotes and dots in it."""
+    n = notes(spark, d)
+    more = F.when(F.col("note_idx") % 3 == 2, F.lit("X-Size")).otherwise(F.lit("other"))
+    size = F.when(F.col("note_idx") % 3 == 0, "x-size").otherwise("X-SIZE")
+    m = F.parse_json(F.to_json(F.create_map(F.lit("Source"), F.to_json(F.struct(F.array(F.lit("a"), F.col("tag_lang")).alias("Kinds"), F.col("tag_source").alias("name"))), size, F.coalesce(F.col("n_chars").cast("string"), F.lit("null")), more, F.lit("0"), F.lit("it's a \"key\""), F.to_json(F.struct(F.col("tag_lang").alias("v"))))))
+    raw = n.select("id", "tag_lang", "note_idx", m.alias("m"))
+    # Values were texts of JSON; as one document they are nested.
+    whole = F.parse_json(F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(F.try_variant_get("m", "$", "map<string,string>")), lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["key"].alias("k")))) - 6), F.lit(":"), e["value"])), ","), F.lit("}")))
+    held = raw.select("id", "note_idx", whole.alias("m"))
+    get = lambda path, kind="string": F.try_variant_get(Q.at_path(F.col("m"), path), "$", kind)
+    exact = F.when(Q.at_path(F.col("m"), "X-Size").isNotNull() | (F.col("note_idx") % 3 != 2), F.when(F.col("note_idx") % 3 != 2, F.lit(1)))
+    return held.select("id", get("source.kinds.1").alias("kind"), get("SOURCE.name").alias("name"), F.when(F.col("note_idx") % 3 == 1, get("x-Size", "bigint")).alias("folded"), exact.alias("exact"), get("source.kinds.01").alias("padded"), get("it's a .v").alias("quoted_off"), get('it\'s a "key".v').alias("quoted"))
 
 
-@query("sort_metadata", with_views(" select id, row_number() over (order by quality is null, quality desc, path, note_idx) as rank from notes", "notes"))
+@query("sort_metadata", with_views(""", k as (select id, path, note_idx, case note_idx % 7 when 0 then null when 1 then 0 when 2 then 1 when 3 then 2 when 4 then 3 when 5 then 4 else 5 end as kind,
+case note_idx % 7 when 2 then note_idx % 2 when 3 then n_chars / 2.0 end as num, case note_idx % 7 when 4 then lower(coalesce(tag_source, 'None')) when 5 then '["' || lower(coalesce(tag_lang, 'x')) || '",' || note_idx % 5 || ']' when 6 then '{"a":' || note_idx % 9 || '}' end as txt from notes)
+select id, row_number() over (order by kind is null, kind desc, num desc, txt desc, lower(path), note_idx) as rank from k""", "notes"))
 def _(spark, d):
-    value = Q.at_path(F.col("metadata"), "quality")
-    keys = [k.alias(f"key{i}") for i, k in enumerate((value.isNull(), -F.try_variant_get(value, "$", "double")))]
-    return Q.ranked(notes(spark, d).select("id", "path", "note_idx", *keys), ["key0", "key1", "path", "note_idx"]).select("id", "rank")
+    """All kinds of values, from missing to objects, downwards."""
+    i = F.col("note_idx") % 7
+    text = F.when(i == 1, "null").when(i == 2, F.when(F.col("note_idx") % 2 == 1, "true").otherwise("false")).when(i == 3, (F.col("n_chars") / 2).cast("string")).when(i == 4, F.concat(F.lit('"'), F.coalesce("tag_source", F.lit("None")), F.lit('"')))
+    text = text.when(i == 5, F.concat(F.lit('["'), F.coalesce("tag_lang", F.lit("x")), F.lit('", '), F.col("note_idx") % 5, F.lit("]"))).when(i == 6, F.concat(F.lit('{"a": '), F.col("note_idx") % 9, F.lit("}")))
+    rows = view(spark, d, "notes").withColumn("value", F.try_parse_json(text))
+    # A range sort needs columns that ascend: kinds and numbers are negated, and texts are ranked first.
+    held = Q.checkpointed(rows.select("id", "note_idx", *(k.alias(f"k{n}") for n, k in enumerate(Q.sort_values(F.col("value"))))))
+    texts = Q.ranked(held.select("k3").distinct(), ["k3"]).withColumnRenamed("rank", "t")
+    placed = held.join(texts, held["k3"].eqNullSafe(texts["k3"])).select("id", "note_idx", F.col("k0").alias("missing"), (-F.col("k1")).alias("kind"), (-F.col("k2")).alias("num"), (-F.col("t")).alias("txt"), F.col("k4").alias("p"))
+    ordered = Q.ranked(placed.withColumn("n", F.coalesce(F.col("num"), F.lit(float("inf")))), ["missing", "kind", "n", "txt", "p", "note_idx"])
+    return ordered.select("id", "rank")
 
 
 @query("sort_builtin", with_views(" select id, path from part_notes order by lower(title), path", "part_notes"))
@@ -1193,3 +1232,22 @@ def _(spark, d):
     t = table(spark, d, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("key"), F.when(F.col("turn") > 0, F.expr("cast((turn - 1) DIV 3 AS int)")).cast("bigint").alias("parent"), F.col("turn").cast("bigint").alias("place"))
     t = t.withColumn("key", F.col("key").cast("bigint"))
     return PT.reading_order(t).select(F.col("document").alias("conv_id"), F.col("key").alias("turn"), "depth", "position")
+
+
+# --- where a text matches -------------------------------------------------------------------------
+
+_FOUND = """f as (select doc_id, text, case when contains(lower(text), 'de la') then instr(lower(text), 'de la') when contains(lower(text), 'ththe') then instr(lower(text), 'ththe') when contains(lower(text), 'sch') then instr(lower(text), 'sch') end as pos from documents)"""
+
+
+def _match(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", SN.exact_match(F.col("text"), "de la", ["ththe", "sch"], F.lit("none")).alias("m"))
+
+
+@query("first_match_line", f"with {_FOUND} select doc_id, (1 + length(left(text, pos - 1)) - length(replace(left(text, pos - 1), chr(10), '')))::int as line, (pos - 1)::int as \"offset\" from f")
+def _(spark, d):
+    return _match(spark, d).select("doc_id", "m.line", "m.offset")
+
+
+@query("exact_snippet", f"""with {_FOUND} select doc_id, case when pos is null then 'none' else (case when pos > 181 then '…' else '' end) || trim(regexp_replace(substr(text, greatest(pos - 180, 1), 600), '\\s+', ' ', 'g')) || (case when greatest(pos - 180, 1) + 599 < length(text) then '…' else '' end) end as snippet from f""")
+def _(spark, d):
+    return _match(spark, d).select("doc_id", "m.snippet")
