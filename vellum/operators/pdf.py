@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,3 +72,62 @@ def pdf_info(files: DataFrame) -> DataFrame:
     """file, info: ``Key: value`` lines as a map."""
     pairs = F.filter(F.transform(F.split("content", "\n"), lambda l: F.struct(F.trim(F.substring_index(l, ":", 1)).alias("k"), F.trim(F.regexp_extract(l, "^[^:]*:(.*)$", 1)).alias("v"))), lambda p: (p["k"] != "") & (p["v"] != ""))
     return files.select("file", F.map_from_entries(F.array_sort(pairs)).alias("info"))
+
+
+def _attribute(token: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(token, rf"(?s)^<[^>]*\s{name}\s*=\s*[\"']([^\"'>]*)[\"']", 1), F.lit(""))
+
+
+def _entities(text: Column) -> Column:
+    """Numeric entities of any plane, then the five named ones; what is no character stays as it is."""
+
+    def one(part: Column) -> Column:
+        code = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        number = F.when(code.rlike("^[xX]"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).try_cast("int")
+        right = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(right, F.concat(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"), F.substr(part, F.length(code) + 2))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    out = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 20), one), ""))
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
+def parse_layout_xml(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fragments, images, issues) of text geometry in XML (document, xml): pages with font, text and image elements.
+
+    Fragments: document, page, page_width, page_height, place, top, left, width, height, font, font_size, bold, italic, text; they feed :func:`visual_lines`. A fragment's size is that of the last
+    font of its id that was declared before it, on any page, else its height. Images: document, page, place, top, left, width, height, source. Issues: document, code: ``no-pages``,
+    ``open-page`` (a page begins in another or isn't closed), ``number`` (a coordinate that is missing, negative or no number); documents with an issue give no rows.
+    A document's elements are rows from the first step on; only its XML text is one value.
+    """
+    rows = files.select("document", F.coalesce("xml", F.lit("")).alias("xml"))
+    pages = rows.select("document", "xml", F.regexp_extract_all("xml", F.lit(r"(?s)<page\b[^>]*>.*?</page>"), 0).alias("pages"))
+    opened, closed = F.regexp_count("xml", F.lit(r"<page\b[^>]*>")), F.size("pages")
+    nested = F.exists("pages", lambda p: F.regexp_count(p, F.lit(r"<page\b")) > 1)
+    issues = pages.select("document", F.when(opened == 0, "no-pages").when(nested | (opened != closed), "open-page").alias("code")).filter("code IS NOT NULL")
+    each = pages.select("document", F.posexplode("pages").alias("page_at", "xml"))
+    inner = F.regexp_extract_all("xml", F.lit(r"(?s)<fontspec\b[^>]*/>|<image\b[^>]*/>|<text\b[^>]*>.*?</text>"), 0)
+    number = lambda c, n: _attribute(F.col(c), n).try_cast("double")
+    page = each.select("document", "page_at", number("xml", "number").cast("int").alias("page"), number("xml", "width").alias("page_width"), number("xml", "height").alias("page_height"), inner.alias("tokens"))
+    tokens = page.select("document", "page_at", "page", "page_width", "page_height", F.posexplode("tokens").alias("place", "token"))
+    kind = F.regexp_extract("token", r"^<(\w+)", 1)
+    sizes = {n: number("token", n) for n in ("top", "left", "width", "height")}
+    found = tokens.select("*", kind.alias("kind"), *(v.alias(n) for n, v in sizes.items()), F.coalesce(_attribute(F.col("token"), "font"), F.lit("")).alias("font"), _attribute(F.col("token"), "id").alias("id"), number("token", "size").alias("size"))
+    lacking = F.lit(False)
+    for n in sizes:
+        lacking = lacking | F.col(n).isNull() | (F.col(n) < 0) | F.isnan(n)
+    bad = found.filter((F.col("kind") == "fontspec") & F.col("id").isNotNull() & (F.col("size").isNull() | (F.col("size") < 0)) | (F.col("kind") != "fontspec") & lacking)
+    unplaced = page.filter("page IS NULL OR page < 1 OR page_width IS NULL OR page_width < 0 OR page_height IS NULL OR page_height < 0")
+    issues = issues.union(bad.select("document", F.lit("number"))).union(unplaced.select("document", F.lit("number"))).distinct()
+    good = found.join(issues.select("document").distinct(), "document", "left_anti")
+    order = W.partitionBy("document", "of").orderBy("page_at", "place").rowsBetween(W.unboundedPreceding, 0)
+    texts = good.filter("kind <> 'image'").withColumn("of", F.when(F.col("kind") == "fontspec", F.col("id")).otherwise(F.col("font")))
+    texts = texts.withColumn("declared", F.last(F.when(F.col("kind") == "fontspec", F.col("size")), ignorenulls=True).over(order)).filter("kind = 'text'")
+    body = F.regexp_extract("token", r"(?s)^<text\b[^>]*>(.*)</text>$", 1)
+    plain = _entities(F.regexp_replace(body, r"(?s)<[^>]*>", ""))
+    base = ["document", "page", "page_width", "page_height", "place", "top", "left", "width", "height"]
+    fragments = texts.select(*base, "font", F.coalesce("declared", "height").alias("font_size"), body.rlike(r"(?i)<b(?:\s[^>]*)?>").alias("bold"), body.rlike(r"(?i)<i(?:\s[^>]*)?>").alias("italic"), plain.alias("text"))
+    images = good.filter("kind = 'image'").select("document", "page", "place", "top", "left", "width", "height", _attribute(F.col("token"), "src").alias("source")).filter("source IS NOT NULL")
+    return fragments, images, issues

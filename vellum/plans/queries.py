@@ -1251,3 +1251,24 @@ def _(spark, d):
 @query("exact_snippet", f"""with {_FOUND} select doc_id, case when pos is null then 'none' else (case when pos > 181 then '…' else '' end) || trim(regexp_replace(substr(text, greatest(pos - 180, 1), 600), '\\s+', ' ', 'g')) || (case when greatest(pos - 180, 1) + 599 < length(text) then '…' else '' end) end as snippet from f""")
 def _(spark, d):
     return _match(spark, d).select("doc_id", "m.snippet")
+
+
+# --- geometry of texts in XML: orders as documents, line items as texts ------------------------------
+
+
+def _layout_files(spark, d) -> DataFrame:
+    """document, xml: a page an order; lines with an odd number are bold, and two fonts are declared, the second of them twice. Orders that end in 9 lack their page's end."""
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_partkey", "l_returnflag", "l_linestatus")
+    line = F.concat(F.lit('<text top="'), "q", F.lit('" left="'), F.col("l_partkey") % 500, F.lit('" width="30" height="12" font="'), F.col("l_linenumber") % 3, F.lit('">'), F.when(F.col("l_linenumber") % 2 == 1, F.lit("<b>")).otherwise(""), "l_returnflag", F.lit(" &amp;&#x20;&#"), F.ascii("l_linestatus"), F.lit(";"), F.when(F.col("l_linenumber") % 2 == 1, F.lit("</b>")).otherwise(""), F.lit("</text>"))
+    lines = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: x["x"]), "\n")
+    end = F.when(F.col("l_orderkey") % 10 == 9, "").otherwise("</page>")
+    return lines.select(F.col("l_orderkey").alias("document"), F.concat(F.lit('<pdf2xml><page number="'), F.col("l_orderkey") % 7 + 1, F.lit('" height="60" width="500"><fontspec id="0" size="10"/><fontspec id="1" size="7"/><fontspec id="1" size="8"/>'), body, end, F.lit("</pdf2xml>")).alias("xml"))
+
+
+@query("parse_poppler_xml", """select l_orderkey as document, (l_orderkey % 7 + 1)::int as page, l_quantity::int::double as top, (l_partkey % 500)::double as "left", case l_linenumber % 3 when 0 then 10.0 when 1 then 8.0 else 12.0 end::double as font_size, l_linenumber % 2 = 1 as bold, l_returnflag || ' & ' || l_linestatus as text from lineitem where l_orderkey % 10 <> 9
+union all select distinct l_orderkey, -1, null, null, null, null, 'open-page' from lineitem where l_orderkey % 10 = 9""")
+def _(spark, d):
+    fragments, _, issues = P.parse_layout_xml(_layout_files(spark, d))
+    none = F.lit(None).cast("double")
+    return fragments.select("document", "page", "top", "left", "font_size", "bold", "text").union(issues.select("document", F.lit(-1), none, none, none, F.lit(None).cast("boolean"), "code"))
