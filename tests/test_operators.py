@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.functions import url as U
-from vellum.operators import capture, evaluate, graph, memory, mentions, query, search
+from vellum.operators import capture, evaluate, graph, markup, memory, mentions, query, search
 from vellum.plans import workflows
 from vellum.streaming import events
 
@@ -140,7 +140,7 @@ def test_html(spark):
     html = '<html><head><title>T &amp; x</title></head><body onload="x()"><script>1</script><p style="a">Hello&nbsp;<b>you</b></p><a href="javascript:x">l</a><a href="u">m</a><!-- c --></body></html>'
     assert one(spark, html, capture.title) == "T & x"
     assert one(spark, html, capture.html_text) == "Hello you\nlm"
-    clean = one(spark, html, capture.sanitize_html)
+    clean = one(spark, html, markup.sanitize_html)
     assert "script" not in clean and "onload" not in clean and 'data-captured-href="u"' in clean and "<!--" not in clean
 
 

@@ -31,15 +31,6 @@ TEXT_STEPS = (
     (r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|tr|table|br|section|article|nav|footer|header|blockquote|pre|main|body|html|!doctype)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
 )
-#: What makes a page inert: no scripts, frames or comments, no handlers, styles or script URLs; other URLs as data only.
-INERT_STEPS = (
-    ("(?s)<!--.*?-->", ""),
-    *((f"(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>", "") for tag in ("script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "form")),
-    (r"(?i)<(?:script|style|iframe|object|embed|form|input|button|link|meta|base)\b[^>]*>", ""),
-    (r"(?i)\s(?:on[a-z]+|style|srcdoc)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", ""),
-    (r"(?i)\s(?:href|src)\s*=\s*(?:\"\s*(?:javascript|data|vbscript):[^\"]*\"|'\s*(?:javascript|data|vbscript):[^']*')", ""),
-    (r"(?i)\s(href|src)\s*=", " data-captured-$1="),
-)
 TIDY_STEPS = ((r"[ \t]*\n[ \t\n]*", "\n"), (r"^\n+|\n+$", ""))
 
 
@@ -54,10 +45,6 @@ def html_text(html: Column) -> Column:
     return F.trim(steps(entities(steps(html, TEXT_STEPS)), TIDY_STEPS))
 
 
-def sanitize_html(html: Column) -> Column:
-    return steps(html, INERT_STEPS)
-
-
 def extract_status(text: Column, name: Column) -> Column:
     """blocked, auth-required, unsupported, partial or complete, from what the text says and how long it is."""
     words = count_words(text)

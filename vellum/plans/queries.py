@@ -16,6 +16,7 @@ from ..operators import evaluate as E
 from ..operators import evaluation_corpus as EC
 from ..operators import graph as G
 from ..operators import history as H
+from ..operators import markup as MK
 from ..operators import memory as M
 from ..operators import mentions as MN
 from ..operators import pdf as P
@@ -861,9 +862,14 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(C.html_text(F.col("html")), 256).alias("text"))
 
 
-@query("sanitize_html", f"select page_id, sha256({_sql_steps('html', C.INERT_STEPS)}) as html from pages")
+# In the pages every tag ends, and attributes stand in double quotes.
+_GONE, _STAYS = "|".join(sorted(MK.REMOVED)), "|".join(sorted(MK.KEPT))
+_INERT_SQL = ["(?s)<!--.*?-->", *(f"(?is)<{t}\\b[^>]*>.*?</\\s*{t}\\b[^>]*>" for t in sorted(MK.REMOVED)), f"(?i)</?(?:{_GONE})\\b[^>]*>", "(?i)</?(?:html|head|body|meta|link|base|input|param|source|track)\\b[^>]*>", "<![^>]*>"]
+
+
+@query("sanitize_html", "select page_id, sha256(regexp_replace(" + "".join("regexp_replace(" for _ in _INERT_SQL) + "html" + "".join(f", '{p}', '', 'g')" for p in _INERT_SQL) + ", '(?i) (href|src)=\"', ' data-captured-\\1=\"', 'g')) as html from pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2(C.sanitize_html(F.col("html")), 256).alias("html"))
+    return table(spark, d, "pages").select("page_id", F.sha2(MK.sanitize_html(F.col("html")), 256).alias("html"))
 
 
 @query("page_title", f"select page_id, {_sql_entities('trim(regexp_extract(html, $$(?is)<title[^>]*>(.*?)</title>$$, 1))')} as title from pages")
