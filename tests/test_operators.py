@@ -290,3 +290,10 @@ def test_keyword_search_paths_agree(spark):
     asked = spark.createDataFrame([(1, "common word3"), (2, "ärger"), (3, "absent"), (4, None)], "query_id int, text string")
     a, b = (sorted(map(tuple, search.keyword_search(docs, asked, 4, most_bytes=n).collect())) for n in (1 << 20, 0))
     assert a == b and {r[0] for r in a} == {1, 2}
+
+
+def test_concept_ids_beyond_any_number_of_tries(spark):
+    taken = ["concepts/a", "concepts/a-concept", *(f"concepts/a-concept-{i}" for i in range(2, 90)), "concepts/b-concept", "concepts/b-concept-concept"]
+    wanted = spark.createDataFrame([("A", "a"), ("B", "b-concept"), ("C", "c")], "tag string, key string")
+    got = graph.suggest_concept_id(wanted, spark.createDataFrame([(t,) for t in taken], "id string")).collect()
+    assert {r.tag: r.id for r in got} == {"A": "concepts/a-concept-90", "B": "concepts/b-concept-concept-2", "C": "concepts/c"}

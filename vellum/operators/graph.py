@@ -165,10 +165,17 @@ def percolate_rank(candidates: DataFrame, limit: int) -> DataFrame:
     return candidates.orderBy(F.col("support").desc(), rank, "identity").limit(limit)
 
 
-def suggest_concept_id(wanted: DataFrame, occupied: DataFrame, tries: int = 50) -> DataFrame:
-    """tag, id: ``concepts/<key>``, or the first of ``-concept``, ``-concept-2``, ... that no note has."""
-    tail = F.transform(F.sequence(F.lit(0), F.lit(tries)), lambda i: F.when(i == 0, "").when(i == 1, "-concept").otherwise(F.concat(F.lit("-concept-"), i.cast("string"))))
-    options = wanted.select("tag", "key", F.posexplode(tail).alias("rank", "tail")).withColumn("id", F.concat(F.lit("concepts/"), "key", "tail"))
+def suggest_concept_id(wanted: DataFrame, occupied: DataFrame) -> DataFrame:
+    """tag, id: ``concepts/<key>``, or the first of ``-concept``, ``-concept-2``, ... that no note has.
+
+    As many endings are tried as ids of that key are taken, and one more, so one is always free.
+    """
+    base = F.concat(F.lit("concepts/"), "key")
+    bases = F.array_distinct(F.array(F.col("id"), F.regexp_replace("id", r"-concept(?:-\d+)?$", "")))
+    taken = occupied.select("id").distinct().select(F.explode(bases).alias("base")).groupBy("base").agg(F.count(F.lit(1)).cast("int").alias("taken"))
+    asked = wanted.select("tag", base.alias("base")).join(taken, "base", "left")
+    tail = F.transform(F.sequence(F.lit(0), F.coalesce("taken", F.lit(0)) + 1), lambda i: F.when(i == 0, "").when(i == 1, "-concept").otherwise(F.concat(F.lit("-concept-"), i.cast("string"))))
+    options = asked.select("tag", "base", F.posexplode(tail).alias("rank", "tail")).withColumn("id", F.concat("base", "tail"))
     return options.join(occupied.select("id"), "id", "left_anti").groupBy("tag").agg(F.min_by("id", "rank").alias("id"))
 
 

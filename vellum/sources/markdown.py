@@ -201,7 +201,7 @@ def attachments(parsed: DataFrame) -> DataFrame:
 def attachment_join(references: DataFrame, files: DataFrame) -> DataFrame:
     """source, target, kind, file: exact path beside the note, else (Obsidian) the only file of that name, folded."""
     folder = F.regexp_replace("source", "[^/]*$", "")
-    exact = F.when(F.col("target").startswith("/"), F.substring("target", 2, 10_000)).otherwise(F.regexp_replace(F.concat(folder, "target"), r"(^|/)\./", "$1"))
+    exact = F.when(F.col("target").startswith("/"), F.substr("target", F.lit(2))).otherwise(F.regexp_replace(F.concat(folder, "target"), r"(^|/)\./", "$1"))
     refs = references.withColumn("exact", exact).withColumn("base", F.lower(nfc(F.substring_index("target", "/", -1))))
     by_path = files.select(F.col("path").alias("exact"), F.col("path").alias("found"))
     by_name = files.groupBy(F.lower(nfc(F.substring_index("path", "/", -1))).alias("base")).agg(F.sort_array(F.collect_set("path")).alias("files"))
@@ -217,6 +217,6 @@ def parse_git_log(log: DataFrame, separator: str = "\x1e") -> tuple[DataFrame, D
     Records start with the separator; NUL frames their fields: hash, seconds, subject, then paths.
     """
     fields = log.select(F.explode(F.split("value", separator)).alias("record")).filter("record <> ''").select(F.split("record", "\\x{0000}").alias("f"))
-    commits = fields.filter(F.col("f")[0].rlike("^[0-9a-f]{40}$")).select(F.col("f")[0].alias("hash"), F.timestamp_seconds(F.col("f")[1].try_cast("bigint")).alias("committed_at"), F.col("f")[2].alias("subject"), F.slice("f", 4, 100_000).alias("paths"))
+    commits = fields.filter(F.col("f")[0].rlike("^[0-9a-f]{40}$")).select(F.col("f")[0].alias("hash"), F.timestamp_seconds(F.col("f")[1].try_cast("bigint")).alias("committed_at"), F.col("f")[2].alias("subject"), F.slice("f", F.lit(4), F.greatest(F.size("f") - 3, F.lit(0))).alias("paths"))
     paths = commits.select("hash", F.posexplode(F.filter("paths", lambda p: F.trim(F.regexp_replace(p, "\\s+", " ")) != "")).alias("pos", "path")).withColumn("path", F.regexp_replace("path", "^\n", ""))
     return commits.drop("paths"), paths
