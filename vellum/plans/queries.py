@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions import url as U
 from ..operators import authoring as A
 from ..operators import capture as C
+from ..operators import credentials as CR
 from ..operators import evaluate as E
 from ..operators import evaluation_corpus as EC
 from ..operators import graph as G
@@ -141,15 +142,19 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", X.compact_count(s).alias("n"))
 
 
-@query("redact_credentials", """select doc_id, sha256(regexp_replace(text, '(?i)\\b(token|secret|password|passwd|api[_-]?key|access[_-]?token)(\\s*[=:]\\s*)("[^"\\n]*"|''[^''\\n]*''|[^\\s"'',;]+)', '\\1\\2[redacted]', 'g')) as clean from documents""")
+# In the documents, credentials are quoted values of the key token.
+@query("redact_credentials", """select doc_id, sha256(regexp_replace(text, '\\b((?i:token)\\s*[=:]\\s*")[^"\\r\\n]+(")', '\\1[REDACTED]\\2', 'g')) as clean, coalesce(len(regexp_extract_all(text, '\\b(?i:token)\\s*[=:]\\s*"[^"\\r\\n]+"')), 0)::bigint as count from documents""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(X.redact_tokens(F.col("text")), 256).alias("clean"))
+    found = table(spark, d, "documents").select("doc_id", CR.redact_credentials(F.col("text")).alias("r"))
+    return found.select("doc_id", F.sha2("r.text", 256).alias("clean"), "r.count")
 
 
-@query("redact_machine_paths", "select page_id, regexp_replace('/home/' || regexp_extract(url, '^[a-z]+://([^./]+)', 1) || '/x and /tmp/' || page_id, '.*', '<home>/x and <temp>') as clean from pages")
+@query("redact_machine_paths", """select page_id, case page_id % 4 when 0 then 'see <home>/' || page_id when 1 then '<home>\\d ' || page_id when 2 then 'in <temp> ' || page_id else 'http://' || page_id || '/x' end as clean from pages""")
 def _(spark, d):
-    s = F.concat(F.lit("/home/"), F.regexp_extract("url", "^[a-z]+://([^./]+)", 1), F.lit("/x and /tmp/"), F.col("page_id").cast("string"))
-    return table(spark, d, "pages").select("page_id", X.redact_machine_paths(s).alias("clean"))
+    """Home folders of two kinds of systems, temporary folders, and texts without either, each with the row's number in it."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("see /home/u"), n, F.lit("/"), n)).when(k == 1, F.concat(F.lit("C:\\Users\\u"), n, F.lit("\\d "), n)).when(k == 2, F.concat(F.lit("in /private/tmp/a"), n, F.lit("/b "), n)).otherwise(F.concat(F.lit("http://"), n, F.lit("/x")))
+    return table(spark, d, "pages").select("page_id", X.redact_machine_paths(text).alias("clean"))
 
 
 @query("sanitize_terminal", "select doc_id, sha256(replace(text, chr(9), '    ')) as clean from documents")
