@@ -11,7 +11,25 @@ from ..functions.url import identity
 
 #: Elements that never show, dropped with all they hold.
 HIDDEN = ("script", "style", "noscript", "template", "iframe", "object", "svg", "head")
-STATUS = {"complete": 1_000_000, "partial": 600_000, "auth-required": 200_000, "blocked": 100_000, "unsupported": 0}
+#: Statuses from the best to the worst, and what each is worth.
+STATUS = {"complete": 5_000, "partial": 2_000, "auth-required": -2_000, "blocked": -4_000, "unsupported": -5_000}
+#: What gates say, as patterns: signs of a block, of a rate limit, of a login and of a paywall; what only articles about such things say; what unfinished pages say.
+_HUMAN = "verify (?:that )?you are (?:a )?human"
+_LIMIT = "(?:429(?: too many requests)?|too many requests|rate limit(?:ed| exceeded)?)"
+_PAY = "(?:subscribe(?: now)? to (?:unlock (?:this|the) (?:article|story|content)|(?:keep|continue) reading)|create (?:an? |your )?account to (?:keep|continue) reading|register to (?:keep|continue) reading|sign up to (?:keep|continue) reading)"
+BLOCK_WORDS = rf"(?:{_HUMAN}|(?:complete|solve) (?:the )?captcha|\bcaptcha\b|access denied|request (?:has been )?blocked|unusual traffic|cloudflare ray id)"
+BLOCK_TITLE = rf"^(?:403(?: forbidden)?|access denied|request blocked|unusual traffic|{_HUMAN}|human verification|captcha|security (?:check|verification)|attention required|just a moment(?:\.{{3}})?|{_LIMIT})$"
+BLOCK_CONTEXT = r"(?:\b(?:please )?(?:verify|confirm) (?:that )?you are (?:a )?human\b|\b(?:complete|solve) (?:the )?captcha\b|\b(?:you (?:do not|don't) have permission|you have been blocked)\b|\b(?:your|this) (?:request|access|ip(?: address)?) (?:has been|was|is) blocked\b|\bunusual traffic from your (?:computer )?network\b|\bautomated (?:queries|requests)\b|\b(?:before proceeding|to continue),? (?:please )?(?:verify|complete|enable)\b|\bcloudflare ray id\b)"
+BLOCK_LINE = rf"(?:403(?: forbidden)?|access denied|request blocked|unusual traffic|{_HUMAN}|captcha|security (?:check|verification)|{_LIMIT})"
+LIMIT_WORDS = rf"\b{_LIMIT}\b"
+LIMIT_RETRY = r"\b(?:please )?(?:(?:try|retry) again(?: later| in \d+)|wait (?:a moment|before retrying)|respect the retry-after header)\b"
+ABOUT_BLOCKS = r"(?:\bhow to\b|\btroubleshoot(?:ing)?\b|\b(?:this|the) (?:article|guide|tutorial)\b|\blearn (?:how|why)\b)"
+LOGIN_WORDS = r"(?:\b(?:sign|log) in to (?:continue|read|view|see|access|comment|reply)\b|\blogin required\b|\bmembers? only\b|\bsubscriber-only\b|\bsubscribe to (?:continue|read)\b|\bthis content is private\b|\byou must be logged in\b)"
+PAY_WORDS, PAY_LINE, PAY_TITLE = rf"\b{_PAY}\b", _PAY, rf"^{_PAY}[.!]?$"
+ABOUT_PAYWALLS = r"\b(?:analy[sz](?:e|es|ed|ing)|discuss(?:es|ed|ing)?|examin(?:e|es|ed|ing)|quot(?:e|es|ed|ing)|stud(?:y|ies|ied|ying)|interface copy|wording|publishers? (?:sometimes )?(?:say|write|use))\b"
+SHELL_WORDS = "(?:enable javascript|javascript is disabled|something went wrong|try reloading)"
+#: The most characters and words of a page that is only a gate, the most words of one that a single line shows, and of one that asks for money.
+GATE_CHARS, GATE_WORDS, LINE_WORDS, PAY_MOST = 4_096, 160, 24, 48
 
 
 def title(html: Column) -> Column:
@@ -45,17 +63,43 @@ def html_text(html: Column) -> Column:
     return F.trim(steps(entities(steps(html, TEXT_STEPS)), TIDY_STEPS))
 
 
-def extract_status(text: Column, name: Column) -> Column:
-    """blocked, auth-required, unsupported, partial or complete, from what the text says and how long it is."""
-    words = count_words(text)
-    low = F.lower(F.concat_ws("\n", name, text))
-    return (
-        F.when((words < 120) & low.rlike(r"captcha|verify you are (?:a )?human|access denied|unusual traffic|enable javascript and cookies|checking your browser"), "blocked")
-        .when((words < 200) & low.rlike(r"(?:sign|log) in to (?:continue|read|view)|subscribe to (?:continue|read)|members only|create an account to"), "auth-required")
-        .when(words == 0, "unsupported")
-        .when(words < 30, "partial")
-        .otherwise("complete")
-    )
+def _says(text: Column, pattern: str) -> Column:
+    return text.rlike(f"(?i){pattern}")
+
+
+def _line(text: Column, pattern: str) -> Column:
+    """Whether a line is what the pattern says and nothing else, as a heading or not."""
+    return text.rlike(rf"(?i)(?:^|\n)[ \t]*(?:#{{1,6}}[ \t]+)?{pattern}[.!]?[ \t]*(?:\r?\n|$)")
+
+
+def access_gates(text: Column, name: Column) -> Column:
+    """A struct of ``blocked``, ``paywall`` and ``login``: what a page's text and title show of gates.
+
+    A block or a paywall is only believed of a small page, by a title or line that says nothing else, or by its words in their context; an article about such things is none.
+    """
+    body, title_ = F.coalesce(text, F.lit("")), F.trim(F.regexp_replace(F.substring(F.coalesce(name, F.lit("")), 1, 500), r"\s+", " "))
+    seen, words = F.concat(title_, F.lit("\n"), body), count_words(body)
+    small = (F.length(body) <= GATE_CHARS) & (words <= GATE_WORDS)
+    titled = _says(title_, BLOCK_TITLE)
+    limited = _says(body, LIMIT_WORDS) & _says(body, LIMIT_RETRY)
+    stated = (words <= LINE_WORDS) & _line(body, BLOCK_LINE)
+    meant = titled | limited | (_says(body, BLOCK_WORDS) & _says(body, BLOCK_CONTEXT))
+    asked = _says(title_, PAY_TITLE) | _line(body, PAY_LINE) | ((words <= PAY_MOST) & _says(seen, PAY_WORDS) & ~_says(seen, ABOUT_PAYWALLS))
+    return F.struct((small & ~_says(seen, ABOUT_BLOCKS) & (stated | meant)).alias("blocked"), (small & asked).alias("paywall"), _says(seen, LOGIN_WORDS).alias("login"))
+
+
+def extract_status(text: Column, name: Column, scope: Column | None = None, cut: Column | None = None) -> Column:
+    """blocked, auth-required, unsupported, partial or complete.
+
+    A gate on a short page is all there is of it; on a longer one what was captured is partial. So are threads and comments (``scope``), whose pages may go on unseen, and texts
+    that were cut or only rendered (``cut``). Pages of fewer than 40 characters, or short ones that ask for scripts, are unsupported. Nulls count as empty, or as false.
+    """
+    body = F.coalesce(text, F.lit(""))
+    gates = access_gates(text, name)
+    gated = gates["paywall"] | gates["login"]
+    shell = _says(F.concat(F.coalesce(name, F.lit("")), F.lit("\n"), body), SHELL_WORDS) & (F.length(body) < 500)
+    partial = gated | F.coalesce(F.lit(False) if cut is None else cut, F.lit(False)) | F.coalesce(F.lit(False) if scope is None else scope.isin("thread", "comments"), F.lit(False))
+    return F.when(gates["blocked"], "blocked").when(gated & (F.length(body) < 1_500), "auth-required").when(shell | (F.length(F.trim(body)) < 40), "unsupported").when(partial, "partial").otherwise("complete")
 
 
 def score_extraction(status: Column, text: Column, items: Column, images: Column, links: Column) -> Column:

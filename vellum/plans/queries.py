@@ -882,21 +882,32 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", C.title(F.col("html")).alias("title"))
 
 
-_STATUS = "case when words = 0 then 'unsupported' when words < 30 then 'partial' else 'complete' end"
+# What pages say in place of, or beside, their text: by the page's number, with the status that it should get.
+_GATES = [("", "", "case when length(trim(text)) < 40 then 'unsupported' else 'complete' end"), ("Just a moment...", "Wait.", "'blocked'"), ("", "429 Too Many Requests\nPlease try again later", "'blocked'"), ("", "+Sign in to continue", "case when length(text) + 20 < 1500 then 'auth-required' else 'partial' end"), ("", "Subscribe now to keep reading", "'auth-required'"), ("", "How to solve the captcha: this guide explains why access denied appears", "'complete'"), ("", "Please enable JavaScript to see this page", "'unsupported'"), ("", "Publishers write: subscribe to keep reading, and this is quoted", "'complete'")]
+_STATUS = "case page_id % 8 " + " ".join(f"when {i} then {status}" for i, (_, _, status) in enumerate(_GATES)) + " end"
+_SHOWN = "case page_id % 8 " + " ".join(f"when {i} then " + ("text" if not body else f"text || chr(10) || '{body[1:]}'" if body[0] == "+" else f"'{body}'") for i, (_, body, _) in enumerate(_GATES)) + " end"
 
 
 def _extracted(spark, d) -> DataFrame:
-    p = table(spark, d, "pages").withColumn("text", C.html_text(F.col("html"))).withColumn("name", C.title(F.col("html")))
+    p = table(spark, d, "pages").withColumn("own", C.html_text(F.col("html"))).withColumn("name", F.lit("a page"))
+    text, name = F.col("own"), F.col("name")
+    for i, (gate, body, _) in enumerate(_GATES):
+        here = F.col("page_id") % 8 == i
+        if body:
+            text = F.when(here, F.concat(F.col("own"), F.lit("\n" + body[1:])) if body[0] == "+" else F.lit(body)).otherwise(text)
+        if gate:
+            name = F.when(here, gate).otherwise(name)
     links = F.regexp_count("html", F.lit("(?i)<a[ >]")).cast("bigint")
-    return p.select("page_id", "text", C.extract_status(F.col("text"), F.col("name")).alias("status"), links.alias("links"))
+    p = p.select("page_id", text.alias("text"), name.alias("name"), links.alias("links"))
+    return p.select("page_id", "text", C.extract_status(F.col("text"), F.col("name")).alias("status"), "links")
 
 
-@query("extract_status", f"select page_id, {_STATUS} as status from (select page_id, {_PAGE_WORDS} as words from (select page_id, {_PAGE_TEXT} as text from pages))")
+@query("extract_status", f"select page_id, {_STATUS} as status from (select page_id, {_PAGE_TEXT} as text from pages)")
 def _(spark, d):
     return _extracted(spark, d).select("page_id", "status")
 
 
-_SCORED = f"sc as (select page_id, status, (case status when 'complete' then 1000000 when 'partial' then 600000 else 0 end) + least(length(text), 50000) + 5 * least(words, 10000) + 5 * links as score from (select *, {_STATUS} as status from (select *, {_PAGE_WORDS} as words from (select page_id, {_PAGE_TEXT} as text, len(regexp_extract_all(html, '(?i)<a[ >]')) as links from pages))))"
+_SCORED = f"sc as (select page_id, status, (case status when 'complete' then 5000 when 'partial' then 2000 when 'auth-required' then -2000 when 'blocked' then -4000 else -5000 end) + least(length(shown), 50000) + 5 * least({_PAGE_WORDS.replace('text', 'shown')}, 10000) + 5 * links as score from (select *, {_STATUS} as status, {_SHOWN} as shown from (select page_id, {_PAGE_TEXT} as text, len(regexp_extract_all(html, '(?i)<a[ >]')) as links from pages)))"
 
 
 @query("score_extraction", f"with {_SCORED} select page_id, score from sc")
@@ -905,7 +916,7 @@ def _(spark, d):
     return e.select("page_id", C.score_extraction(F.col("status"), F.col("text"), F.lit(0), F.lit(0), F.col("links")).cast("bigint").alias("score"))
 
 
-@query("choose_best_extraction", f"with {_SCORED}, c as (select page_id, 0 as \"at\", 'partial' as status, 600000 + page_id % 7 as score from pages union all select page_id, 1, status, score from sc union all select page_id, 2, status, score from sc) select page_id, \"at\", status, score from c qualify row_number() over (partition by page_id order by case status when 'complete' then 0 when 'partial' then 1 else 4 end, score desc, \"at\") = 1")
+@query("choose_best_extraction", f"with {_SCORED}, c as (select page_id, 0 as \"at\", 'partial' as status, 600000 + page_id % 7 as score from pages union all select page_id, 1, status, score from sc union all select page_id, 2, status, score from sc) select page_id, \"at\", status, score from c qualify row_number() over (partition by page_id order by case status when 'complete' then 0 when 'partial' then 1 when 'auth-required' then 2 when 'blocked' then 3 else 4 end, score desc, \"at\") = 1")
 def _(spark, d):
     e = _extracted(spark, d)
     scored = e.select("page_id", "status", C.score_extraction(F.col("status"), F.col("text"), F.lit(0), F.lit(0), F.col("links")).cast("bigint").alias("score"))
