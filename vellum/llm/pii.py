@@ -191,7 +191,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with the number of spans of each kind (``vellum_email`` and so on), ``vellum_base`` and ``vellum_spans``.
 
     The last two list ``kind:start:end`` by kind, then start, joined by commas: of the four base
-    kinds, and of all. A null or empty text has none. Each row stands for itself.
+    kinds, and of all. A null or empty text has none. Each row stands for itself. A text is read whole,
+    whatever its length; each anchor is parsed once a kind. Other columns are carried along, whatever their
+    names but those. An empty table gives no rows.
     """
 
     def make():

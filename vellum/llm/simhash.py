@@ -198,7 +198,9 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE,
 
     Texts are lower-cased in A-Z and cut at white space; a text of fewer words than a shingle is
     one shingle, and one without words (null too) has fingerprint zero, which links like any
-    other. A null ``doc_id`` gets a class and is never its smallest unless all are null.
+    other. A null ``doc_id`` gets a class and is never its smallest unless all are null. Repeated rows
+    are documents of their own, of one class. A text is fingerprinted whole, whatever its length; a task holds
+    its words' hashes. Other columns, whatever their names, are not looked at. An empty table gives no rows.
     """
     fp = materialize(fingerprints(pick(docs, "doc_id", "text"), size).drop("text"), "fingerprints")
     distinct = fp.groupBy(F.col("vellum_fp").alias("fp")).agg(F.min("doc_id").alias("low"))

@@ -64,7 +64,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, blocks: int = 2048, small_li
     text); of repeated rules with different verdicts ``allow`` wins. Where none fits, the rule is
     null and the verdict ``allow``. Null and empty URLs have an empty host and path; repeated
     pages are judged alike; an empty list allows every page. The list is sent to all executors
-    only if it has at most ``small_list`` rows, else it is joined by shuffle.
+    only if it has at most ``small_list`` rows, else it is joined by shuffle. A long URL has as many
+    possible entries as its host has labels and the list has lengths. Other columns of ``pages`` are carried along, whatever
+    their names but those above. An empty table gives no rows.
     """
     rules = rules.groupBy("host", "path").agg(F.min("verdict").alias("vellum_verdict"))
     rules = rules.select(F.xxhash64("host", "path").alias("h"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("vellum_rule"), "vellum_verdict")
