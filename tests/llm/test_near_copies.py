@@ -66,3 +66,30 @@ def test_large_groups_against_all_pairs(spark, monkeypatch, sample):
     for i, _ in rows:
         classes.setdefault(root.get(key[i], key[i]), i)
     assert sorted(classes.values()) == plain_kept(rows)
+
+
+def test_stage_links_by_fingerprints_first(spark, monkeypatch):
+    """The trie join gets five-word fingerprints and gives pairs within its budget; what it finds is not looked for again."""
+    seen = []
+
+    def watched(fps, budget=simhash.BUDGET, hot=simhash.HOT, near=False):
+        out = [(r.a, r.b) for r in real(fps, budget, hot, near).collect()]
+        seen.append(([r.fp for r in fps.collect()], out, budget))
+        return spark.createDataFrame(out, "a bigint, b bigint")
+
+    real = simhash.links
+    monkeypatch.setattr(simhash, "links", watched)
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == plain_kept(rows)
+    ((fps, pairs, budget),) = seen
+    plain = {simhash.fingerprint(t.encode(), 5) for _, t in rows}
+    assert {f & (2**64 - 1) for f in fps} == plain
+    assert pairs and all(bin((a ^ b) & (2**64 - 1)).count("1") <= budget for a, b in pairs)
+    again = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda texts, p: again.append(p.count()) or verified(texts, p))
+    near_copies.near_copies(docs, simhash.components).count()
+    near_copies.near_copies(docs, simhash.components, links=lambda f: real(f, simhash.NEAR, near=True)).count()
+    alone, first, rest = again
+    assert first >= len(pairs) and rest < alone

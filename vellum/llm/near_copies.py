@@ -1,5 +1,9 @@
 """Pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their classes.
 
+SimHash comes first: each text's fingerprint, the majority bits of its shingles' hashes, goes through the trie
+self-join, and the pairs within its budget of bits are verified on the shingles and make classes. Such texts may differ in more
+bits than any trie can search, so the pairs that are not in one class yet are then found by their shingles.
+
 No pair is missed: in any one order of all shingles, two sets of similarity t share one of their first
 n - ceil(t n) + 1 shingles (n is the size of each set). The order is by hash, with shingles of many texts
 last; only those first shingles are shuffled. Pairs that meet there are left out if their sizes or their parity
@@ -43,6 +47,12 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big")
+
+
 def _hashes(text: bytes) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     return np.unique(np.array([h(s, SEED) for s in shingles(text)], np.uint64).view(np.int64))
@@ -66,14 +76,15 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """key, n, prefix, bits of each distinct text."""
+    """key, n, prefix, bits, fp of each distinct text; ``fp`` is its fingerprint as a signed long."""
     last, much = _frequent(texts)
 
     def make():
         def of(batch):
-            sizes, out, bits = [], [], []
+            sizes, out, bits, fps = [], [], [], []
             for t in batch:
                 u = _hashes(t)
+                fps.append(majority(u.view(np.uint64)))
                 bits.append(np.packbits((np.bincount(u & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).tobytes())
                 if len(last):
                     at = np.minimum(np.searchsorted(last, u), len(last) - 1)
@@ -81,11 +92,11 @@ def _prefixes(texts: DataFrame) -> DataFrame:
                     u = np.concatenate((u[~often], u[often][np.argsort(much[at[often]], kind="stable")]))
                 sizes.append(len(u))
                 out.append(u[: len(u) - (4 * len(u) + 4) // 5 + 1])
-            return [sizes, _lists(out), bits]
+            return [sizes, _lists(out), bits, pa.array(np.array(fps, np.uint64).view(np.int64))]
 
         return of
 
-    return append(texts, make, {"n": "int", "prefix": "array<bigint>", "bits": "binary"}).drop("text").dropDuplicates(["key"])
+    return append(texts, make, {"n": "int", "prefix": "array<bigint>", "bits": "binary", "fp": "bigint"}).drop("text").dropDuplicates(["key"])
 
 
 def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -208,33 +219,56 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         return materialize(flat_map(both, make, {"a": "binary", "b": "binary"}), "similar")
 
 
-def near_copies(docs: DataFrame, components, small: int = SMALL) -> DataFrame:
+def _by_fingerprint(texts: DataFrame, prefixes: DataFrame, links) -> DataFrame:
+    """a, b (keys): similar texts among those of one fingerprint and those whose fingerprints ``links`` joins."""
+    low = materialize(prefixes.groupBy("fp").agg(F.min("k").alias("low")), "fingerprints")
+    same = prefixes.join(low, "fp").select(F.col("k").alias("a"), F.col("low").alias("b"))
+    ends = links(low.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"})
+    near = ends.join(low.select(F.col("fp").alias("fa"), F.col("low").alias("a")), "fa").join(low.select(F.col("fp").alias("fb"), F.col("low").alias("b")), "fb").select("a", "b")
+    return _verified(texts, materialize(_ordered(same.unionByName(near)), "near"))
+
+
+def near_copies(docs: DataFrame, components, small: int = SMALL, links=None) -> DataFrame:
     """key, root: the class of each text that is similar to another one; ``key`` is that of ``keyed``.
 
-    ``components`` turns links (a, b) into (v, root).
+    ``components`` turns links (a, b) into (v, root). ``links`` is the trie self-join of distinct fingerprints (fp), which
+    gives pairs (a, b) of them; without it all pairs are found by their shingles. The classes are the same.
     """
     texts = keyed(docs).select("key", "text")
     prefixes = materialize(_prefixes(texts).withColumn("k", F.xxhash64("key")), "prefixes")
     met = materialize(_meet(prefixes, small), "meet")
-    sketches = prefixes.select(F.col("k").alias("a"), "n", F.col("bits").alias("x")).dropDuplicates(["a"])
-    others = sketches.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("x").alias("y"))
-    tested = _close(_ordered(met.filter("NOT many").select("a", "b")).join(sketches, "a").join(others, "b"))
+    sketches = prefixes.select(F.col("k").alias("a"), "n", F.col("bits").alias("x"), F.col("k").alias("root")).dropDuplicates(["a"])
+    near = None
+    if links is not None:
+        near = _by_fingerprint(texts, prefixes, links)
+        sketches = sketches.drop("root").join(_roots(components(near)), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    sketches = materialize(sketches, "sketches")
+    others = sketches.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("x").alias("y"), F.col("root").alias("other"))
+    tested = _close(_ordered(met.filter("NOT many").select("a", "b")).join(sketches, "a").join(others, "b").filter("root <> other"))
     many = met.filter("many").select("h", "a").distinct().join(sketches, "a")
     if many.isEmpty():
-        return components(_verified(texts, materialize(tested, "pairs"))).select(F.col("v").alias("key"), "root")
+        return components(_with(near, _verified(texts, materialize(tested, "pairs")))).select(F.col("v").alias("key"), "root")
     many = materialize(many, "many")
     for i in range(LEADERS):
-        leader = many.groupBy("h").agg(F.min_by(F.struct(F.col("a").alias("b"), F.col("n").alias("m"), F.col("x").alias("y")), F.xxhash64("a", F.lit(i))).alias("l")).select("h", "l.*")
-        tested = tested.unionByName(_close(many.join(leader, "h")))
+        leader = many.groupBy("h").agg(F.min_by(F.struct(F.col("a").alias("b"), F.col("n").alias("m"), F.col("x").alias("y"), F.col("root").alias("other")), F.xxhash64("a", F.lit(i))).alias("l")).select("h", "l.*")
+        tested = tested.unionByName(_close(many.join(leader, "h").filter("root <> other")))
     tested = materialize(_ordered(tested), "pairs")
-    near = _verified(texts, tested)
-    roots = components(near).select(F.xxhash64("v").alias("a"), F.xxhash64("root").alias("root"))
+    near = _with(near, _verified(texts, tested))
     with arrow_batches(texts.sparkSession, 8):
-        rest = materialize(_across(many.join(roots, "a", "left").select("h", "a", "n", "x", F.coalesce("root", "a").alias("root"))), "across")
+        rest = materialize(_across(many.drop("root").join(_roots(components(near)), "a", "left").select("h", "a", "n", "x", F.coalesce("root", "a").alias("root"))), "across")
     rest = materialize(_ordered(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
     return components(near.unionByName(_verified(texts, rest))).select(F.col("v").alias("key"), "root")
 
 
+def _with(near: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if near is None else near.unionByName(more)
+
+
+def _roots(classes: DataFrame) -> DataFrame:
+    """a, root: short keys of texts and of their classes."""
+    return classes.select(F.xxhash64("v").alias("a"), F.xxhash64("root").alias("root"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, key: 16 bytes of digest, the same for copies; null texts are empty."""
     return pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.unhex(F.md5("text")))

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append, flat_map, materialize, pick, table
-from .near_copies import keyed, near_copies
+from .near_copies import keyed, majority, near_copies
 
 SHINGLE, SEED, BUDGET, HOT = 3, 42, 2, 200_000
+#: Bits in which the fingerprints of near copies (five-word shingles) may differ in the trie join of the pipeline's stage.
+NEAR = 3
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -39,9 +41,7 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         starts = [0, *(e + 1 for e in ends[: len(words) - size])]
         shingles = [line[a:b] for a, b in zip(starts, ends[size - 1 :], strict=True)]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(s, SEED) for s in shingles], dtype=">u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big")
+    return majority(np.array([h(s, SEED) for s in shingles], np.uint64))
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -110,14 +110,14 @@ def trie_pairs(values: np.ndarray, roots: list[tuple[int, int]], depth: int, bud
         stack.append((d + 1, al[go], ah[go], bl[go], bh[go], err[go]))
 
 
-def _stars(values: np.ndarray, fps: np.ndarray, top: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars (member, smallest member) of the clusters among fingerprints in one order of bits."""
+def _stars(values: np.ndarray, fps: np.ndarray, top: int, budget: int, near: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars (member, smallest member) of the clusters among fingerprints in one order of bits; with ``near`` spanning trees of pairs within the budget."""
     order = np.argsort(values, kind="stable")
     values, fps = values[order], fps[order]
     block = values >> np.uint64(64 - top)
     cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
     roots = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-    label = np.arange(len(values))
+    label, trees = np.arange(len(values)), []
 
     def root(i):
         while label[i] != i:
@@ -127,16 +127,20 @@ def _stars(values: np.ndarray, fps: np.ndarray, top: int, budget: int) -> tuple[
 
     for x, y in trie_pairs(values, roots, top, budget):
         for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            i, j = root(i), root(j)
-            if i != j:
-                label[max(i, j)] = min(i, j)
+            a, b = root(i), root(j)
+            if a != b:
+                label[max(a, b)] = min(a, b)
+                trees.append((i, j))
+    if near:
+        x, y = np.array(trees, np.int64).reshape(-1, 2).T
+        return fps[x], fps[y]
     final = np.array([root(i) for i in range(len(label))], np.int64)
     moved = final != np.arange(len(label))
     return fps[moved], fps[final[moved]]
 
 
-def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """(a, b): links that span the same components as all pairs of distinct ``fp`` within ``budget`` bits."""
+def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, near: bool = False) -> DataFrame:
+    """(a, b): links that span the same components as all pairs of distinct ``fp`` within ``budget`` bits; with ``near`` each link is such a pair."""
     blocks = _offsets(64, budget + 1)
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("way"), F.lit(w).alias("top"), _rotate(F.col("fp"), 64, o).alias("value")) for i, (o, w) in enumerate(blocks)))).alias("k")).select("fp", "k.*")
     keyed = keyed.withColumn("block", F.expr("shiftrightunsigned(value, 64 - top)"))
@@ -163,7 +167,7 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
                 return [[], []]
             t = pa.Table.from_batches(held)
             fp, way, top, value = (t.column(i).to_numpy() for i in range(4))
-            out = [_stars(value[way == k].view(np.uint64), fp[way == k], int(top[way == k][0]), budget) for k in np.unique(way)]
+            out = [_stars(value[way == k].view(np.uint64), fp[way == k], int(top[way == k][0]), budget, near) for k in np.unique(way)]
             return [pa.array(np.concatenate([o[i] for o in out])) for i in range(2)]
 
         return of
@@ -221,13 +225,13 @@ def query(spark, sf_dir) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest ``doc_id``.
 
-    A class is what pairs of a five-word Jaccard similarity of 0.8 or more connect. Such texts differ in
-    about ten bits of a fingerprint, where the trie would compare almost all pairs, so
-    ``near_copies`` finds them by their shingles.
+    A class is what pairs of a five-word Jaccard similarity of 0.8 or more connect. Pairs whose five-word fingerprints
+    differ in at most ``NEAR`` bits come from the trie join and are verified on the shingles. Pairs at 0.8 differ in
+    about ten bits, where the trie would compare almost all pairs, so ``near_copies`` finds the rest by their shingles.
     Rows without ``doc_id`` stay; of rows that repeat a ``doc_id`` all stay or none does.
     """
     ids = keyed(docs).select("doc_id", "key")
-    roots = near_copies(docs, components)
+    roots = near_copies(docs, components, links=lambda fps: links(fps, NEAR, near=True))
     classed = materialize(ids.join(roots, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root")), "classes")
     low = classed.groupBy("root").agg(F.min("doc_id").alias("low"))
     dup = classed.join(low, "root").filter("doc_id <> low").select("doc_id").distinct()
