@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -89,14 +90,26 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def give_back() -> None:
+    """At a task's end, memory that Arrow and the C library hold free goes back to the system: a worker stays beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_arrays(columns: list[list], types: list[str]) -> list[pa.Array]:
     return [pa.array(c, type=_ARROW[t]) for c, t in zip(columns, types, strict=True)]
 
 
+#: Bytes of text that a function gets at once, or one longer text.
+PART = 4 << 20
+
+
 def append(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fields: dict[str, str], text: str = "text") -> DataFrame:
-    """Add columns that a function computes from whole texts, one Arrow batch at a time.
+    """Add columns that a function computes from whole texts, some ``PART`` bytes of them at a time.
 
-    ``make`` runs once a task and returns the function, which takes the batch's texts
+    ``make`` runs once a task and returns the function, which takes the texts
     as UTF-8 and returns one list or Arrow array for each new column.
     """
     at = df.columns.index(text)
@@ -106,13 +119,15 @@ def append(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fie
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            new = [c if isinstance(c, pa.Array) else pa.array(c, type=_ARROW[t]) for c, t in zip(compute(utf8(batch.column(at))), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+            for part in split(batch, at, PART):
+                new = [c if isinstance(c, pa.Array) else pa.array(c, type=_ARROW[t]) for c, t in zip(compute(utf8(part.column(at))), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def split(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+def split(batch: pa.RecordBatch, column: str | int, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have at most ``size`` bytes together, or one longer text."""
     ends = np.cumsum([0, *pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()])
     low = 0
@@ -142,6 +157,8 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]]
                 yield out(part)
         if last:
             yield out(None)
+        del compute
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, arrow_batches, flat_map, materialize, pick, table, utf8
+from .common import PART, append, arrow_batches, flat_map, give_back, materialize, pick, split, table, utf8
 
 WINDOW, GRAM = 200, 32
 HOT, FILTER_LOG2 = 4_000, 26
@@ -443,21 +443,26 @@ def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     at, columns = docs.columns.index("text"), docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("vellum_bytes", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("vellum_length", "vellum_removed", "vellum_runs"))])
 
+    def of(batch):
+        left, length, removed, runs = [], [], [], []
+        starts, ends = (batch.column(len(columns) + i) for i in range(2))
+        for i, t in enumerate(utf8(batch.column(at))):
+            spans = spans_of(len(t), starts[i].values.to_numpy(), ends[i].values.to_numpy()) if starts[i].is_valid else []
+            kept, here = [], 0
+            for a, b in spans:
+                kept.append(t[here:a])
+                here = b
+            left.append(b"".join([*kept, t[here:]]))
+            length.append(len(t))
+            removed.append(len(t) - len(left[-1]))
+            runs.append(len(spans))
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(left, pa.binary()), *(pa.array(x, pa.int64()) for x in (length, removed, runs))], names=schema.names)
+
     def run(batches):
         for batch in batches:
-            left, length, removed, runs = [], [], [], []
-            starts, ends = (batch.column(len(columns) + i) for i in range(2))
-            for i, t in enumerate(utf8(batch.column(at))):
-                spans = spans_of(len(t), starts[i].values.to_numpy(), ends[i].values.to_numpy()) if starts[i].is_valid else []
-                kept, here = [], 0
-                for a, b in spans:
-                    kept.append(t[here:a])
-                    here = b
-                left.append(b"".join([*kept, t[here:]]))
-                length.append(len(t))
-                removed.append(len(t) - len(left[-1]))
-                runs.append(len(spans))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(left, pa.binary()), *(pa.array(x, pa.int64()) for x in (length, removed, runs))], names=schema.names)
+            for part in split(batch, at, PART):
+                yield of(part)
+        give_back()
 
     return touched.select(*columns, "vellum_starts", "vellum_ends").unionByName(rest.select(*columns, "vellum_starts", "vellum_ends")).mapInArrow(run, schema)
 
