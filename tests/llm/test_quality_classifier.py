@@ -73,3 +73,12 @@ def test_no_labels_and_no_documents(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert [r.vellum_score for r in Q.classify(docs, labels).collect()] == [0.5]
     assert Q.classify(docs.limit(0), labels).count() == 0
+
+
+def test_words_kept_by_a_worker_are_bounded():
+    from vellum.llm import quality_classifier
+
+    quality_classifier._SLOTS.clear()
+    quality_classifier.features(" ".join(f"w{i}" for i in range(150_000)).encode())
+    assert 0 < len(quality_classifier._SLOTS) <= quality_classifier.KEPT == 100_000
+    quality_classifier._SLOTS.clear()

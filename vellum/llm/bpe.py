@@ -40,10 +40,12 @@ from .common import flat_map, give_back, materialize, pick, table
 LONG = 512
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 1_000_000
-#: Frequent words are counted in one text of so many, and at most so many (some 30 bytes each) go to each task.
+#: Frequent words are counted in one text of so many, and at most so many (some 60 bytes each) go to each task.
 SAMPLE, CACHED = 16, 400_000
 #: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
 MOST_RANKS = 200_000
+#: Longest description of a plan.
+PLAN_CHARS = 100_000
 _NONE = 1 << 20
 #: Stands at both ends of a word in place of a byte.
 END = 256
@@ -239,7 +241,7 @@ class Folded:
 
 def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cached: int = CACHED) -> pa.Table:
     """word, ids, piece: at most ``cached`` words outside the vocabulary, the most frequent in one text of ``sample``, folded."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    shared = docs.sparkSession.sparkContext.broadcast(rank_map(path).ranks)
 
     def make():
         find, ranks = words_of(pattern), shared.value
@@ -270,8 +272,12 @@ def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cac
 
 def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_chars: int):
     """One row for each block of texts: rows (what ``keep`` names), texts (numbers of words), at (their places among the known), ids of the others; and the broadcast of what the known give."""
-    ranks, often, send = read_ranks(path), frequent(docs, path, pattern), docs.sparkSession.sparkContext.broadcast
+    # The driver keeps descriptions of plans, in which the literals take millions of characters.
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
+    ranks, often, send = rank_map(path).ranks, frequent(docs, path, pattern), docs.sparkSession.sparkContext.broadcast
     shared, given = send((ranks, Known(ranks, often))), send(Folded(ranks, often))
+    del often
+    give_back()
     at = [docs.columns.index(n) for n in keep]
     text = docs.columns.index("text")
     row = T.StructType([T.StructField(f"c{i}", docs.schema[k].dataType) for i, k in enumerate(at)])

@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, pick, table, utf8
+from .common import PART, append, give_back, pick, split, table, utf8
 
 WORDS, SHAPES, LINES = 768, 224, 32
 DIM = WORDS + SHAPES + LINES
 FIT_ROWS, RANK, NEIGHBOURS, POWER = 4096, 48, 25, 16
-#: Documents multiplied at once: 512 x 4,096 cosines are 8 MB.
-BLOCK = 128
+#: Documents multiplied at once: 128 x 4,096 cosines are 4 MB. Words whose features a worker keeps, some 250 bytes each.
+BLOCK, KEPT = 128, 100_000
 
 _CLASS = bytes(ord("a") if 97 <= c <= 122 or c >= 128 else ord("A") if 65 <= c <= 90 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
@@ -41,7 +41,7 @@ def _slots(word: bytes) -> tuple[int, int]:
     if found is None:
         shape = _RUN.sub(rb"\1", word.translate(_CLASS))
         found = xxhash.xxh32_intdigest(word.lower()) % WORDS, WORDS + xxhash.xxh32_intdigest(shape) % SHAPES
-        if len(_SLOTS) >= 400_000:
+        if len(_SLOTS) >= KEPT:
             _SLOTS.clear()
         if len(word) <= 48:
             _SLOTS[word] = found
@@ -123,7 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Neighbo
     rows = append(texts, make, {"vellum_x": "binary"}).groupBy("doc_id", "vellum_label").agg(F.min("vellum_x").alias("vellum_x")).collect()
     rows.sort(key=lambda r: r.doc_id)
     x = np.array([np.frombuffer(r.vellum_x, np.float32) for r in rows]).reshape(-1, DIM)
-    return Neighbours(x, np.array([r.vellum_label for r in rows], float))
+    model = Neighbours(x, np.array([r.vellum_label for r in rows], float))
+    del rows, x
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -156,6 +159,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_scores(shared.value, utf8(batch.column(at))) >= 0.5))
+            for part in split(batch, at, PART):
+                yield part.filter(pa.array(_scores(shared.value, utf8(part.column(at))) >= 0.5))
+        _SLOTS.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
