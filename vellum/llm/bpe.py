@@ -41,7 +41,7 @@ LONG = 512
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 1_000_000
 #: Frequent words are counted in one text of so many, and at most so many (some 60 bytes each) go to each task.
-SAMPLE, CACHED = 16, 400_000
+SAMPLE, CACHED = 4, 400_000
 #: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
 MOST_RANKS = 200_000
 #: Longest description of a plan.
