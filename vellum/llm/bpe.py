@@ -44,8 +44,6 @@ BLOCK_CHARS = 1_000_000
 SAMPLE, CACHED = 4, 400_000
 #: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
 MOST_RANKS = 200_000
-#: Longest description of a plan.
-PLAN_CHARS = 100_000
 _NONE = 1 << 20
 #: Stands at both ends of a word in place of a byte.
 END = 256
@@ -272,8 +270,6 @@ def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cac
 
 def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_chars: int):
     """One row for each block of texts: rows (what ``keep`` names), texts (numbers of words), at (their places among the known), ids of the others; and the broadcast of what the known give."""
-    # The driver keeps descriptions of plans, in which the literals take millions of characters.
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
     ranks, often, send = rank_map(path).ranks, frequent(docs, path, pattern), docs.sparkSession.sparkContext.broadcast
     shared, given = send((ranks, Known(ranks, often))), send(Folded(ranks, often))
     del often
