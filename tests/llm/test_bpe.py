@@ -1,10 +1,13 @@
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vellum.llm import bpe
 
@@ -76,3 +79,40 @@ def test_long_words_fold_alike(text):
             break
         parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
     assert bpe.fold_long(word, ranks) == [ranks[p] for p in parts]
+
+
+def test_a_task_folds_a_word_once(spark, monkeypatch, reference):
+    """Blocks of one task send each word to the fold once; forgetting what was sent changes nothing but the work."""
+    monkeypatch.setattr(bpe, "frequent", lambda *a, **k: pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32())), "piece": pa.array([], pa.binary())}))
+    texts = [f"zqxvk wkjqz zqxvk qqjx{i % 3}zz own{i}kqzx" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    blocks = bpe._blocks(docs, ["doc_id"], PATH, P.PATTERN, 200)[0].select("texts", F.size("ids").alias("n")).collect()
+    distinct = {w for t in texts for w in bpe.words_of(P.PATTERN)(t) if w.encode() not in bpe.read_ranks(PATH)}
+    assert len(blocks) > 5 and sum(b.n for b in blocks) == len(distinct)
+    want = [(i, reference.encode_ordinary(t)) for i, t in enumerate(texts)]
+    for memo in (bpe.MEMO, 10):
+        monkeypatch.setattr(bpe, "MEMO", memo)
+        numbering = bpe.Numbering(bpe.Held(pa.array([b"a"])), {})
+        assert [numbering.of([t], str.split)[1] for t in ("b c d e f g h i j k l m", "b n", "b n")] == [False, memo == 10, False]
+        assert sorted((r.doc_id, r.vellum_ids) for r in bpe.encode(docs, PATH, P.PATTERN, block_chars=200).collect()) == want
+
+
+def test_pretokenizers_agree():
+    exact = regex.compile(P.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+    find, low = bpe.words_of(P.PATTERN), "".join(map(chr, range(0x10000)))
+    assert bpe._for_re(P.PATTERN) is not None
+    for text in (low, low[::-1], "".join(f"{c} {c}{c}  a" for c in low), "it's \U0001f926 \U00020000x \U0001d7d8\n\n x", *(t or "" for t in TEXTS)):
+        assert find(text) == exact(text)
+    for other in (r"(?i:'s)|\p{L}+", r"[^\S]+", r"\P{L}+", r"(a)\p{L}", r"\X"):
+        assert bpe._for_re(other) is None
+
+
+def test_frequent_words_fold_in_a_plan_without_exchange(spark, monkeypatch):
+    """Adaptive execution would describe the plan, whose literals are megabytes, anew to the driver at each stage."""
+    plans, kind = [], type(spark.range(1))
+    run = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or run(df))
+    docs = spark.createDataFrame([(i, f"zqxvk wkjqz zqxvk {i}") for i in range(40)], "doc_id bigint, text string")
+    often = bpe.frequent(docs, PATH, P.PATTERN)
+    assert b"zqxvk" in {w.strip() for w in often["word"].to_pylist()}
+    assert len(plans) == 1 and "aggregate(" in plans[0] and "Exchange" not in plans[0]

@@ -12,7 +12,8 @@
 
 A block never leaves its task: bringing each word together over all blocks, and its ids back, would
 shuffle more than the input. Words that are frequent in one text of ``SAMPLE`` are folded first, once for
-all, and at most ``CACHED`` of them are sent to the tasks; a block folds its other words. The sample changes the
+all, and at most ``CACHED`` of them are sent to the tasks; a block folds those of its other words that no earlier block of its
+task had (:class:`Numbering`, :class:`Task`: blocks stay in order between the two Arrow steps). The sample changes the
 work, not the ids. Words over ``LONG`` bytes, whose fold takes time by the square of their
 length, are merged with a heap instead; the ids are the same.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -42,6 +44,8 @@ LONG = 512
 BLOCK_CHARS = 1_000_000
 #: Frequent words are counted in one text of so many, and at most so many (some 60 bytes each) go to each task.
 SAMPLE, CACHED = 4, 400_000
+#: A task forgets the words that it has sent to be folded when they are more than so many (some 100 bytes each in its workers).
+MEMO = 400_000
 #: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
 MOST_RANKS = 200_000
 _NONE = 1 << 20
@@ -59,9 +63,40 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+@lru_cache(maxsize=8)
 def words_of(pattern: str):
-    """The pretokenizer, with white space as Unicode's property (some engines add control characters)."""
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+    """The pretokenizer, with white space as Unicode's property (some engines add control characters).
+
+    Texts without characters beyond U+FFFF are cut by Python's ``re``, in half the time, if the pattern can be written for it.
+    """
+    exact = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+    written = _for_re(pattern)
+    if written is None:
+        return exact
+    quick = re.compile(written).findall
+
+    def find(text: str) -> list[str]:
+        return quick(text) if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else exact(text)
+
+    return find
+
+
+def _for_re(pattern: str) -> str | None:
+    """The pattern with its properties as ranges up to U+FFFF, as ``regex`` knows them; None if it has more than properties, sets, white space, plain groups and look-ahead."""
+    low, out, inside = "".join(map(chr, range(0x10000))), [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|\[\^?|\]|\(\??[^\s]?|.", pattern, re.DOTALL):
+        if part.startswith(r"\p") or part in (r"\s", r"\S"):
+            if len(part) == 2 and part[1] == "p" or part == r"\S" and inside:
+                return None
+            runs = regex.finditer(part.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\p{White_Space}") + "+", low)
+            ranges = "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in runs)
+            part = ranges if inside else f"[^{ranges}]" if part == r"\S" else f"[{ranges}]"
+        elif part[0] == "\\" and part not in (r"\r", r"\n", r"\t") or part[0] == "(" and part not in ("(?:", "(?!", "(?=") or part == "[" and inside:
+            return None
+        elif part in ("[", "[^", "]"):
+            inside = part != "]"
+        out.append(part)
+    return "".join(out)
 
 
 class RankMap:
@@ -117,23 +152,25 @@ class RankMap:
         self.slots[at], self.shifts[group[one]] = entry[one], (at - home[one]) % self.size
         return True
 
-    def rank(self, a: str, b: str) -> str:
-        """SQL for the rank of a pair of ids; 2**20 or more where it has none. The literal is bound to ``t``."""
-        key = f"({a} * {self.factor}L + {b})"
+    def rank(self, key: str) -> str:
+        """SQL for the rank of the pair of a key; 2**20 or more where it has none. The literal is bound to ``t``."""
         return f"(get(t.slots, cast(({key} + get(t.shifts, cast({key} % {self.groups}L as int))) & {self.size - 1}L as int)) ^ shiftleft({key}, 20))"
 
     def ids(self, words: str) -> str:
         """SQL for the ids of each of ``words``: arrays of bytes with the mark ``END`` at both ends.
 
-        The fold's state holds the word's ids between marks, the ranks of adjacent pairs, the lowest rank
-        and its place. One step finds the lowest rank, the next merges that pair, whose id is that rank.
+        The fold's state holds an entry for each of the word's ids, marks included, and the lowest entry and its place. An
+        entry is the rank of the pair that begins there, where it begins in the word, and the id, so that the lowest
+        one is the leftmost of the lowest rank. One step finds it, the next merges that pair, whose id is that rank.
         """
-        zero = "named_struct('x', transform(w, b -> get(t.bytes, b)), 'r', transform(slice(w, 1, size(w) - 1), (b, i) -> get(t.first, b * 257 + get(w, i + 1))), 'm', 0L, 'p', 0)"
-        found = "named_struct('x', s.x, 'r', s.r, 'm', array_min(s.r), 'p', cast(array_position(s.r, array_min(s.r)) as int))"
-        ids = "concat(slice(s.x, 1, s.p - 1), array(s.m), slice(s.x, s.p + 2, size(s.x)))"
-        pairs = f"concat(slice(s.r, 1, s.p - 2), array({self.rank('get(s.x, s.p - 2)', 's.m')}, {self.rank('s.m', 'get(s.x, s.p + 1)')}), slice(s.r, s.p + 2, size(s.r)))"
-        step = f"if(s.m >= {_NONE}L, s, if(s.p = 0, {found}, named_struct('x', {ids}, 'r', {pairs}, 'm', 0L, 'p', 0)))"
-        fold = f"aggregate(sequence(1, 2 * size(w)), {zero}, (s, i) -> {step}, s -> cast(slice(s.x, 2, size(s.x) - 2) as array<int>))"
+        zero = f"named_struct('e', transform(w, (b, i) -> shiftleft(coalesce(get(t.first, b * 257 + get(w, i + 1)), {_NONE}L), 30) | shiftleft(i, 20) | get(t.bytes, b)), 'm', 0L, 'p', 0)"
+        found = "named_struct('e', s.e, 'm', array_min(s.e), 'p', cast(array_position(s.e, array_min(s.e)) as int))"
+        keys = f"array((get(s.e, s.p - 2) & {_NONE - 1}L) * {self.factor}L + shiftright(s.m, 30), shiftright(s.m, 30) * {self.factor}L + (get(s.e, s.p + 1) & {_NONE - 1}L))"
+        rests = f"array(get(s.e, s.p - 2) & {(1 << 30) - 1}L, s.m & {1023 << 20}L | shiftright(s.m, 30))"
+        pairs = f"zip_with({keys}, {rests}, (k, l) -> shiftleft(least({self.rank('k')}, {_NONE}L), 30) | l)"
+        merged = f"named_struct('e', concat(slice(s.e, 1, s.p - 2), {pairs}, slice(s.e, s.p + 2, size(s.e))), 'm', 0L, 'p', 0)"
+        step = f"if(s.m >= {_NONE << 30}L, s, if(s.p = 0, {found}, {merged}))"
+        fold = f"aggregate(sequence(1, 2 * size(w)), {zero}, (s, i) -> {step}, s -> transform(slice(s.e, 2, size(s.e) - 2), v -> cast(v & {_NONE - 1}L as int)))"
         literal = ", ".join("'{}', cast(split('{}', ',') as array<bigint>)".format(n, ",".join(map(str, x))) for n, x in (("slots", self.slots), ("shifts", self.shifts), ("bytes", self.bytes), ("first", self.first)))
         return f"transform(array(named_struct({literal})), t -> transform({words}, w -> {fold}))[0]"
 
@@ -183,44 +220,80 @@ def _sizes(lists) -> list[int]:
     return [len(x) for x in lists]
 
 
-class Known:
-    """Words whose ids and decoded bytes need no fold in a block: those of the vocabulary, and the frequent ones. :class:`Folded` has what they give."""
+class Held:
+    """Words in order, each found by its hash and told by its bytes; besides the bytes some 12 a word."""
 
-    def __init__(self, ranks: dict[bytes, int], frequent: pa.Table):
-        self.words = pa.concat_arrays([pa.array(list(ranks), pa.binary()), *frequent["word"].cast(pa.binary()).chunks])
+    def __init__(self, words: pa.Array):
+        self.words = words
 
     @cached_property
     def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the known words in order, and each one's place; built once a worker, some 12 bytes a word."""
-        hashes = np.fromiter(map(hash, self.words.to_pylist()), np.int64, len(self.words))
+        """The hashes of the words in order, and each one's place; built where they are looked up, as hashes differ by process."""
+        hashes = self.hashes(self.words.to_pylist())
         order = np.argsort(hashes).astype(np.int32)
         return hashes[order], order
 
-    def find(self, words: pa.Array, listed: list[bytes]) -> np.ndarray:
-        """Each word's place among the known ones; -1 where it is none of them, by its bytes."""
+    @staticmethod
+    def hashes(listed: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(hash, listed), np.int64, len(listed))
+
+    def find(self, words: pa.Array, hashed: np.ndarray) -> np.ndarray:
+        """Each word's place; -1 where it is not held."""
         hashes, order = self.places
-        low = np.searchsorted(hashes, np.fromiter(map(hash, listed), np.int64, len(listed)))
-        found = order[np.minimum(low, len(order) - 1)]
+        if not len(order):
+            return np.full(len(words), -1, np.int32)
+        found = order[np.minimum(np.searchsorted(hashes, hashed), len(order) - 1)]
         same = pc.equal(self.words.take(pa.array(found)), words).to_numpy(zero_copy_only=False)
         return np.where(same, found, -1).astype(np.int32)
 
-    def number(self, texts: list[str], find, ranks: dict[bytes, int]) -> list[pa.Array]:
-        """Of some texts: each as numbers of its words, each word's place among the known ones (-1: none), the other words' bytes between marks, the ids of those too long to fold."""
+    def add(self, words: pa.Array, hashed: np.ndarray) -> None:
+        hashes, order = self.places
+        by = np.argsort(hashed)
+        at = np.searchsorted(hashes, hashed[by])
+        self.places = np.insert(hashes, at, hashed[by]), np.insert(order, at, (len(order) + by).astype(np.int32))
+        self.words = pa.concat_arrays([self.words, words])
+
+
+def known_words(ranks: dict[bytes, int], frequent: pa.Table) -> Held:
+    """Words whose ids and decoded bytes need no fold in a block: those of the vocabulary, and the frequent ones. :class:`Folded` has what they give."""
+    return Held(pa.concat_arrays([pa.array(list(ranks), pa.binary()), *frequent["word"].cast(pa.binary()).chunks]))
+
+
+class Numbering:
+    """Numbers the words of a task's blocks: known ones by their place, the others, from there on, as they come; each goes out once a task, or once again after ``MEMO`` others."""
+
+    def __init__(self, known: Held, ranks: dict[bytes, int]):
+        self.known, self.ranks = known, ranks
+        self.sent = Held(pa.array([], pa.binary()))
+
+    def of(self, texts: list[str], find) -> tuple[list[pa.Array], bool]:
+        """Of some texts: each as numbers of its distinct words, those words' numbers in the task, the new words' bytes between marks, the ids of those too long to fold. And whether the task's words are numbered anew."""
+        anew = len(self.sent.words) > MEMO
+        if anew:
+            self.sent = Held(pa.array([], pa.binary()))
         found = [pa.array(find(t), pa.string()) for t in texts]
         flat = pa.concat_arrays(found).dictionary_encode()
         numbers = pa.ListArray.from_arrays(_offsets(_sizes(found)), flat.indices)
         words = flat.dictionary.cast(pa.binary())
-        listed = words.to_pylist()
-        at = self.find(words, listed)
-        left = [listed[i] for i in np.flatnonzero(at < 0)]
-        long = [fold_long(w, ranks) if len(w) > LONG else [] for w in left]
+        hashed = Held.hashes(words.to_pylist())
+        at = self.known.find(words, hashed)
+        other = np.flatnonzero(at < 0)
+        rest, hashed = words.take(pa.array(other)), hashed[other]
+        place = self.sent.find(rest, hashed)
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.sent.words) + np.arange(len(new))
+        at[other] = len(self.known.words) + place
+        fresh = rest.take(pa.array(new))
+        self.sent.add(fresh, hashed[new])
+        left = fresh.to_pylist()
+        long = [fold_long(w, self.ranks) if len(w) > LONG else [] for w in left]
         short = [b"" if i else w for w, i in zip(left, long, strict=True)]
         ends = np.cumsum([0, *(len(w) + 2 for w in short)])
         data = np.full(ends[-1], END, np.int16)
         inside = np.ones(len(data), bool)
         inside[ends[:-1][: len(left)]] = inside[ends[1:] - 1] = False
         data[inside] = np.frombuffer(b"".join(short), np.uint8)
-        return [numbers, pa.array(at), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data)), pa.array(long, pa.list_(pa.int32()))]
+        return [numbers, pa.array(at), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data)), pa.array(long, pa.list_(pa.int32()))], anew
 
 
 class Folded:
@@ -230,11 +303,22 @@ class Folded:
         self.ids = pa.concat_arrays([pa.array([[r] for r in ranks.values()], pa.list_(pa.int32())), *frequent["ids"].cast(pa.list_(pa.int32())).chunks])
         self.pieces = pa.concat_arrays([pa.array(list(ranks), pa.binary()), *frequent["piece"].cast(pa.binary()).chunks])
 
-    def joined(self, at: pa.Array, folded: pa.Array, known: pa.Array) -> pa.Array:
-        """What each word of a block gives, from the known words and, in order, the block's own."""
-        place = at.to_numpy().astype(np.int64)
-        place[place < 0] = len(known) + np.arange(len(folded))
-        return pa.concat_arrays([known, folded.cast(known.type)]).take(pa.array(place))
+
+class Task:
+    """What the words of a task's blocks give: the known ones, and those folded in this block or before."""
+
+    def __init__(self, known: pa.Array):
+        self.known, self.own = known, pa.array([], known.type)
+
+    def joined(self, at: pa.Array, folded: pa.Array, anew: bool) -> pa.Array:
+        """What each word of the next block gives; ``folded`` has the block's new words."""
+        self.own = pa.concat_arrays([*([] if anew else [self.own]), folded.cast(self.known.type)])
+        place = at.to_numpy()
+        is_known = place < len(self.known)
+        order = np.empty(len(place), np.int64)
+        order[is_known], order[~is_known] = np.arange(is_known.sum()), np.arange(is_known.sum(), len(place))
+        both = [self.known.take(pa.array(place[is_known])), self.own.take(pa.array(place[~is_known] - len(self.known)))]
+        return pa.concat_arrays(both).take(pa.array(order))
 
 
 def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cached: int = CACHED) -> pa.Table:
@@ -261,8 +345,9 @@ def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cac
         if total > cached:
             break
         least = r.n
-    # Each task reads the ranks anew, so a task folds some thousand words and not a few.
-    words = counted.filter(F.col("n") >= least).repartition(1 + min(total, cached) // 16_000, "word")
+    # Each task reads the ranks anew, so a task folds some thousand words and not a few. They are dealt out in a plan of their own, so
+    # that the one with the literals has no exchange: adaptive execution would describe it anew, literals and all, at each stage.
+    words = materialize(counted.filter(F.col("n") >= least).select("word").repartition(1 + min(total, cached) // 16_000, "word"), "words")
     codes = f"concat(array({END}S), transform(sequence(1, length(hex(word)), 2), i -> cast(conv(substring(hex(word), i, 2), 16, 10) as smallint)), array({END}S))"
     folded = words.select("word", F.expr(f"{rank_map(path).ids(f'array({codes})')}[0]").alias("ids"))
     return folded.withColumn("piece", F.expr(f"{rank_map(path).binary('array(ids)')}[0]")).toArrow()
@@ -271,21 +356,25 @@ def frequent(docs: DataFrame, path: str, pattern: str, sample: int = SAMPLE, cac
 def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_chars: int):
     """One row for each block of texts: rows (what ``keep`` names), texts (numbers of words), at (their places among the known), ids of the others; and the broadcast of what the known give."""
     ranks, often, send = rank_map(path).ranks, frequent(docs, path, pattern), docs.sparkSession.sparkContext.broadcast
-    shared, given = send((ranks, Known(ranks, often))), send(Folded(ranks, often))
+    shared, given = send((ranks, known_words(ranks, often))), send(Folded(ranks, often))
     del often
     give_back()
+    # What the fold of the frequent words left: plans and tasks with the literals. The next plan has them again.
+    docs.sparkSession.sparkContext._jvm.System.gc()
     at = [docs.columns.index(n) for n in keep]
     text = docs.columns.index("text")
     row = T.StructType([T.StructField(f"c{i}", docs.schema[k].dataType) for i, k in enumerate(at)])
-    schema = T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("texts", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    schema = T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("texts", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("anew", T.BooleanType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, (ranks, known) = words_of(pattern), shared.value
+        numbering = Numbering(known, ranks)
 
         def block(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = pa.StructArray.from_arrays([batch.column(k) for k in at], names=[f"c{i}" for i in range(len(at))])
-            parts = [rows, *known.number([t or "" for t in batch.column(text).to_pylist()], find, ranks)]
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), p) for p in parts], names=schema.names)
+            (numbers, *parts), anew = numbering.of([t or "" for t in batch.column(text).to_pylist()], find)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), p) for p in (rows, numbers, *parts)]
+            return pa.RecordBatch.from_arrays([*lists[:2], pa.array([anew]), *lists[2:]], names=schema.names)
 
         for batch in batches:
             sizes = np.cumsum([0, *(n or 0 for n in pc.utf8_length(batch.column(text)).to_pylist())])
@@ -298,14 +387,15 @@ def _blocks(docs: DataFrame, keep: list[str], path: str, pattern: str, block_cha
 
     # Only a block with a long word has ids that are not folded here.
     ids = f"zip_with({rank_map(path).ids('words')}, long, (f, k) -> if(size(k) > 0, k, f))"
-    return docs.mapInArrow(run, schema).withColumn("ids", F.expr(ids)).select("rows", "texts", "at", "ids"), given
+    return docs.mapInArrow(run, schema).withColumn("ids", F.expr(ids)).select("rows", "texts", "anew", "at", "ids"), given
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of each block: the rows' columns, the texts' offsets among all words, those words' numbers, and the block's other lists."""
+    """Of each block: the rows' columns, the texts' offsets among all words, those words' numbers, and whether the task's words are numbered anew with the block's other lists."""
     for batch in batches:
         for i in range(batch.num_rows):
-            rows, texts, *rest = (batch.column(k)[i].values for k in range(batch.num_columns))
+            rows, texts, anew, *rest = (batch.column(k)[i] for k in range(batch.num_columns))
+            rows, texts, rest = rows.values, texts.values, [anew.as_py(), *(x.values for x in rest)]
             start = texts.offsets[0].as_py()
             offsets = pc.cast(pc.subtract(texts.offsets, pa.scalar(start, pa.int32())), pa.int32())
             yield rows.flatten(), offsets, texts.values.slice(start, offsets[-1].as_py()), rest
@@ -324,9 +414,9 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CH
     blocks, given = _blocks(docs, columns, path, pattern, block_chars)
 
     def run(batches):
-        known = given.value
-        for columns_, offsets, numbers, (at, folded) in _texts(batches):
-            taken = known.joined(at, folded, known.ids).take(numbers)
+        task = Task(given.value.ids)
+        for columns_, offsets, numbers, (anew, at, folded) in _texts(batches):
+            taken = task.joined(at, folded, anew).take(numbers)
             ends = pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False)))).astype(np.int32)).take(offsets)
             yield pa.RecordBatch.from_arrays([*columns_, pa.ListArray.from_arrays(ends, taken.flatten())], names=[*columns, "vellum_ids"])
         give_back()
@@ -355,9 +445,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] | None
     blocks, given = _blocks(docs, keep, path, pattern, block_chars)
 
     def run(batches):
-        known = given.value
-        for columns, offsets, numbers, (at, folded, decoded) in _texts(batches):
-            ids, pieces = known.joined(at, folded, known.ids), known.joined(at, decoded, known.pieces)
+        by_id, by_piece = Task(given.value.ids), Task(given.value.pieces)
+        for columns, offsets, numbers, (anew, at, folded, decoded) in _texts(batches):
+            ids, pieces = by_id.joined(at, folded, anew), by_piece.joined(at, decoded, anew)
             starts, values = ids.offsets, ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py())
             own = pa.ListArray.from_arrays(pc.cast(pc.subtract(starts, starts[0]), pa.int32()), values.cast(pa.string()))
             length = np.concatenate(([0], np.cumsum(np.diff(starts.to_numpy())[numbers.to_numpy()])))
