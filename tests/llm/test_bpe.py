@@ -116,3 +116,11 @@ def test_frequent_words_fold_in_a_plan_without_exchange(spark, monkeypatch):
     often = bpe.frequent(docs, PATH, P.PATTERN)
     assert b"zqxvk" in {w.strip() for w in often["word"].to_pylist()}
     assert len(plans) == 1 and "aggregate(" in plans[0] and "Exchange" not in plans[0]
+
+
+def test_literals_are_short():
+    """The driver holds them in the plan's text, its descriptions and its events: 3.0 MB before, 2.7 MB now."""
+    held = bpe.rank_map(PATH)
+    assert len(held.ids("words")) < 2_750_000
+    keys = {int(s) >> 20 for s in held.slots if s != bpe._EMPTY}
+    assert bpe._EMPTY >> 20 not in keys and len(keys) == sum(x[:i] in held.ranks and x[i:] in held.ranks for x in held.ranks for i in range(1, len(x)))

@@ -49,6 +49,8 @@ MEMO = 400_000
 #: Vocabularies over so many entries are refused, as the plan holds one. Ids are below 2**20.
 MOST_RANKS = 200_000
 _NONE = 1 << 20
+#: What an empty slot holds: the key 2**20, which no pair has, as ids are below and the factor of a key above it. Short in the plan's text.
+_EMPTY = _NONE << 20
 #: Stands at both ends of a word in place of a byte.
 END = 256
 
@@ -121,7 +123,8 @@ class RankMap:
         else:
             raise ValueError("no collision-free layout of the ranks")
         self.bytes = [*(ranks[bytes([i])] for i in range(256)), _NONE - 1]
-        self.first = [ranks.get(bytes([i, j]), _NONE) if max(i, j) < 256 else _NONE for i in range(257) for j in range(257)]
+        self.none = max(ranks.values()) + 1
+        self.first = [ranks.get(bytes([i, j]), self.none) if max(i, j) < 256 else self.none for i in range(257) for j in range(257)]
         self.pieces = [""] * (max(ranks.values()) + 1)
         for x, r in ranks.items():
             self.pieces[r] = x.hex()
@@ -130,7 +133,7 @@ class RankMap:
         group, home = key % self.groups, key % self.size
         if len(np.unique(group * self.size + home)) < len(key):
             return False
-        self.slots = np.full(self.size, 1 << 62, np.int64)
+        self.slots = np.full(self.size, _EMPTY, np.int64)
         self.shifts = np.zeros(self.groups, np.int64)
         free, order = np.ones(self.size, bool), np.argsort(group, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0))) if len(key) else np.empty(0, np.int64)
@@ -169,7 +172,7 @@ class RankMap:
         rests = f"array(get(s.e, s.p - 2) & {(1 << 30) - 1}L, s.m & {1023 << 20}L | shiftright(s.m, 30))"
         pairs = f"zip_with({keys}, {rests}, (k, l) -> shiftleft(least({self.rank('k')}, {_NONE}L), 30) | l)"
         merged = f"named_struct('e', concat(slice(s.e, 1, s.p - 2), {pairs}, slice(s.e, s.p + 2, size(s.e))), 'm', 0L, 'p', 0)"
-        step = f"if(s.m >= {_NONE << 30}L, s, if(s.p = 0, {found}, {merged}))"
+        step = f"if(s.m >= {self.none << 30}L, s, if(s.p = 0, {found}, {merged}))"
         fold = f"aggregate(sequence(1, 2 * size(w)), {zero}, (s, i) -> {step}, s -> transform(slice(s.e, 2, size(s.e) - 2), v -> cast(v & {_NONE - 1}L as int)))"
         literal = ", ".join("'{}', cast(split('{}', ',') as array<bigint>)".format(n, ",".join(map(str, x))) for n, x in (("slots", self.slots), ("shifts", self.shifts), ("bytes", self.bytes), ("first", self.first)))
         return f"transform(array(named_struct({literal})), t -> transform({words}, w -> {fold}))[0]"
