@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, flat_map, materialize, pick, table, utf8
+from .common import PART as BYTES
+from .common import SPACE_CLASS, flat_map, give_back, materialize, pick, split, table, utf8
 
 SIZE, SHARE, PART = 5, 0.8, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -214,7 +215,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         def run(batches, shared=shared):
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.hits(t) for t in utf8(batch.column(at))], pa.bool_()))
+                for part in split(batch, at, BYTES):
+                    yield part.filter(pa.array([not shared.value.hits(t) for t in utf8(part.column(at))], pa.bool_()))
+            give_back()
 
         out = (materialize(out, "clean") if n else out).mapInArrow(run, docs.schema)
     return out

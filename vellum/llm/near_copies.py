@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, arrow_batches, flat_map, materialize, pick, utf8
+from .common import append, arrow_batches, flat_map, give_back, materialize, pick, utf8
 
 SIZE, SEED, SMALL, LEADERS, PAIRS, BITS = 5, 42, 32, 2, 1 << 18, 2048
 #: Shingles in at least ``OFTEN`` texts of one in ``SAMPLE`` come last in the order, the ``LAST`` most frequent at most. That changes the work, not the pairs.
@@ -191,6 +191,7 @@ def _across(groups: DataFrame) -> DataFrame:
                         a, b, size = [], [], 0
                 if size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=names)
+        give_back()
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
