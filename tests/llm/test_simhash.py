@@ -71,3 +71,33 @@ def test_links_against_all_pairs(spark, hot):
 def test_stage_keeps_one_of_each_class(spark):
     df = spark.createDataFrame([(1, "a b c d e", "en"), (2, "a b c d e", "en"), (3, "quite another text here", "en"), (None, "a b c d e", "en")], "doc_id bigint, text string, lang string")
     assert sorted(str(r.doc_id) for r in simhash.stage(spark, df, "").collect()) == ["1", "3", "None"]
+
+
+def test_one_branch_whatever_the_budget(spark):
+    """The driver plans and compiles one branch for all blocks of all ways, where it had one for each (16 with a budget of 3)."""
+    df = spark.createDataFrame([(1,), (2,)], "fp bigint")
+    plans = [simhash.links(df, budget)._jdf.queryExecution().optimizedPlan().toString() for budget in (2, 5)]
+    assert [(p.count("Union"), p.count("Generate"), p.count("Aggregate")) for p in plans] == [(0, 3, 2)] * 2
+
+
+@pytest.mark.parametrize("budget", [0, 1, 3])
+def test_links_of_split_groups_with_other_budgets(spark, budget):
+    rng = np.random.default_rng(budget)
+    base = rng.integers(-(1 << 63), 1 << 63, 30, dtype=np.int64).view(np.uint64)
+    values = {int(x) for x in base} | {int(x) ^ sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for x in base for d in (1, 2, 3)}
+    df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in values], "fp bigint")
+    want = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= budget}
+    for hot in (0, 2, 1000):
+        got = {tuple(sorted(int(np.int64(x).view(np.uint64)) for x in r)) for r in simhash.links(df, budget, hot=hot, near=True).collect()}
+        assert got <= want
+
+        def classes(edges):
+            low = {x: x for x in values}
+            for _ in range(len(values)):
+                moved = [(a, b) for a, b in edges if low[a] != low[b]]
+                for a, b in moved:
+                    low[a] = low[b] = min(low[a], low[b])
+                if not moved:
+                    return low
+
+        assert classes(got) == classes(want)

@@ -146,15 +146,14 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, near: bool = Fal
     keyed = keyed.withColumn("block", F.expr("shiftrightunsigned(value, 64 - top)"))
     large = keyed.groupBy("way", "block").count().filter(F.col("count") > hot).select("way", "block", F.lit(True).alias("large"))
     keyed = keyed.join(large, ["way", "block"], "left")
-    plain = keyed.filter(F.col("large").isNull()).select("fp", "way", "top", "value", "block")
-    again = []
-    for i, (_, w) in enumerate(blocks):
-        rest = 64 - w
-        held = keyed.filter(F.col("large") & (F.col("way") == i))
-        above = F.shiftleft(F.col("block"), rest)
-        again += [held.select("fp", F.lit((i + 1) * 100 + j).alias("way"), F.lit(w + sw).alias("top"), above.bitwiseOR(_rotate(F.col("value"), rest, o)).alias("value")) for j, (o, sw) in enumerate(_offsets(rest, budget + 1))]
-    for part in again:
-        plain = plain.unionByName(part.withColumn("block", F.expr("shiftrightunsigned(value, 64 - top)")))
+    # The blocks of each way's remaining bits come from one literal, not from a branch of the plan for each of them.
+    entry = lambda way, top, rest, by: F.struct(way.alias("way"), top.alias("top"), rest.alias("rest"), by.alias("by"))
+    cuts = F.array(*(F.array(*(entry(*map(F.lit, ((i + 1) * 100 + j, w + sw, 64 - w, o))) for j, (o, sw) in enumerate(_offsets(64 - w, budget + 1)))) for i, (_, w) in enumerate(blocks)))
+    whole = F.array(entry(F.col("way"), F.col("top"), 64 - F.col("top"), F.lit(0)))
+    plain = keyed.withColumn("c", F.explode(F.when(F.col("large"), cuts[F.col("way")]).otherwise(whole))).select("fp", "value", "block", "c.*")
+    plain = plain.withColumn("low", F.expr("value & (shiftleft(1L, rest) - 1)"))
+    plain = plain.withColumn("value", F.expr("shiftleft(block, rest) | shiftleft(low, by) & (shiftleft(1L, rest) - 1) | shiftrightunsigned(low, rest - by)"))
+    plain = plain.select("fp", "way", "top", "value", F.expr("shiftrightunsigned(value, 64 - top)").alias("block"))
 
     def make():
         held: list[pa.RecordBatch] = []
