@@ -51,3 +51,25 @@ def test_deepest_scopes_do_not_shuffle_their_rows(spark):
     df = memory.deepest_scopes(t, s)
     assert df.count() == 200_000
     assert 0 < shuffled(df) < 20_000
+
+
+def test_context_ranks_once_a_scope(spark, tables):
+    notes = [(f"n{i}", "ab"[i % 2], f"title {i % 7}", f"p{i:02}") for i in range(95)]
+    depth, of, want = {}, {n[0]: n for n in notes}, []
+    for t, i, _, d, _ in pairs():
+        depth[t, i] = max(d, depth.get((t, i), d))
+    for t in {t for t, _ in depth}:
+        for g in "ab":
+            held = sorted((-d, *of[i][2:], i) for (x, i), d in depth.items() if x == t and i in of and of[i][1] == g)
+            want += [(t, g, h[-1], n, len(held), len(held) > 3) for n, h in enumerate(held[:3], 1)]
+    got = memory.memory_context(*tables, spark.createDataFrame(notes, "id string, group string, title string, path string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_context_does_not_shuffle_matches(spark):
+    t = spark.range(500).selectExpr("concat('a/b/t', id) AS target")
+    s = spark.range(400).selectExpr("concat('n', id) AS id", "if(id % 2 = 0, 'a', 'a/b') AS scope")
+    n = s.selectExpr("id", "'g' AS group", "id AS title", "id AS path")
+    df = memory.memory_context(t, s, n)
+    assert df.count() == 1500
+    assert 0 < shuffled(df) < 20_000
