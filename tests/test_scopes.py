@@ -1,6 +1,7 @@
 """Scopes and targets in many cells: the same rows as pair by pair, without a shuffle of the pairs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.operators import memory
 
@@ -73,3 +74,18 @@ def test_context_does_not_shuffle_matches(spark):
     df = memory.memory_context(t, s, n)
     assert df.count() == 1500
     assert 0 < shuffled(df) < 20_000
+
+
+def test_matches_in_cells(spark, tables):
+    got = memory.scope_matches(*tables)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((t, i, s, d, k) for t, i, s, d, k in pairs()), key=repr)
+
+
+def test_one_scope_is_paired_in_many_tasks(spark, tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = memory.scope_matches(*tables).filter("scope = 'a/b'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) > 1
+    assert max(r["count"] for r in got) < sum(r["count"] for r in got) * 0.75
