@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,60 +76,88 @@ def pdf_info(files: DataFrame) -> DataFrame:
     return files.select("file", F.map_from_entries(F.array_sort(pairs)).alias("info"))
 
 
-def _attribute(token: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(token, rf"(?s)^<[^>]*\s{name}\s*=\s*[\"']([^\"'>]*)[\"']", 1), F.lit(""))
+def _attribute(head: Column, name: str) -> Column:
+    """An attribute of a tag up to its end (``head``), the last of its name; null if it is empty."""
+    return F.nullif(F.regexp_extract(head, rf"(?s)^<.*\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+
+
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, also within a lambda."""
+    return F.transform(F.array(value), of)[0]
 
 
 def _entities(text: Column) -> Column:
     """Numeric entities of any plane, then the five named ones; what is no character stays as it is."""
 
-    def one(part: Column) -> Column:
-        code = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        number = F.when(code.rlike("^[xX]"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).try_cast("int")
-        right = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        return F.when(right, F.concat(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"), F.substr(part, F.length(code) + 2))).otherwise(F.concat(F.lit("&#"), part))
+    def decoded(part: Column, code: Column) -> Column:
+        def char(number: Column) -> Column:
+            right = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+            return F.when(right, F.concat(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"), F.substr(part, F.length(code) + 2))).otherwise(F.concat(F.lit("&#"), part))
 
-    parts = F.split(text, "&#")
-    out = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 20), one), ""))
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
+        return _let(F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).try_cast("int"), char)
+
+    one = lambda part: _let(F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1), lambda code: decoded(part, code))
+    whole = lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    out = F.when(F.contains(text, F.lit("&#")), _let(F.split(text, "&#"), whole)).otherwise(text)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     return out
 
 
-def parse_layout_xml(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(fragments, images, issues) of text geometry in XML (document, xml): pages with font, text and image elements.
+def layout_rows(files: DataFrame) -> DataFrame:
+    """Elements and issues of text geometry in XML (document, xml) as rows of one frame, in one pass over the files; see :func:`parse_layout_xml`.
 
-    Fragments: document, page, page_width, page_height, place, top, left, width, height, font, font_size, bold, italic, text; they feed :func:`visual_lines`. A fragment's size is that of the last
-    font of its id that was declared before it, on any page, else its height. Images: document, page, place, top, left, width, height, source. Issues: document, code: ``no-pages``,
-    ``open-page`` (a page begins in another or isn't closed), ``number`` (a coordinate that is missing, negative or no number); documents with an issue give no rows.
-    A document's elements are rows from the first step on; only its XML text is one value.
+    Rows with a ``code`` are issues and have only a document besides. The others have a ``kind`` (text, image or fontspec), page_at, place and the columns of fragments and images.
+    Windows by document find the fonts and the documents with an issue, so files that are dealt by document are not shuffled again.
     """
     rows = files.select("document", F.coalesce("xml", F.lit("")).alias("xml"))
-    pages = rows.select("document", "xml", F.regexp_extract_all("xml", F.lit(r"(?s)<page\b[^>]*>.*?</page>"), 0).alias("pages"))
-    opened, closed = F.regexp_count("xml", F.lit(r"<page\b[^>]*>")), F.size("pages")
+    pages = rows.select("document", F.regexp_count("xml", F.lit(r"<page\b[^>]*>")).alias("opened"), F.regexp_extract_all("xml", F.lit(r"(?s)<page\b[^>]*>.*?</page>"), 0).alias("pages"))
     nested = F.exists("pages", lambda p: F.regexp_count(p, F.lit(r"<page\b")) > 1)
-    issues = pages.select("document", F.when(opened == 0, "no-pages").when(nested | (opened != closed), "open-page").alias("code")).filter("code IS NOT NULL")
-    each = pages.select("document", F.posexplode("pages").alias("page_at", "xml"))
-    inner = F.regexp_extract_all("xml", F.lit(r"(?s)<fontspec\b[^>]*/>|<image\b[^>]*/>|<text\b[^>]*>.*?</text>"), 0)
-    number = lambda c, n: _attribute(F.col(c), n).try_cast("double")
-    page = each.select("document", "page_at", number("xml", "number").cast("int").alias("page"), number("xml", "width").alias("page_width"), number("xml", "height").alias("page_height"), inner.alias("tokens"))
-    tokens = page.select("document", "page_at", "page", "page_width", "page_height", F.posexplode("tokens").alias("place", "token"))
-    kind = F.regexp_extract("token", r"^<(\w+)", 1)
-    sizes = {n: number("token", n) for n in ("top", "left", "width", "height")}
-    found = tokens.select("*", kind.alias("kind"), *(v.alias(n) for n, v in sizes.items()), F.coalesce(_attribute(F.col("token"), "font"), F.lit("")).alias("font"), _attribute(F.col("token"), "id").alias("id"), number("token", "size").alias("size"))
+    ended = F.when(F.col("opened") == 0, "no-pages").when(nested | (F.col("opened") != F.size("pages")), "open-page")
+    each = pages.select("document", ended.alias("ended"), F.posexplode_outer("pages").alias("page_at", "xml"))
+    each = each.select("document", "ended", "page_at", F.substring_index("xml", ">", 1).alias("head"), F.regexp_extract_all("xml", F.lit(r"(?s)<fontspec\b[^>]*/>|<image\b[^>]*/>|<text\b[^>]*>.*?</text>"), 0).alias("tokens"))
+    number = lambda n: _attribute(F.col("head"), n).try_cast("double")
+    page = each.select("document", "ended", "page_at", number("number").cast("int").alias("page"), number("width").alias("page_width"), number("height").alias("page_height"), "tokens")
+    unplaced = F.col("page_at").isNotNull() & F.expr("page IS NULL OR page < 1 OR page_width IS NULL OR page_width < 0 OR page_height IS NULL OR page_height < 0")
+    tokens = page.select("document", "ended", "page_at", "page", "page_width", "page_height", unplaced.alias("unplaced"), F.posexplode_outer("tokens").alias("place", "token"))
+    kind = F.when(F.col("token").startswith("<text"), "text").when(F.col("token").startswith("<image"), "image").when(F.col("token").startswith("<fontspec"), "fontspec")
+    tokens = tokens.withColumns({"kind": kind, "head": F.substring_index("token", ">", 1)})
+    font = F.col("kind") == "fontspec"
+    sizes = {n: F.when(~font, number(n)) for n in ("top", "left", "width", "height")}
+    found = tokens.withColumns(sizes | {"font": F.when(F.col("kind") == "text", F.coalesce(_attribute(F.col("head"), "font"), F.lit(""))), "id": F.when(font, _attribute(F.col("head"), "id")), "size": F.when(font, number("size"))})
     lacking = F.lit(False)
     for n in sizes:
         lacking = lacking | F.col(n).isNull() | (F.col(n) < 0) | F.isnan(n)
-    bad = found.filter((F.col("kind") == "fontspec") & F.col("id").isNotNull() & (F.col("size").isNull() | (F.col("size") < 0)) | (F.col("kind") != "fontspec") & lacking)
-    unplaced = page.filter("page IS NULL OR page < 1 OR page_width IS NULL OR page_width < 0 OR page_height IS NULL OR page_height < 0")
-    issues = issues.union(bad.select("document", F.lit("number"))).union(unplaced.select("document", F.lit("number"))).distinct()
-    good = found.join(issues.select("document").distinct(), "document", "left_anti")
-    order = W.partitionBy("document", "of").orderBy("page_at", "place").rowsBetween(W.unboundedPreceding, 0)
-    texts = good.filter("kind <> 'image'").withColumn("of", F.when(F.col("kind") == "fontspec", F.col("id")).otherwise(F.col("font")))
-    texts = texts.withColumn("declared", F.last(F.when(F.col("kind") == "fontspec", F.col("size")), ignorenulls=True).over(order)).filter("kind = 'text'")
-    body = F.regexp_extract("token", r"(?s)^<text\b[^>]*>(.*)</text>$", 1)
-    plain = _entities(F.regexp_replace(body, r"(?s)<[^>]*>", ""))
+    bad = F.when(font, F.col("id").isNotNull() & (F.col("size").isNull() | (F.col("size") < 0))).when(F.col("kind").isNotNull(), lacking).otherwise(False)
+    found = found.withColumns({"bad": F.col("unplaced") | bad, "of": F.coalesce("id", "font")})
+    by_font = W.partitionBy("document", "of").orderBy("page_at", "place").rowsBetween(W.unboundedPreceding, 0)
+    found = found.withColumn("declared", F.last("size", ignorenulls=True).over(by_font))
+    in_order = W.partitionBy("document").orderBy("of", "page_at", "place")
+    whole = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    found = found.withColumns({"later": F.lag(F.lit(True)).over(in_order), "least": F.min("ended").over(whole), "most": F.max("ended").over(whole), "wrong": F.max("bad").over(whole)})
+    codes = F.array_distinct(F.array_compact(F.array("least", "most", F.when(F.col("wrong"), "number"))))
+    sound = F.col("least").isNull() & ~F.col("wrong")
+    out = found.filter(sound | F.col("later").isNull()).withColumn("code", F.explode_outer(F.when(~sound, codes))).filter("code IS NOT NULL OR kind IS NOT NULL")
+    body = F.when(F.col("kind") == "text", F.substr("token", F.length("head") + 2, F.length("token") - F.length("head") - F.lit(1 + len("</text>"))))
     base = ["document", "page", "page_width", "page_height", "place", "top", "left", "width", "height"]
-    fragments = texts.select(*base, "font", F.coalesce("declared", "height").alias("font_size"), body.rlike(r"(?i)<b(?:\s[^>]*)?>").alias("bold"), body.rlike(r"(?i)<i(?:\s[^>]*)?>").alias("italic"), plain.alias("text"))
-    images = good.filter("kind = 'image'").select("document", "page", "place", "top", "left", "width", "height", _attribute(F.col("token"), "src").alias("source")).filter("source IS NOT NULL")
-    return fragments, images, issues
+    out = out.select("code", "kind", "page_at", *base, "font", F.coalesce("declared", "height").alias("font_size"), "head", body.alias("body"))
+    tagged = F.contains("body", F.lit("<"))
+    plain = F.when(tagged, F.regexp_replace("body", r"(?s)<[^>]*>", "")).otherwise(F.col("body"))
+    source = F.when(F.col("kind") == "image", _attribute(F.col("head"), "src"))
+    out = out.select("code", "kind", "page_at", *base, "font", "font_size", (tagged & F.col("body").rlike(r"(?i)<b(?:\s[^>]*)?>")).alias("bold"), (tagged & F.col("body").rlike(r"(?i)<i(?:\s[^>]*)?>")).alias("italic"), plain.alias("plain"), source.alias("source"))
+    return out.select("code", "kind", "page_at", *base, "font", "font_size", "bold", "italic", _entities(F.col("plain")).alias("text"), "source")
+
+
+def parse_layout_xml(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fragments, images, issues) of text geometry in XML (document, xml): pages with font, text and image elements.
+
+    Fragments: document, page, page_width, page_height, place, top, left, width, height, font, font_size, bold, italic, text; they feed :func:`visual_lines`. A fragment's size is that of the last
+    font of its id that was declared before it, on any page, else its height. Images: document, page, place, top, left, width, height, source. Issues: document, code: ``no-pages``,
+    ``open-page`` (a page begins in another or isn't closed), ``number`` (a coordinate that is missing, negative or no number); documents with an issue give no rows.
+    A document's elements are rows from the first step on; only its XML text is one value. Each of the three reads the files once; :func:`layout_rows` has them in one pass.
+    """
+    rows = layout_rows(files)
+    sound = rows.filter("code IS NULL")
+    fragments = sound.filter("kind = 'text'").select("document", "page", "page_width", "page_height", "place", "top", "left", "width", "height", "font", "font_size", "bold", "italic", "text")
+    images = sound.filter("kind = 'image' AND source IS NOT NULL").select("document", "page", "place", "top", "left", "width", "height", "source")
+    return fragments, images, rows.filter("code IS NOT NULL").select("document", "code")
